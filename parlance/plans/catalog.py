@@ -155,3 +155,327 @@ EXCEPT
 SELECT text FROM fx WHERE agent = 'system' AND starts_with(text, 'api_call') AND split = 'trn'""")
 def q_unseen_api_calls(spark, sf):
     return S.unseen_api_calls(fx(spark, sf))
+
+
+# ---------------------------------------------------------------- shared SQL pieces
+
+_SPLIT_RANK_SQL = ("CASE split WHEN 'trn' THEN 0 WHEN 'dev' THEN 1 WHEN 'tst' THEN 2 "
+                   "WHEN 'tst-OOV' THEN 3 ELSE 4 END")
+_L_WORDS = "('with', 'for', 'in', 'a')"
+_R_WORDS = "('cuisine', 'food', 'people', 'price', 'range')"
+_VL = "vl AS (SELECT list(value) AS vl FROM vocab)"
+
+
+def _sql_in(words) -> str:
+    return "(" + ", ".join(O.sql_str(w) for w in words) + ")"
+
+
+def _sql_phrase(toks: str, i: str) -> str:
+    """SQL for the enclosing phrase (joined) of 1-based token `i`."""
+    left = (f"coalesce(list_position(list_transform(list_reverse({toks}[1:{i} - 1]), "
+            f"lambda x: x IN {_L_WORDS}), false) - 1, {i} - 1)")
+    right = (f"coalesce(list_position(list_transform({toks}[{i} + 1:len({toks})], "
+             f"lambda x: x IN {_R_WORDS}), false) - 1, len({toks}) - {i})")
+    return f"array_to_string({toks}[{i} - {left}:{i} + {right}], ' ')"
+
+
+def _user_turns(spark, sf):
+    return fx(spark, sf).where(F.col("agent") == "user")
+
+
+def _vocab(spark, sf) -> V.SlotVocabulary:
+    return V.SlotVocabulary.build(V.slot_values(fx(spark, sf)))
+
+
+# ---------------------------------------------------------------- sources (A1-A4) and sinks (B1, B2)
+
+from ..operators import ordinals as G  # noqa: E402
+from ..sinks import dialogue_text as B  # noqa: E402
+from ..sources import dialogue_text as A  # noqa: E402
+
+
+@query("parse_dialogues", O.fx_with() + """
+SELECT split, dialogue_no, turn_idx, agent, text
+FROM (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) AS dialogue_no
+      FROM (SELECT DISTINCT split, dialogue_idx FROM fx)) d JOIN fx USING (split, dialogue_idx)""")
+def q_parse_dialogues(spark, sf):
+    """Round trip: render the corpus as dialogue-file lines (B1), parse them back (A1)."""
+    turns = A.parse_dialogue_lines(B.dialogue_file_lines(fx(spark, sf)))
+    return turns.select(F.col("file").alias("split"), "dialogue_no", "turn_idx", "agent", "text")
+
+
+@query("corpus_by_split", O.fx_with() + f"""
+SELECT split, {_SPLIT_RANK_SQL} AS split_rank, count(DISTINCT dialogue_idx) AS n_dialogues,
+       count(*) AS n_turns
+FROM fx GROUP BY split""")
+def q_corpus_by_split(spark, sf):
+    from ..sources.corpus import split_rank
+    return fx(spark, sf).groupBy("split").agg(
+        F.countDistinct("dialogue_idx").alias("n_dialogues"), F.count(F.lit(1)).alias("n_turns")
+    ).select("split", split_rank(F.col("split")).alias("split_rank"), "n_dialogues", "n_turns")
+
+
+@query("dialogue_ordinals", O.fx_with() + f"""
+SELECT split, dialogue_idx, row_number() OVER (ORDER BY {_SPLIT_RANK_SQL}, dialogue_idx) - 1 AS ordinal
+FROM (SELECT DISTINCT split, dialogue_idx FROM fx)""")
+def q_dialogue_ordinals(spark, sf):
+    return G.dialogue_ordinals(fx(spark, sf))
+
+
+@query("dstc6_to_turns", O.fx_with() + """
+SELECT dialogue_idx, turn_idx // 2 + 1 AS line_no,
+       max(CASE WHEN turn_idx % 2 = 0 THEN text END) AS "user",
+       max(CASE WHEN turn_idx % 2 = 1 THEN text END) AS system,
+       printf('%d %s', turn_idx // 2 + 1, max(CASE WHEN turn_idx % 2 = 0 THEN text END)) || chr(9)
+         || max(CASE WHEN turn_idx % 2 = 1 THEN text END) AS line
+FROM fx GROUP BY dialogue_idx, turn_idx // 2""")
+def q_dstc6_to_turns(spark, sf):
+    """DSTC6-shaped dialogues built from the corpus (utterances + final answer), converted back."""
+    g = fx(spark, sf).groupBy("dialogue_idx").agg(
+        F.array_sort(F.collect_list(F.struct("turn_idx", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: x["text"])
+    d = g.select("dialogue_idx", F.slice(texts, 1, F.size(texts) - 1).alias("utterances"),
+                 F.struct(F.element_at(texts, -1).alias("utterance")).alias("answer"))
+    return A.dstc6_turns(d)
+
+
+@query("render_dialogues", O.fx_with() + """
+SELECT split, dialogue_idx, string_agg(line, chr(10) ORDER BY k) AS text FROM (
+  SELECT split, dialogue_idx, turn_idx // 2 AS k,
+         printf('%d %s', turn_idx // 2 + 1, max(CASE WHEN turn_idx % 2 = 0 THEN text END)) || chr(9)
+           || max(CASE WHEN turn_idx % 2 = 1 THEN text END) AS line
+  FROM fx GROUP BY split, dialogue_idx, turn_idx // 2)
+GROUP BY split, dialogue_idx""")
+def q_render_dialogues(spark, sf):
+    return B.render_dialogues(fx(spark, sf)).select("split", "dialogue_idx", "text")
+
+
+@query("render_babble", O.fx_with() + """
+SELECT split, dialogue_idx, string_agg(agent || ':' || chr(9) || text, chr(10) ORDER BY turn_idx) AS text
+FROM fx GROUP BY split, dialogue_idx""")
+def q_render_babble(spark, sf):
+    return B.render_babble(fx(spark, sf))
+
+
+# ---------------------------------------------------------------- projections
+
+@query("non_silent_user_turns", O.fx_with() + """
+SELECT split, dialogue_idx, turn_idx, text FROM fx WHERE agent = 'user' AND lower(text) <> '<silence>'""")
+def q_non_silent_user_turns(spark, sf):
+    return _user_turns(spark, sf).where(F.lower("text") != "<silence>").select(
+        "split", "dialogue_idx", "turn_idx", "text")
+
+
+_CLEAN = [("are looking", "are you looking")]
+
+
+@query("clean_text", O.fx_with() + """
+SELECT split, dialogue_idx, turn_idx, replace(text, 'are looking', 'are you looking') AS text FROM fx""")
+def q_clean_text(spark, sf):
+    return fx(spark, sf).select("split", "dialogue_idx", "turn_idx",
+                                T.clean_text("text", _CLEAN).alias("text"))
+
+
+@query("closed_class_pos", O.fx_with() + f"""
+SELECT split, dialogue_idx, turn_idx,
+       array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN x IN {_sql_in(T.PREPOSITIONS)} THEN 'IN'
+         WHEN x IN {_sql_in(T.DETERMINERS)} THEN 'DT' ELSE 'X' END), ' ') AS pos
+FROM fx WHERE agent = 'user'""")
+def q_closed_class_pos(spark, sf):
+    return _user_turns(spark, sf).select(
+        "split", "dialogue_idx", "turn_idx",
+        F.array_join(T.closed_class_pos(T.tokenize("text")), " ").alias("pos"))
+
+
+_SIL = f"({O.tok('text')} = ['<SILENCE>'])"
+
+
+@query("augmentable_turns", O.with_ctes(O.CONV_CTE) + f"""
+SELECT dialogue_idx AS conv_id, turn_idx AS turn,
+       (turn_idx % 2 = 0 AND NOT {_SIL}) AS by_parity, (agent = 'user' AND NOT {_SIL}) AS by_agent
+FROM conv""")
+def q_augmentable_turns(spark, sf):
+    sil = T.is_silence(T.tokenize("text"))
+    return conversations(spark, sf).select(
+        F.col("dialogue_idx").alias("conv_id"), F.col("turn_idx").alias("turn"),
+        ((F.col("turn_idx") % 2 == 0) & ~sil).alias("by_parity"),
+        ((F.col("agent") == "user") & ~sil).alias("by_agent"))
+
+
+@query("explode_tokens", O.with_ctes(O.CONV_CTE) + f"""
+SELECT dialogue_idx AS conv_id, turn_idx AS turn, CAST(i - 1 AS INTEGER) AS token_idx, toks[i] AS token
+FROM (SELECT dialogue_idx, turn_idx, {O.tok('text')} AS toks FROM conv), generate_series(1, len(toks)) AS g(i)""")
+def q_explode_tokens(spark, sf):
+    return conversations(spark, sf).select(
+        F.col("dialogue_idx").alias("conv_id"), F.col("turn_idx").alias("turn"),
+        F.posexplode(T.tokenize("text")).alias("token_idx", "token"))
+
+
+@query("token_types", O.fx_vocab_with(_VL) + f"""
+SELECT split, dialogue_idx, turn_idx,
+       array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN list_contains(vl, x) THEN 'slot_value'
+         WHEN x IN {_sql_in(T.PREPOSITIONS)} AND x <> 'like' THEN 'pp_start' ELSE 'background_word' END), ' ') AS types
+FROM fx, vl WHERE agent = 'user'""")
+def q_token_types(spark, sf):
+    vocab = _vocab(spark, sf)
+    types = F.transform(T.tokenize("text"), lambda x: F.when(vocab.is_slot(x), "slot_value")
+                        .when(T.in_set(x, T.PREPOSITIONS) & (x != "like"), "pp_start")
+                        .otherwise("background_word"))
+    return _user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx",
+                                         F.array_join(types, " ").alias("types"))
+
+
+@query("enclosing_phrases", O.fx_vocab_with(_VL) + f"""
+SELECT split, dialogue_idx, turn_idx, CAST(i - 1 AS INTEGER) AS token_idx, {_sql_phrase('toks', 'i')} AS phrase
+FROM (SELECT split, dialogue_idx, turn_idx, {O.tok('text')} AS toks FROM fx WHERE agent = 'user') t, vl,
+     generate_series(1, len(toks)) AS g(i)
+WHERE list_contains(vl, toks[i])""")
+def q_enclosing_phrases(spark, sf):
+    vocab = _vocab(spark, sf)
+    t = _user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx",
+                                      T.tokenize("text").alias("toks"))
+    ex = t.select("*", F.posexplode("toks").alias("token_idx", "tok")).where(vocab.is_slot(F.col("tok")))
+    return ex.select("split", "dialogue_idx", "turn_idx", "token_idx", F.array_join(
+        T.enclosing_phrase("toks", F.col("token_idx")), " ").alias("phrase"))
+
+
+@query("delexicalize", O.fx_vocab_with(_VL) + f"""
+SELECT split, dialogue_idx, turn_idx,
+       array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN list_contains(vl, x) THEN '<value>' ELSE x END), ' ') AS text
+FROM fx, vl WHERE agent = 'user'""")
+def q_delexicalize(spark, sf):
+    vocab = _vocab(spark, sf)
+    return _user_turns(spark, sf).select(
+        "split", "dialogue_idx", "turn_idx",
+        F.array_join(vocab.delexicalize(T.tokenize("text")), " ").alias("text"))
+
+
+@query("slot_phrases", O.fx_vocab_with(_VL) + f"""
+SELECT DISTINCT {_sql_phrase('toks', 'i')} AS phrase
+FROM (SELECT {O.tok('text')} AS toks FROM fx) t, vl, generate_series(1, len(toks)) AS g(i)
+WHERE list_contains(vl, toks[i])""")
+def q_slot_phrases(spark, sf):
+    return V.slot_phrases(fx(spark, sf), _vocab(spark, sf))
+
+
+# ---------------------------------------------------------------- windows (F1, F2)
+
+CONTEXT_SIZE = 4
+
+
+@query("context_windows", O.with_ctes(O.CONV_CTE) + f"""
+SELECT conv_id, turn, encoder, decoder FROM (
+  SELECT dialogue_idx AS conv_id, turn_idx AS turn, agent,
+         string_agg(text, ' ') OVER (PARTITION BY dialogue_idx ORDER BY turn_idx
+                                     ROWS BETWEEN {CONTEXT_SIZE - 1} PRECEDING AND CURRENT ROW) AS encoder,
+         lead(text) OVER (PARTITION BY dialogue_idx ORDER BY turn_idx) AS decoder
+  FROM conv) WHERE agent = 'user'""")
+def q_context_windows(spark, sf):
+    from ..operators.windows import context_windows
+    return context_windows(conversations(spark, sf), CONTEXT_SIZE).select(
+        F.col("dialogue_idx").alias("conv_id"), F.col("turn_idx").alias("turn"), "encoder", "decoder")
+
+
+@query("token_bigrams", O.fx_with() + f"""
+SELECT toks[i] AS w1, toks[i + 1] AS w2, count(*) AS n
+FROM (SELECT {O.tok('text')} AS toks FROM fx WHERE agent = 'user'), generate_series(1, len(toks) - 1) AS g(i)
+GROUP BY 1, 2""")
+def q_token_bigrams(spark, sf):
+    g = _user_turns(spark, sf).select(F.explode(T.ngrams(T.tokenize("text"), 2)).alias("g"))
+    return g.groupBy(F.col("g")[0].alias("w1"), F.col("g")[1].alias("w2")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- ranks, samples, splits
+
+_ORD_SQL = (f"ords AS (SELECT split, dialogue_idx, row_number() OVER (ORDER BY {_SPLIT_RANK_SQL}, dialogue_idx) - 1 "
+            "AS ordinal FROM (SELECT DISTINCT split, dialogue_idx FROM fx))")
+_PERM_SQL = ("perm AS (SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '273', CAST(ordinal AS VARCHAR))), "
+             "ordinal) - 1 AS rank, ordinal AS dialogue_ord FROM ords)")
+
+
+@query("corpus_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
+def q_corpus_permutation(spark, sf):
+    return G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf)))
+
+
+@query("fold_sample", O.fx_with(_ORD_SQL, _PERM_SQL) + """
+SELECT p.rank, p.dialogue_ord, o.split, o.dialogue_idx
+FROM perm p JOIN ords o ON p.dialogue_ord = o.ordinal WHERE p.rank >= 400 AND p.rank < 500""")
+def q_fold_sample(spark, sf):
+    ords = G.dialogue_ordinals(fx(spark, sf))
+    return G.fold_sample(G.corpus_permutation(ords), ords).select(
+        "rank", "dialogue_ord", "split", "dialogue_idx")
+
+
+def _ratio_sql(items_sql: str, key_sql: str, first_key: str, out_cols: str) -> str:
+    items = f"items AS ({items_sql})"
+    ranked = (f"ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '273', {key_sql})), "
+              f"{first_key}) - 1 AS rank, count(*) OVER () AS n FROM items)")
+    return O.fx_with(items, ranked) + f"""
+SELECT {out_cols}, CASE WHEN rank < CAST(floor(0.8 * n) AS BIGINT) THEN 'train'
+       WHEN rank < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor((n - CAST(floor(0.8 * n) AS BIGINT)) / 2.0) AS BIGINT)
+       THEN 'dev' ELSE 'test' END AS part
+FROM ranked"""
+
+
+@query("ratio_split", _ratio_sql("SELECT DISTINCT split, dialogue_idx FROM fx",
+                                 "split, CAST(dialogue_idx AS VARCHAR)", "split",
+                                 "split, dialogue_idx, rank"))
+def q_ratio_split(spark, sf):
+    return G.ratio_split(G.dialogues(fx(spark, sf)), ["split", "dialogue_idx"]).select(
+        "split", "dialogue_idx", "rank", "part")
+
+
+@query("oversample", O.fx_with() + """
+d AS (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) - 1 AS pos,
+             count(*) OVER (PARTITION BY split) AS len FROM (SELECT DISTINCT split, dialogue_idx FROM fx)),
+r AS (SELECT *, len + CAST(floor(len * 0.5) AS BIGINT) AS nres FROM d)
+SELECT split, dialogue_idx, CAST(c AS INTEGER) AS copy_no, c * len + pos AS result_idx
+FROM r, generate_series(0, CAST(ceil((nres - pos) / len) AS BIGINT) - 1) AS g(c)
+WHERE pos < nres""".replace("WITH", "WITH", 1).replace("\nd AS", ",\nd AS", 1))
+def q_oversample(spark, sf):
+    return G.oversample_plan(fx(spark, sf), 0.5)
+
+
+@query("union_splits", O.fx_with() + """
+SELECT split, dialogue_idx, turn_idx FROM fx WHERE split = 'trn' UNION ALL
+SELECT split, dialogue_idx, turn_idx FROM fx WHERE split = 'dev' UNION ALL
+SELECT split, dialogue_idx, turn_idx FROM fx WHERE split = 'tst' UNION ALL
+SELECT split, dialogue_idx, turn_idx FROM fx WHERE split = 'tst-OOV'""")
+def q_union_splits(spark, sf):
+    from functools import reduce
+    from ..sources.corpus import SPLIT_ORDER
+    t = fx(spark, sf).select("split", "dialogue_idx", "turn_idx")
+    return reduce(lambda a, b: a.unionByName(b), [t.where(F.col("split") == s) for s in SPLIT_ORDER])
+
+
+PART_SIZE = 100
+
+
+@query("merge_parts", O.fx_with() + f"""
+p AS (SELECT split, (row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) - 1) // {PART_SIZE} * {PART_SIZE} AS start
+      FROM (SELECT DISTINCT split, dialogue_idx FROM fx))
+SELECT split, start, dense_rank() OVER (PARTITION BY split ORDER BY start) - 1 AS part_no, count(*) AS n_dialogues
+FROM p GROUP BY split, start""".replace("\np AS", ",\np AS", 1))
+def q_merge_parts(spark, sf):
+    """Parts keyed by their start offset, put back in order (rank of start per dataset)."""
+    d = G.ordinal_within(G.dialogues(fx(spark, sf)), ["split"], ["dialogue_idx"], "pos")
+    parts = d.groupBy("split", (F.floor(F.col("pos") / PART_SIZE) * PART_SIZE).cast("bigint")
+                      .alias("start")).agg(F.count(F.lit(1)).alias("n_dialogues"))
+    return G.ordinal_within(parts, ["split"], ["start"], "part_no").select(
+        "split", "start", "part_no", "n_dialogues")
+
+
+@query("calls_not_in_candidates", O.fx_with() + """
+SELECT DISTINCT text FROM fx WHERE agent = 'system' AND starts_with(text, 'api_call')
+EXCEPT SELECT text FROM fx WHERE agent = 'system' AND split = 'trn'""")
+def q_calls_not_in_candidates(spark, sf):
+    """D4 with A5: candidates are `k text` lines built from the train answers."""
+    t = fx(spark, sf)
+    sys_ = t.where(F.col("agent") == "system")
+    cand_lines = sys_.where(F.col("split") == "trn").select(
+        F.concat_ws(" ", F.abs(F.xxhash64("text")).cast("string"), "text").alias("value"))
+    cands = A.parse_candidates(cand_lines)
+    calls = sys_.where(T.is_api_call("text")).select("text").distinct()
+    return calls.join(cands, "text", "left_anti")

@@ -286,23 +286,32 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
 
     elems = F.transform("_toks", lambda tok, i: F.struct(
         type_of(tok).alias("t"), uniform(*keys, i, "action").alias("u"), i.alias("i")))
-    t = t.withColumn("_picks", F.when(chosen, sample_picks(cfg, elems))
-                     .otherwise(F.array().cast("array<struct<i:int,a:int>>")))
+    t = t.withColumn("_sel", chosen)
     pos = closed_class_pos("_toks")
-    rw = F.when(F.size("_picks") > 0, rewrite(cfg, vocab, F.col("_toks"), pos, F.col("_picks"), keys))
-    t = t.withColumn("_rw", rw)
     names = F.array(*[F.lit(a) for a in acts])
+    empty_picks = F.array().cast("array<struct<i:int,a:int>>")
+
+    def outputs(p):
+        rw = F.when(F.size(p) > 0, rewrite(cfg, vocab, F.col("_toks"), pos, p, keys))
+        return _let(rw, lambda r: F.struct(
+            F.transform(p, lambda x: F.struct(x["i"].alias("i"),
+                                              F.element_at(names, x["a"] + 1).alias("action")))
+            .alias("actions"),
+            F.array_join(F.coalesce(r["toks"], F.col("_toks")), " ").alias("text"),
+            *([F.coalesce(r["tags"], F.transform("_toks", lambda x: F.lit("<f/>"))).alias("tags")]
+              if with_tags else []),
+            F.coalesce(r["ins"], F.array().cast(_EMPTY_STR_ARR)).alias("inserted")))
+
+    # Each sub-result is bound once (`_let`), and the row is emitted through a one-element
+    # `inline_outer`: filters on the outputs cannot be pushed below the generator (where they
+    # would inline and re-run the folds), and outer generators infer no extra filter.
+    result = _let(F.when(F.col("_sel"), sample_picks(cfg, elems)).otherwise(empty_picks), outputs)
     out = t.select(
         *[c for c in turns.columns if c != "text"],
         F.col("turn_idx").alias("orig_turn_idx"),
-        F.when(chosen, F.size("_toks")).otherwise(F.lit(0)).alias("n_tokens"),
-        F.transform("_picks", lambda p: F.struct(p["i"].alias("i"),
-                                                 F.element_at(names, p["a"] + 1).alias("action")))
-        .alias("actions"),
-        F.array_join(F.coalesce(F.col("_rw")["toks"], F.col("_toks")), " ").alias("text"),
-        *([F.coalesce(F.col("_rw")["tags"], F.transform("_toks", lambda x: F.lit("<f/>")))
-           .alias("tags")] if with_tags else []),
-        F.coalesce(F.col("_rw")["ins"], F.array().cast(_EMPTY_STR_ARR)).alias("inserted"),
+        F.col("_sel").alias("selected"),
+        F.when(F.col("_sel"), F.size("_toks")).otherwise(F.lit(0)).alias("n_tokens"),
+        F.inline_outer(F.array(result)),
     )
     if cfg.can_fire("multiturn_correct"):
         out = _insert_correction_turns(out)
@@ -336,7 +345,8 @@ def _insert_correction_turns(df: DataFrame) -> DataFrame:
 
 def sampled_action_list(aug: DataFrame) -> Column:
     """Per-token action names of an augmented turn ('NULL' where nothing was drawn)."""
-    return F.transform(
+    per_token = F.transform(
         F.sequence(F.lit(0), F.col("n_tokens") - 1),
-        lambda k: F.coalesce(F.element_at(F.filter("actions", lambda p: p["i"] == k), 1)["action"],
+        lambda k: F.coalesce(F.try_element_at(F.filter("actions", lambda p: p["i"] == k), F.lit(1))["action"],
                              F.lit("NULL")))
+    return F.when(F.col("n_tokens") > 0, per_token).otherwise(F.array().cast(_EMPTY_STR_ARR))

@@ -479,3 +479,217 @@ def q_calls_not_in_candidates(spark, sf):
     cands = A.parse_candidates(cand_lines)
     calls = sys_.where(T.is_api_call("text")).select("text").distinct()
     return calls.join(cands, "text", "left_anti")
+
+
+# ---------------------------------------------------------------- augmentation
+
+from ..operators import augment as AU  # noqa: E402
+from ..operators import disfluency_stats as DS  # noqa: E402
+from ..operators import tagger as TG  # noqa: E402
+from ..sources.config import TOKEN_TYPES, ActionConfig  # noqa: E402
+
+SEED = 273
+MULTI_CONFIGS = ["g2018_corrections_only", "g2018_hesitations_only", "g2018_pp_restarts_only",
+                 "g2018_restarts_only"]
+REPORT_MULTIPLIERS = [1, 2, 5]
+
+
+def single_action_config(action: str) -> ActionConfig:
+    """A preset reduced to one action (weight kept, or 10 where the preset has 0) and NULL."""
+    base = ActionConfig.preset("g2018_pp_restarts_only" if action == "pp_restart" else "default")
+    weights = {a: (0 if a not in (action, "NULL") else (base.weights.get(a) or 10))
+               for a in base.weights}
+    return ActionConfig(f"only_{action}", base.limits, weights, base.masks, base.templates)
+
+
+def _aug(spark, sf, cfg: ActionConfig, turns=None, vocab=None, **kw):
+    turns = fx(spark, sf) if turns is None else turns
+    vocab = vocab or _vocab(spark, sf)
+    return AU.augment_turns(turns, cfg, vocab, seed=SEED, **kw)
+
+
+_KEY = ["split", "dialogue_idx", "turn_idx"]
+
+
+@query("augment_corpus")
+def q_augment_corpus(spark, sf):
+    """The whole corpus augmented with the default configuration (all turns)."""
+    return _aug(spark, sf, ActionConfig.preset("default")).select(
+        "split", "dialogue_idx", "copy_no", "turn_idx", "agent", "text")
+
+
+@query("augment_split")
+def q_augment_split(spark, sf):
+    """One split augmented with a vocabulary mined from that split only."""
+    trn = fx(spark, sf).where(F.col("split") == "trn")
+    vocab = V.SlotVocabulary.build(V.slot_values(trn))
+    return _aug(spark, sf, ActionConfig.preset("default"), turns=trn, vocab=vocab).select(
+        "dialogue_idx", "turn_idx", "agent", "text")
+
+
+@query("sample_actions")
+def q_sample_actions(spark, sf):
+    """The action drawn for every token of every augmentable user turn."""
+    a = _aug(spark, sf, ActionConfig.preset("default")).where("selected")
+    return a.select(*_KEY, F.array_join(AU.sampled_action_list(a), " ").alias("actions"))
+
+
+@query("augment_utterances")
+def q_augment_utterances(spark, sf):
+    """rewritten augmentable user turns."""
+    return _aug(spark, sf, ActionConfig.preset("default")).where("selected").select(*_KEY, "text")
+
+
+@query("action_probabilities")
+def q_action_probabilities(spark, sf):
+    """First-token action probabilities of each token type that occurs in the corpus."""
+    cfg = ActionConfig.preset("default")
+    vocab = _vocab(spark, sf)
+    toks = _user_turns(spark, sf).select(F.explode(T.tokenize("text")).alias("tok"))
+    types = toks.select(F.when(vocab.is_slot(F.col("tok")), "slot_value")
+                        .otherwise("background_word").alias("token_type"))
+    counts = types.groupBy("token_type").agg(F.count(F.lit(1)).alias("n_tokens"))
+    probs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).alias("action"),
+                               F.lit(float(p)).alias("probability"))
+                      for t in TOKEN_TYPES[:2] for a, p in cfg.probabilities(t).items()])
+    return counts.select("token_type", "n_tokens", F.explode(F.filter(
+        probs, lambda s: s["t"] == F.col("token_type"))).alias("p")).select(
+        "token_type", "p.action", "p.probability", "n_tokens")
+
+
+def _act_query(action: str):
+    def run(spark, sf):
+        three = action == "pp_restart"
+        a = _aug(spark, sf, single_action_config(action), token_types="three" if three else "two")
+        if action == "multiturn_correct":
+            return a.select(*_KEY, "orig_turn_idx", "agent", "text")
+        return a.where("selected").select(*_KEY, "text")
+    run.__name__ = f"q_act_{action}"
+    run.__doc__ = f"H: augmentation with `{action}` as the only action."
+    return run
+
+
+for _name, _action in [("act_hesitate", "hesitate"), ("act_correct", "correct"),
+                       ("act_correct_long", "correct_long_distance"),
+                       ("act_multiturn", "multiturn_correct"), ("act_selfcheck", "selfcheck"),
+                       ("act_restart", "restart"), ("act_pp_restart", "pp_restart")]:
+    query(_name)(_act_query(_action))
+
+
+@query("inline_tags")
+def q_inline_tags(spark, sf):
+    """H9: tags written while generating (three token types, default configuration)."""
+    a = _aug(spark, sf, ActionConfig.preset("default"), token_types="three", with_tags=True)
+    return a.where("selected").select(*_KEY, "text", F.array_join("tags", " ").alias("tags"))
+
+
+@query("augmentation_stats")
+def q_augmentation_stats(spark, sf):
+    cfg = ActionConfig.preset("default")
+    return DS.augmentation_stats(_aug(spark, sf, cfg), cfg)
+
+
+@query("limit_audit")
+def q_limit_audit(spark, sf):
+    cfg = ActionConfig.preset("default")
+    return DS.limit_audit(_aug(spark, sf, cfg), cfg)
+
+
+def _pairs(aug: DataFrame) -> DataFrame:
+    """I7 on a corpus augmented from the original: the original text travels with the row,
+    so the positional pairing (D1) needs no join here; `zip_join` pairs stored corpora."""
+    return aug.where((F.col("agent") == "user") & (F.lower("orig_text") != "<silence>"))
+
+
+@query("parallel_pairs")
+def q_parallel_pairs(spark, sf):
+    t = fx(spark, sf).withColumn("orig_text", F.col("text"))
+    a = _aug(spark, sf, ActionConfig.preset("default"), turns=t)
+    return _pairs(a).select(*_KEY, F.col("text").alias("babi_plus"), F.col("orig_text").alias("babi"))
+
+
+@query("multi_config_augment")
+def q_multi_config_augment(spark, sf):
+    """Each configuration applied to the whole corpus, then paired (one union)."""
+    from functools import reduce
+    t = fx(spark, sf).withColumn("orig_text", F.col("text"))
+    vocab = _vocab(spark, sf)
+    parts = [_pairs(_aug(spark, sf, ActionConfig.preset(c), turns=t, vocab=vocab)).select(
+        F.lit(c).alias("config_id"), *_KEY, F.col("text").alias("babi_plus"),
+        F.col("orig_text").alias("babi")) for c in MULTI_CONFIGS]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+def _count_query(kind: str):
+    def run(spark, sf):
+        cfg = ActionConfig.preset("default")
+        vocab = _vocab(spark, sf)
+        aug = _aug(spark, sf, cfg, vocab=vocab)
+        return DS.count_disfluencies(aug, cfg, vocab.values, kind)
+    run.__name__ = f"q_count_{kind}"
+    return run
+
+
+for _name, _kind in [("count_hesitations", "hesitate"), ("count_restarts", "restart"),
+                     ("count_corrections", "correct"), ("count_ld_corrections", "correct_long_distance")]:
+    query(_name)(_count_query(_kind))
+
+
+@query("disfluency_report")
+def q_disfluency_report(spark, sf):
+    """E7e: statistics of corpora augmented at several sizes (k copies per dialogue)."""
+    from functools import reduce
+    cfg = ActionConfig.preset("default")
+    vocab = _vocab(spark, sf)
+    parts = [_aug(spark, sf, cfg, turns=G.oversample(fx(spark, sf), multiplier=k), vocab=vocab)
+             .select(F.lit(f"{k}x").alias("corpus"), "agent", "text") for k in REPORT_MULTIPLIERS]
+    return DS.disfluency_report(reduce(lambda x, y: x.unionByName(y), parts), cfg, vocab.values)
+
+
+@query("disfluency_dataset")
+def q_disfluency_dataset(spark, sf):
+    """One split augmented (vocabulary of that split, three token types) with tags and POS."""
+    trn = fx(spark, sf).where(F.col("split") == "trn")
+    vocab = V.SlotVocabulary.build(V.slot_values(trn))
+    a = _aug(spark, sf, ActionConfig.preset("default"), turns=trn, vocab=vocab, token_types="three",
+             with_tags=True).where(F.col("agent") == "user")
+    return a.select("dialogue_idx", "turn_idx", F.col("text").alias("utterance"),
+                    F.array_join("tags", " ").alias("tags"),
+                    F.array_join(T.closed_class_pos(T.tokenize("text")), " ").alias("pos"))
+
+
+def _tagged(spark, sf):
+    cfg = ActionConfig.preset("default")
+    t = fx(spark, sf)
+    vocab = _vocab(spark, sf)
+    phrases = TG.collect_phrases(t, vocab)
+    aug = _aug(spark, sf, cfg, turns=t.withColumn("orig_text", F.col("text")), vocab=vocab)
+    pairs = _pairs(aug)
+    return TG.tag_utterances(pairs, "text", cfg, vocab, phrases)
+
+
+@query("tag_disfluencies")
+def q_tag_disfluencies(spark, sf):
+    """the finite-state tagger over the augmented user turns."""
+    return _tagged(spark, sf).select(*_KEY, F.array_join("tags", " ").alias("tags"),
+                                     "tag_length_mismatch")
+
+
+@query("tag_corpus")
+def q_tag_corpus(spark, sf):
+    """I4: parallel pairs -> tagger -> (utterance, tags) dataset rows."""
+    return _tagged(spark, sf).where(~F.col("tag_length_mismatch")).select(
+        *_KEY, F.col("text").alias("utterance"), F.array_join("tags", " ").alias("tags"))
+
+
+@query("render_tagged")
+def q_render_tagged(spark, sf):
+    """`token|tag` rendering of the generated tags."""
+    a = _aug(spark, sf, ActionConfig.preset("default"), token_types="three", with_tags=True)
+    return a.where("selected").select(*_KEY, T.render_tagged(T.tokenize("text"), "tags").alias("rendered"))
+
+
+@query("distinct_tagged")
+def q_distinct_tagged(spark, sf):
+    """The set of rendered tagged entries."""
+    return q_render_tagged(spark, sf).select("rendered").distinct()

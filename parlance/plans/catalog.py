@@ -693,3 +693,196 @@ def q_render_tagged(spark, sf):
 def q_distinct_tagged(spark, sf):
     """The set of rendered tagged entries."""
     return q_render_tagged(spark, sf).select("rendered").distinct()
+
+
+# ---------------------------------------------------------------- oracle SQL for the augmentation queries
+
+from . import oracle_augment as OA  # noqa: E402
+
+_SV_TRN = f"""sv_trn AS (
+  SELECT DISTINCT CAST(p - 2 AS INTEGER) AS slot_pos, tokens[p] AS value
+  FROM (SELECT {O.tok('text')} AS tokens FROM fx WHERE split = 'trn' AND starts_with(text, 'api_call')),
+       generate_series(2, len(tokens)) AS g(p))"""
+_FX0 = "fx0 AS (SELECT *, text AS orig_text, 0 AS copy_no FROM fx)"
+_FX0_TRN = "fx0_trn AS (SELECT *, 0 AS copy_no FROM fx WHERE split = 'trn')"
+
+
+def _aug_with(cfg: ActionConfig, turns="fx0", sv="slot_values", prefix="ag", three=False, extra=()):
+    return O.fx_vocab_with(_FX0, _SV_TRN, _FX0_TRN, *extra,
+                           *OA.augment_ctes(cfg, turns, sv, prefix, SEED, three=three))
+
+
+_DEF = ActionConfig.preset("default")
+_SEL = "WHERE selected"
+_ACTION_LIST_SQL = ("array_to_string(list_transform(range(n_tokens), lambda k: coalesce("
+                    "list_filter(actions, lambda q: q.i = k)[1].action, 'NULL')), ' ')")
+
+ORACLE["augment_corpus"] = _aug_with(_DEF) + \
+    "SELECT split, dialogue_idx, copy_no, turn_idx, agent, text FROM ag_out"
+ORACLE["augment_split"] = _aug_with(_DEF, turns="fx0_trn", sv="sv_trn") + \
+    "SELECT dialogue_idx, turn_idx, agent, text FROM ag_out"
+ORACLE["sample_actions"] = _aug_with(_DEF) + \
+    f"SELECT split, dialogue_idx, turn_idx, {_ACTION_LIST_SQL} AS actions FROM ag_out {_SEL}"
+ORACLE["augment_utterances"] = _aug_with(_DEF) + \
+    f"SELECT split, dialogue_idx, turn_idx, text FROM ag_out {_SEL}"
+ORACLE["inline_tags"] = _aug_with(_DEF, three=True) + \
+    f"SELECT split, dialogue_idx, turn_idx, text, array_to_string(tags, ' ') AS tags FROM ag_out {_SEL}"
+
+_H4_SQL = """
+m AS (SELECT *, lag(ins) OVER w AS prev_ins,
+             coalesce(sum(2 * len(ins)) OVER (PARTITION BY split, dialogue_idx, copy_no ORDER BY orig_turn_idx
+                                              RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS shift
+      FROM ag_out WINDOW w AS (PARTITION BY split, dialogue_idx, copy_no ORDER BY orig_turn_idx))
+SELECT split, dialogue_idx, CAST(orig_turn_idx + shift + mm AS INTEGER) AS turn_idx, orig_turn_idx,
+       CASE WHEN mm % 2 = 0 THEN agent ELSE 'usr' END AS agent,
+       CASE WHEN mm % 2 = 0 THEN text
+            ELSE coalesce(prev_ins, []::VARCHAR[])[len(coalesce(prev_ins, []::VARCHAR[])) - (mm - 1) // 2] END AS text
+FROM m, generate_series(0, 2 * len(coalesce(prev_ins, []::VARCHAR[]))) AS g(mm)"""
+
+for _name, _action in [("act_hesitate", "hesitate"), ("act_correct", "correct"),
+                       ("act_correct_long", "correct_long_distance"),
+                       ("act_multiturn", "multiturn_correct"), ("act_selfcheck", "selfcheck"),
+                       ("act_restart", "restart"), ("act_pp_restart", "pp_restart")]:
+    _cfg = single_action_config(_action)
+    if _action == "multiturn_correct":
+        ORACLE[_name] = _aug_with(_cfg).rstrip() + "," + _H4_SQL
+    else:
+        ORACLE[_name] = _aug_with(_cfg, three=_action == "pp_restart") + \
+            f"SELECT split, dialogue_idx, turn_idx, text FROM ag_out {_SEL}"
+
+
+def _metric_rows(cfg: ActionConfig) -> str:
+    acts = [a for a in cfg.actions if a != "NULL"]
+    rows = [
+        "SELECT 'dialogues_modified' AS metric, CAST(count(DISTINCT (split, dialogue_idx, copy_no)) "
+        "FILTER (WHERE len(actions) > 0) AS BIGINT) AS value FROM sel",
+        "SELECT 'utterances_modified', CAST(count(*) FILTER (WHERE len(actions) > 0 OR n_tokens = 0) AS BIGINT) FROM sel",
+        "SELECT 'NULL', CAST(coalesce(sum(n_tokens) - sum(len(actions)), 0) AS BIGINT) FROM sel",
+    ] + [f"SELECT {O.sql_str(a)}, CAST(coalesce(sum(len(list_filter(actions, lambda q: q.action = {O.sql_str(a)}))), 0) "
+         f"AS BIGINT) FROM sel" for a in acts]
+    return "\nUNION ALL ".join(rows)
+
+
+def _audit_rows(cfg: ActionConfig) -> str:
+    rows = []
+    for a in cfg.actions:
+        cnt = "n_tokens - len(actions)" if a == "NULL" else \
+            f"len(list_filter(actions, lambda q: q.action = {O.sql_str(a)}))"
+        rows.append(f"SELECT {O.sql_str(a)} AS action, CAST(coalesce(max({cnt}), 0) AS BIGINT) AS max_count, "
+                    f"CAST({cfg.limit(a)} AS BIGINT) AS action_limit FROM sel")
+    return "\nUNION ALL ".join(rows)
+
+
+ORACLE["augmentation_stats"] = _aug_with(_DEF, extra=()).rstrip() + \
+    ",\nsel AS (SELECT * FROM ag_out WHERE selected)\n" + _metric_rows(_DEF)
+ORACLE["limit_audit"] = _aug_with(_DEF).rstrip() + \
+    ",\nsel AS (SELECT * FROM ag_out WHERE selected)\n" + _audit_rows(_DEF)
+
+_PAIRS_WHERE = "WHERE agent = 'user' AND lower(orig_text) <> '<silence>'"
+ORACLE["parallel_pairs"] = _aug_with(_DEF) + \
+    f"SELECT split, dialogue_idx, turn_idx, text AS babi_plus, orig_text AS babi FROM ag_out {_PAIRS_WHERE}"
+
+
+def _multi_sql() -> str:
+    ctes = []
+    for k, c in enumerate(MULTI_CONFIGS):
+        ctes += OA.augment_ctes(ActionConfig.preset(c), "fx0", "slot_values", f"m{k}", SEED)
+    body = "\nUNION ALL ".join(
+        f"SELECT {O.sql_str(c)} AS config_id, split, dialogue_idx, turn_idx, text AS babi_plus, orig_text AS babi "
+        f"FROM m{k}_out {_PAIRS_WHERE}" for k, c in enumerate(MULTI_CONFIGS))
+    return O.fx_vocab_with(_FX0, *ctes) + body
+
+
+ORACLE["multi_config_augment"] = _multi_sql()
+
+
+def _grams(n: int) -> str:
+    return (f"list_transform(range(greatest(len(tk) - {n - 1}, 0)), "
+            f"lambda k: [{', '.join(f'tk[k + {j + 1}]' for j in range(n))}])")
+
+
+def _trigger_sql(kind: str, cfg: ActionConfig) -> tuple[int, str]:
+    """SQL predicate over an n-gram `g` (1-based list) for one disfluency kind."""
+    def lists(action):
+        return "[" + ", ".join("[" + ", ".join(O.sql_str(w) for w in l) + "]::VARCHAR[]"
+                               for l in DS.marker_lists(cfg, action)) + "]"
+    if kind == "hesitate":
+        starts = [t.split()[0] for t in cfg.templates["hesitate"] if t.split()]
+        return 2, f"g[1] IN {_sql_in(starts)} AND g[2] NOT IN {_sql_in(DS.HESITATION_EXCLUDED_NEXT)}"
+    if kind == "restart":
+        return 3, f"g[1] IN {_sql_in(DS.RESTART_FIRST)} AND g[2] IN {_sql_in(DS.RESTART_SECOND)}"
+    if kind == "correct":
+        m = lists("correct")
+        return 3, (f"(list_contains({m}, [g[1]]) AND list_contains(vl, g[2])) OR "
+                   f"(list_contains({m}, [g[1], g[2]]) AND list_contains(vl, g[3]))")
+    m = lists("correct_long_distance")
+    return 3, (f"(list_contains({m}, [g[1]]) AND g[2] IN {_L_WORDS} AND list_contains(vl, g[3])) OR "
+               f"(list_contains({m}, [g[1], g[2]]) AND g[3] IN {_L_WORDS})")
+
+
+def _count_sql(kind: str) -> str:
+    n, pred = _trigger_sql(kind, _DEF)
+    return _aug_with(_DEF).rstrip() + f""",
+vlc AS (SELECT list(value) AS vl FROM vocab),
+u AS (SELECT list_filter({_grams(n).replace('tk', 'toks2')}, lambda g: {pred}) AS hits
+      FROM (SELECT {O.tok('trim(text)')} AS toks2 FROM ag_out WHERE agent = 'user'), vlc)
+SELECT CAST(sum(len(hits)) AS BIGINT) AS n_triggers, count(*) FILTER (WHERE len(hits) > 0) AS n_turns,
+       (SELECT count(DISTINCT array_to_string(h, ' ')) FROM u, unnest(hits) AS x(h)) AS n_cases,
+       count(*) AS n_user_turns,
+       CAST(count(*) FILTER (WHERE len(hits) > 0) * 100 AS DOUBLE) / count(*) AS pct_turns
+FROM u"""
+
+
+for _name, _kind in [("count_hesitations", "hesitate"), ("count_restarts", "restart"),
+                     ("count_corrections", "correct"), ("count_ld_corrections", "correct_long_distance")]:
+    ORACLE[_name] = _count_sql(_kind)
+
+
+def _report_sql() -> str:
+    ctes = []
+    for k in REPORT_MULTIPLIERS:
+        ctes.append(f"c{k} AS (SELECT fx.*, CAST(c AS INTEGER) AS copy_no FROM fx, generate_series(0, {k - 1}) AS g(c))")
+        ctes += OA.augment_ctes(_DEF, f"c{k}", "slot_values", f"r{k}", SEED)
+    union = "\nUNION ALL ".join(f"SELECT '{k}x' AS corpus, agent, text FROM r{k}_out" for k in REPORT_MULTIPLIERS)
+    cols = []
+    for kind in DS.KINDS:
+        n, pred = _trigger_sql(kind, _DEF)
+        cols.append(f"CASE WHEN agent = 'user' THEN len(list_filter({_grams(n).replace('tk', 'toks2')}, "
+                    f"lambda g: {pred})) ELSE 0 END AS {kind}")
+    return O.fx_vocab_with(*ctes) + f""",
+vlc AS (SELECT list(value) AS vl FROM vocab),
+allc AS ({union}),
+x AS (SELECT corpus, agent, {', '.join(cols)}
+      FROM (SELECT corpus, agent, {O.tok('trim(text)')} AS toks2 FROM allc), vlc)
+SELECT corpus, count(*) AS n_turns, count(*) FILTER (WHERE agent = 'user') AS n_user_turns,
+       {', '.join(f'CAST(sum({k}) AS BIGINT) AS n_{k}' for k in DS.KINDS)},
+       {', '.join(f'count(*) FILTER (WHERE {k} > 0) AS turns_{k}' for k in DS.KINDS)}
+FROM x GROUP BY corpus"""
+
+
+ORACLE["disfluency_report"] = _report_sql()
+
+_POS_SQL = (f"array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN x IN {_sql_in(T.PREPOSITIONS)} "
+            f"THEN 'IN' WHEN x IN {_sql_in(T.DETERMINERS)} THEN 'DT' ELSE 'X' END), ' ')")
+ORACLE["disfluency_dataset"] = _aug_with(_DEF, turns="fx0_trn", sv="sv_trn", three=True) + f"""
+SELECT dialogue_idx, turn_idx, text AS utterance, array_to_string(tags, ' ') AS tags, {_POS_SQL} AS pos
+FROM ag_out WHERE agent = 'user'"""
+
+_RENDER_SQL = (f"(SELECT split, dialogue_idx, turn_idx, array_to_string(list_transform(range(least(len(tk), len(tags))), "
+               f"lambda k: tk[k + 1] || '|' || tags[k + 1]), ' ') AS rendered "
+               f"FROM (SELECT *, {O.tok('text')} AS tk FROM ag_out WHERE selected))")
+ORACLE["render_tagged"] = _aug_with(_DEF, three=True) + f"SELECT * FROM {_RENDER_SQL}"
+ORACLE["distinct_tagged"] = _aug_with(_DEF, three=True) + f"SELECT DISTINCT rendered FROM {_RENDER_SQL}"
+
+
+def _prob_sql(cfg: ActionConfig) -> str:
+    rows = ", ".join(f"({O.sql_str(t)}, {O.sql_str(a)}, {OA._d(cfg.base_weight(t, a))})"
+                     for t in TOKEN_TYPES[:2] for a in cfg.actions)
+    return O.fx_vocab_with(_VL, f"w(token_type, action, weight) AS (VALUES {rows})") + f"""
+, cnt AS (SELECT CASE WHEN list_contains(vl, x) THEN 'slot_value' ELSE 'background_word' END AS token_type, count(*) AS n_tokens
+         FROM (SELECT unnest({O.tok('text')}) AS x FROM fx WHERE agent = 'user'), vl GROUP BY 1)
+SELECT w.token_type, w.action, w.weight / sum(w.weight) OVER (PARTITION BY w.token_type) AS probability, cnt.n_tokens
+FROM w JOIN cnt USING (token_type)"""
+
+
+ORACLE["action_probabilities"] = _prob_sql(_DEF)

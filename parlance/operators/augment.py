@@ -85,15 +85,13 @@ def sample_picks(cfg: ActionConfig, elems: Column) -> Column:
         return F.when(ok, base).otherwise(F.lit(0.0))
 
     def choose(ws, u):
-        # first action whose cumulative weight exceeds u * total (exact: integral weights)
-        total = F.aggregate(ws, F.lit(0.0), lambda s, v: s + v)
-        init = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("k"), F.lit(0).alias("j"))
-        return _let(total * u, lambda thr: F.aggregate(
-            ws, init,
-            lambda st, v: F.struct(
-                (st["s"] + v).alias("s"),
-                F.when((st["k"] < 0) & (st["s"] + v > thr), st["j"]).otherwise(st["k"]).alias("k"),
-                (st["j"] + 1).alias("j")))["k"])
+        # first action whose cumulative weight exceeds u * total (exact: integral weights);
+        # a scalar CASE chain over prefix sums, no per-element allocation
+        n = len(acts)
+        cum = [ws[0]]
+        for k in range(1, n):
+            cum.append(cum[-1] + ws[k])
+        return _let(cum[-1] * u, lambda thr: _case_first([c > thr for c in cum], F.lit(-1)))
 
     def new_state(acc, a, i):
         fired = a != F.lit(null_k)
@@ -160,13 +158,17 @@ def _render(pieces) -> Column:
 
 
 def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Column,
-            picks: Column, keys: Sequence[Column]) -> Column:
-    """Fold the picks right to left; returns struct(toks, tags, ins)."""
+            picks: Column, keys: Sequence[Column], with_tags: bool = True) -> Column:
+    """Fold the picks right to left; returns struct(toks, tags, ins) (tags NULL unless asked)."""
     acts = cfg.actions
-    zero = F.struct(tokens.alias("toks"), F.transform(tokens, lambda t: F.lit("<f/>")).alias("tags"),
+    no_tags = F.lit(None).cast(_EMPTY_STR_ARR)
+    zero = F.struct(tokens.alias("toks"),
+                    (F.transform(tokens, lambda t: F.lit("<f/>")) if with_tags else no_tags).alias("tags"),
                     F.array().cast(_EMPTY_STR_ARR).alias("ins"))
 
     def state(st, toks=None, tags=None, ins=None):
+        if not with_tags:
+            tags = no_tags
         return F.struct((toks if toks is not None else st["toks"]).alias("toks"),
                         (tags if tags is not None else st["tags"]).alias("tags"),
                         (ins if ins is not None else st["ins"]).alias("ins"))
@@ -244,6 +246,14 @@ def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Colum
     return F.aggregate(F.reverse(picks), zero, step)
 
 
+def _case_first(conds: list[Column], default: Column) -> Column:
+    """Index of the first true condition (or `default`)."""
+    expr = None
+    for k, c in enumerate(conds):
+        expr = F.when(c, F.lit(k)) if expr is None else expr.when(c, F.lit(k))
+    return expr.otherwise(default) if expr is not None else default
+
+
 def _case(key: Column, branches: list[tuple[int, Column]], default: Column) -> Column:
     if not branches:
         return default
@@ -292,7 +302,7 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
     empty_picks = F.array().cast("array<struct<i:int,a:int>>")
 
     def outputs(p):
-        rw = F.when(F.size(p) > 0, rewrite(cfg, vocab, F.col("_toks"), pos, p, keys))
+        rw = F.when(F.size(p) > 0, rewrite(cfg, vocab, F.col("_toks"), pos, p, keys, with_tags))
         return _let(rw, lambda r: F.struct(
             F.transform(p, lambda x: F.struct(x["i"].alias("i"),
                                               F.element_at(names, x["a"] + 1).alias("action")))

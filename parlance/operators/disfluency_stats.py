@@ -54,32 +54,27 @@ KINDS = ["hesitate", "restart", "correct", "correct_long_distance"]
 
 def count_disfluencies(turns: DataFrame, cfg: ActionConfig, slot_values: list[str], kind: str,
                        by: list[str] | None = None) -> DataFrame:
-    """E7a-d: triggers, user turns with at least one, distinct cases, share of user turns."""
+    """E7a-d: triggers, user turns with at least one, distinct cases, share of user turns.
+
+    One pass: `posexplode_outer` keeps one row per turn without hits, so every count comes
+    from a single aggregation (one distinct aggregate: a two-phase plan, no Expand).
+    """
     by = by or []
     n, pred = trigger_matches(kind, cfg, slot_values)
-    u = turns.where(F.col("agent") == "user").select(*by, tokenize(F.trim("text")).alias("toks"))
-    hits = F.filter(ngrams("toks", n), pred)
-    u = u.select(*by, hits.alias("hits"))
-    agg = u.groupBy(*by).agg(
-        F.sum(F.size("hits")).cast("bigint").alias("n_triggers"),
-        F.count(F.when(F.size("hits") > 0, 1)).alias("n_turns"),
-        F.count(F.lit(1)).alias("n_user_turns"),
+    u = turns.where(F.col("agent") == "user").select(
+        *by, F.filter(ngrams(tokenize(F.trim("text")), n), pred).alias("hits"))
+    ex = u.select(*by, F.posexplode_outer("hits").alias("k", "h"))
+    k = F.col("k")
+    agg = ex.groupBy(*by).agg(
+        F.count("h").alias("n_triggers"),
+        F.count(F.when(k == 0, 1)).alias("n_turns"),
+        F.countDistinct(F.array_join("h", " ")).alias("n_cases"),
+        F.count(F.when(k.isNull() | (k == 0), 1)).alias("n_user_turns"),
     )
-    cases = (u.select(*by, F.explode("hits").alias("h"))
-             .groupBy(*by).agg(F.countDistinct(F.array_join("h", " ")).alias("n_cases")))
-    out = _attach(agg, cases, by)
-    return out.select(*by, "n_triggers", "n_turns", F.coalesce("n_cases", F.lit(0)).alias("n_cases"),
-                      "n_user_turns",
+    return agg.select(*by, "n_triggers", "n_turns", "n_cases", "n_user_turns",
                       ((F.col("n_turns") * 100).cast("double") / F.col("n_user_turns")).alias("pct_turns"))
 
 
-def _attach(agg: DataFrame, cases: DataFrame, by: list[str]) -> DataFrame:
-    if by:
-        return agg.join(cases, by, "left")
-    # both sides are single-row global aggregates: join on a constant key
-    return agg.withColumn("_k", F.lit(1)).join(cases.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-
-
 def disfluency_report(corpora: DataFrame, cfg: ActionConfig, slot_values: list[str]) -> DataFrame:
     """E7e: per corpus: #turns, #user turns and the four trigger counts (one pass)."""
     u = corpora.select("corpus", "agent", tokenize(F.trim("text")).alias("toks"))

@@ -886,3 +886,26 @@ FROM w JOIN cnt USING (token_type)"""
 
 
 ORACLE["action_probabilities"] = _prob_sql(_DEF)
+
+
+def _tagger_sql(final: str) -> str:
+    delex = "list_transform(tk, lambda x: CASE WHEN list_contains(vl, x) THEN '<value>' ELSE x END)"
+    phr = f"""phr AS (
+  SELECT list(DISTINCT list_transform(string_split(phrase, ' '), lambda x: CASE WHEN list_contains(vl, x)
+                                      THEN '<value>' ELSE x END)) AS P
+  FROM (SELECT DISTINCT {_sql_phrase('toks', 'i')} AS phrase
+        FROM (SELECT {O.tok('text')} AS toks FROM fx) t, vl, generate_series(1, len(toks)) AS g(i)
+        WHERE list_contains(vl, toks[i])), vl)"""
+    tg = OA.tagger_sql(delex, TG.markers(_DEF), "P")
+    return _aug_with(_DEF, extra=(_VL, phr)).rstrip() + f""",
+pairs AS (SELECT *, {O.tok('text')} AS tk FROM ag_out {_PAIRS_WHERE}),
+tagged AS (SELECT split, dialogue_idx, turn_idx, text, tk, {tg} AS tg FROM pairs, vl, phr)
+{final}"""
+
+
+ORACLE["tag_disfluencies"] = _tagger_sql(
+    "SELECT split, dialogue_idx, turn_idx, CASE WHEN len(tg) = len(tk) THEN array_to_string(tg, ' ') END AS tags, "
+    "len(tg) <> len(tk) AS tag_length_mismatch FROM tagged")
+ORACLE["tag_corpus"] = _tagger_sql(
+    "SELECT split, dialogue_idx, turn_idx, text AS utterance, array_to_string(tg, ' ') AS tags "
+    "FROM tagged WHERE len(tg) = len(tk)")

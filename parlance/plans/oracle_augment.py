@@ -225,3 +225,52 @@ def augment_ctes(cfg: ActionConfig, turns: str, sv: str, prefix: str, seed: int
          list_transform(picks, lambda q: {{'i': q.i, 'action': {names}[q.a + 1]}}) AS actions
   FROM {prefix}_r)""",
     ]
+
+
+def tagger_sql(tokens: str, markers: list[list[str]], phrases: str) -> str:
+    """SQL fold of the disfluency tagger over a delexicalised token list.
+
+    `phrases` is an SQL expression of type VARCHAR[][] (delexicalised slot phrases)."""
+    M = "[" + ", ".join("[" + ", ".join(sql_str(w) for w in m) + "]::VARCHAR[]" for m in markers) + "]"
+
+    def mtp(buf, lists):
+        return (f"(len({buf}) > 0 AND len(list_filter({lists}, lambda m: len(m) >= len({buf}) "
+                f"AND m[1:len({buf})] = {buf})) > 0)")
+
+    def pre(buf, target):
+        return f"(len({buf}) > 0 AND len({target}) >= len({buf}) AND {target}[1:len({buf})] = {buf})"
+
+    def mk(st, s=None, fl=None, rep=None, itg=None, rpr=None, tags=None):
+        return ("{'s': " + (str(s) if s is not None else f"{st}.s") + ", 'fl': " + (fl or f"{st}.fl")
+                + ", 'rep': " + (rep or f"{st}.rep") + ", 'itg': " + (itg or f"{st}.itg")
+                + ", 'rpr': " + (rpr or f"{st}.rpr") + ", 'tags': " + (tags or f"{st}.tags") + "}")
+
+    def flush(st):
+        ni, nr = f"len({st}.itg)", f"len({st}.rpr)"
+        return (f"list_concat({st}.tags, {_rep('<f/>', f'{st}.fl')}, "
+                f"CASE WHEN {ni} > 0 AND list_contains({M}, {st}.itg) THEN {_rep('<e/>', ni)} ELSE {_rep('<f/>', ni)} END, "
+                f"CASE WHEN {nr} = 1 THEN ['<rm-' || CAST({ni} + 1 AS VARCHAR) || '/><rpEndSub/>'] "
+                f"WHEN {nr} > 1 THEN list_concat(['<rm-' || CAST({ni} + 1 AS VARCHAR) || '/><rpMid/>'], "
+                f"{_rep('<f/>', f'{nr} - 2')}, ['<rpEnd/>']) ELSE []::VARCHAR[] END)")
+
+    st, E = "st", "[]::VARCHAR[]"
+    one, itg_t, rep_t, rpr_t = "[t]", "list_concat(st.itg, [t])", "list_concat(st.rep, [t])", "list_concat(st.rpr, [t])"
+    fl1 = "st.fl + 1"
+    reset = dict(fl="1", rep=E, itg=E, rpr=E)
+    fluent = (f"CASE WHEN {mtp(one, M)} THEN {mk(st, s=1, itg=itg_t)} "
+              f"WHEN {mtp(rep_t, phrases)} THEN {mk(st, s=2, fl=fl1, rep=rep_t)} ELSE {mk(st, fl=fl1)} END")
+    interregnum = (f"CASE WHEN {mtp(itg_t, M)} THEN {mk(st, itg=itg_t)} "
+                   f"WHEN {pre(rpr_t, 'st.rep')} THEN {mk(st, s=3, rpr=rpr_t)} "
+                   f"WHEN t = '<value>' THEN {mk(st, rpr=one)} "
+                   f"ELSE {mk(st, s=0, tags=flush(st), **reset)} END")
+    reparandum = (f"CASE WHEN {mtp(rep_t, phrases)} THEN {mk(st, rep=rep_t, fl=fl1)} "
+                  f"WHEN {mtp(itg_t, M)} THEN {mk(st, s=1, itg=itg_t)} "
+                  f"WHEN {mtp(one, phrases)} THEN {mk(st, s=2, tags=flush(st), fl='1', rep=one, itg=E, rpr=E)} "
+                  f"ELSE {mk(st, s=0, tags=flush(st), **reset)} END")
+    repair = (f"CASE WHEN {pre(rpr_t, 'st.rep')} THEN {mk(st, rpr=rpr_t)} "
+              f"WHEN {mtp(one, M)} THEN {mk(st, s=1, tags=flush(st), fl='0', rep=E, itg=one, rpr=E)} "
+              f"WHEN {mtp(one, phrases)} THEN {mk(st, s=2, tags=flush(st), fl='1', rep=one, itg=E, rpr=E)} "
+              f"ELSE {mk(st, s=0, tags=flush(st), **reset)} END")
+    step = f"CASE st.s WHEN 0 THEN {fluent} WHEN 1 THEN {interregnum} WHEN 2 THEN {reparandum} ELSE {repair} END"
+    zero = "{'s': 0, 'fl': 0, 'rep': []::VARCHAR[], 'itg': []::VARCHAR[], 'rpr': []::VARCHAR[], 'tags': []::VARCHAR[]}"
+    return _let(f"list_reduce({tokens}, lambda st, t: {step}, {zero})", "fin", flush("fin"))

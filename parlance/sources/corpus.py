@@ -110,6 +110,12 @@ def load_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     return df.select(*TURN_COLUMNS)
 
 
+def corpus_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where `load_corpus` stored the turns table of `sf_dir` (materializing it if needed)."""
+    load_corpus(spark, sf_dir)
+    return _MATERIALIZED[(id(spark.sparkContext._jsc), sf_dir.rstrip("/"))]
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations(conv_id, turn, role, text)` in the canonical turn layout."""
     c = table(spark, sf_dir, "conversations")

@@ -60,6 +60,12 @@ def _prefix_of(buf: Column, target: Column) -> Column:
     return (n > 0) & (F.size(target) >= n) & (F.slice(target, 1, n) == buf)
 
 
+def _starts(t: Column, lists) -> Column:
+    """[t] is a prefix of one of the literal lists: first-word membership (a hash-set lookup)."""
+    firsts = sorted({l[0] for l in lists if l})
+    return t.isin(firsts) if firsts else F.lit(False)
+
+
 def _rep(tag: str, n: Column) -> Column:
     return F.array_repeat(F.lit(tag), F.greatest(n, F.lit(0)).cast("int"))
 
@@ -67,6 +73,8 @@ def _rep(tag: str, n: Column) -> Column:
 def tag_tokens(tokens: Column, marker_lists: list[list[str]], phrase_lists) -> Column:
     """Fold the tagger over a token array (already delexicalised); returns the tag array."""
     M, P = _lit_lists(marker_lists), _lit_lists([list(p) for p in phrase_lists])
+    m_start = lambda t: _starts(t, marker_lists)
+    p_start = lambda t: _starts(t, phrase_lists)
     empty = F.array().cast(_SA)
 
     def mk(st, s=None, fl=None, rep=None, itg=None, rpr=None, tags=None):
@@ -92,8 +100,10 @@ def tag_tokens(tokens: Column, marker_lists: list[list[str]], phrase_lists) -> C
         one = F.array(t)
         itg_t, rep_t, rpr_t = F.concat(st["itg"], one), F.concat(st["rep"], one), F.concat(st["rpr"], one)
         fl1 = st["fl"] + 1
-        fluent = (F.when(_prefix_of_any(one, M), mk(st, s=INTERREGNUM, itg=itg_t))
-                  .when(_prefix_of_any(rep_t, P), mk(st, s=REPARANDUM, fl=fl1, rep=rep_t))
+        # one-token buffers (the common case) reduce to first-word lookups
+        rep_starts = F.when(F.size(st["rep"]) == 0, p_start(t)).otherwise(_prefix_of_any(rep_t, P))
+        fluent = (F.when(m_start(t), mk(st, s=INTERREGNUM, itg=itg_t))
+                  .when(rep_starts, mk(st, s=REPARANDUM, fl=fl1, rep=rep_t))
                   .otherwise(mk(st, fl=fl1)))
         reset = dict(fl=F.lit(1), rep=empty, itg=empty, rpr=empty)
         interregnum = (F.when(_prefix_of_any(itg_t, M), mk(st, itg=itg_t))
@@ -102,14 +112,14 @@ def tag_tokens(tokens: Column, marker_lists: list[list[str]], phrase_lists) -> C
                        .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
         reparandum = (F.when(_prefix_of_any(rep_t, P), mk(st, rep=rep_t, fl=fl1))
                       .when(_prefix_of_any(itg_t, M), mk(st, s=INTERREGNUM, itg=itg_t))
-                      .when(_prefix_of_any(one, P), mk(st, s=REPARANDUM, tags=flushed(st),
-                                                       fl=F.lit(1), rep=one, itg=empty, rpr=empty))
+                      .when(p_start(t), mk(st, s=REPARANDUM, tags=flushed(st),
+                                           fl=F.lit(1), rep=one, itg=empty, rpr=empty))
                       .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
         repair = (F.when(_prefix_of(rpr_t, st["rep"]), mk(st, rpr=rpr_t))
-                  .when(_prefix_of_any(one, M), mk(st, s=INTERREGNUM, tags=flushed(st), fl=F.lit(0),
-                                                   rep=empty, itg=one, rpr=empty))
-                  .when(_prefix_of_any(one, P), mk(st, s=REPARANDUM, tags=flushed(st), fl=F.lit(1),
-                                                   rep=one, itg=empty, rpr=empty))
+                  .when(m_start(t), mk(st, s=INTERREGNUM, tags=flushed(st), fl=F.lit(0),
+                                       rep=empty, itg=one, rpr=empty))
+                  .when(p_start(t), mk(st, s=REPARANDUM, tags=flushed(st), fl=F.lit(1),
+                                       rep=one, itg=empty, rpr=empty))
                   .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
         return (F.when(st["s"] == FLUENT, fluent).when(st["s"] == INTERREGNUM, interregnum)
                 .when(st["s"] == REPARANDUM, reparandum).otherwise(repair))

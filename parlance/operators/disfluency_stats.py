@@ -23,12 +23,15 @@ def marker_lists(cfg: ActionConfig, action: str) -> list[list[str]]:
     return [[t for t in tmpl.split() if not t.startswith("$")] for tmpl in cfg.templates.get(action, [])]
 
 
-def _arr_in(gram_part: Column, lists: list[list[str]]) -> Column:
-    """gram_part (array) equals one of the literal token lists."""
-    if not lists:
+def _marker_is(words: list[Column], lists: list[list[str]]) -> Column:
+    """The given tokens equal one of the literal marker lists of the same length.
+
+    Tokens never contain whitespace, so list equality is equality of the space-joined
+    strings: a hash-set lookup instead of array comparisons."""
+    keys = sorted({" ".join(l) for l in lists if len(l) == len(words)})
+    if not keys:
         return F.lit(False)
-    return F.exists(F.array(*[F.array(*[F.lit(w) for w in l]) if l else F.array().cast("array<string>")
-                              for l in lists]), lambda m: m == gram_part)
+    return F.concat_ws(" ", *words).isin(keys)
 
 
 def trigger_matches(kind: str, cfg: ActionConfig, slot_values: list[str]) -> tuple[int, callable]:
@@ -41,11 +44,11 @@ def trigger_matches(kind: str, cfg: ActionConfig, slot_values: list[str]) -> tup
         return 3, lambda g: in_set(g[0], RESTART_FIRST) & in_set(g[1], RESTART_SECOND)
     if kind == "correct":
         m = marker_lists(cfg, "correct")
-        return 3, lambda g: (_arr_in(F.array(g[0]), m) & sv(g[1])) | (_arr_in(F.array(g[0], g[1]), m) & sv(g[2]))
+        return 3, lambda g: (_marker_is([g[0]], m) & sv(g[1])) | (_marker_is([g[0], g[1]], m) & sv(g[2]))
     if kind == "correct_long_distance":
         m = marker_lists(cfg, "correct_long_distance")
-        return 3, lambda g: ((_arr_in(F.array(g[0]), m) & in_set(g[1], PHRASE_LEFT_WORDS) & sv(g[2]))
-                             | (_arr_in(F.array(g[0], g[1]), m) & in_set(g[2], PHRASE_LEFT_WORDS)))
+        return 3, lambda g: ((_marker_is([g[0]], m) & in_set(g[1], PHRASE_LEFT_WORDS) & sv(g[2]))
+                             | (_marker_is([g[0], g[1]], m) & in_set(g[2], PHRASE_LEFT_WORDS)))
     raise ValueError(kind)
 
 

@@ -909,3 +909,10 @@ ORACLE["tag_disfluencies"] = _tagger_sql(
 ORACLE["tag_corpus"] = _tagger_sql(
     "SELECT split, dialogue_idx, turn_idx, text AS utterance, array_to_string(tg, ' ') AS tags "
     "FROM tagged WHERE len(tg) = len(tk)")
+
+
+@query("read_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
+def q_read_permutation(spark, sf):
+    """A9 round trip: the corpus permutation written as `;`-separated lines, read back."""
+    lines = A.render_permutation(G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf))), 1000)
+    return A.parse_permutation(lines, 1000)

@@ -112,8 +112,22 @@ def read_parallel_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
-def parse_permutation(lines: DataFrame) -> DataFrame:
-    """A permutation line of `;`- or space-separated ints -> (rank, dialogue_ord)."""
+def parse_permutation(lines: DataFrame, width: int | None = None) -> DataFrame:
+    """Permutation lines of `;`- or space-separated ints -> (rank, dialogue_ord).
+
+    The reference reads one line; with `line_no` and a fixed `width` per line, a long
+    permutation is read as many bounded lines: rank = line_no * width + position.
+    """
     ints = F.filter(F.split(F.trim("value"), r"[; ]+"), lambda x: x != "")
-    return lines.select(F.posexplode(ints).alias("rank", "v")).select(
-        F.col("rank").cast("bigint"), F.col("v").cast("bigint").alias("dialogue_ord"))
+    base = (F.col("line_no") * width) if width else F.lit(0)
+    return lines.select(base.alias("_b"), F.posexplode(ints).alias("_p", "v")).select(
+        (F.col("_b") + F.col("_p")).cast("bigint").alias("rank"),
+        F.col("v").cast("bigint").alias("dialogue_ord"))
+
+
+def render_permutation(permutation: DataFrame, width: int = 1000, sep: str = ";") -> DataFrame:
+    """Permutation as text lines of `width` ints (bounded groups), for files and round trips."""
+    g = permutation.groupBy((F.col("rank") / width).cast("bigint").alias("line_no")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "dialogue_ord"))).alias("_r"))
+    return g.select("line_no", F.array_join(F.transform("_r", lambda x: x["dialogue_ord"].cast("string")),
+                                            sep).alias("value"))

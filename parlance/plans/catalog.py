@@ -916,3 +916,26 @@ def q_read_permutation(spark, sf):
     """A9 round trip: the corpus permutation written as `;`-separated lines, read back."""
     lines = A.render_permutation(G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf))), 1000)
     return A.parse_permutation(lines, 1000)
+
+
+_ECHO_KEY = "split, CAST(dialogue_idx AS VARCHAR), CAST(turn_idx AS VARCHAR)"
+
+
+@query("echo_dataset", O.fx_with(_FREQ_SQL, _THR_SQL, """items AS (
+  SELECT t.split, t.dialogue_idx, t.turn_idx, t.text
+  FROM fx t JOIN freq f ON t.split = f.split AND t.text = f.text JOIN thr h ON t.split = h.split
+  WHERE t.agent = 'user' AND f.freq < h.threshold)""", f"""ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '273', {_ECHO_KEY})), split) - 1 AS rank,
+         count(*) OVER () AS n FROM items)""") + """
+SELECT split, dialogue_idx, turn_idx, rank, text AS encoder, text AS decoder,
+       CASE WHEN rank < CAST(floor(0.8 * n) AS BIGINT) THEN 'train'
+            WHEN rank < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor((n - CAST(floor(0.8 * n) AS BIGINT)) / 2.0) AS BIGINT)
+            THEN 'dev' ELSE 'test' END AS part
+FROM ranked""")
+def q_echo_dataset(spark, sf):
+    """User turns below their split's 95th-percentile text frequency, shuffled and split
+    0.8 / 0.1 / 0.1 exactly; the encoder and decoder sides are the same text."""
+    items = S.infrequent_turns(fx(spark, sf)).select("split", "dialogue_idx", "turn_idx", "text")
+    r = G.ratio_split(items, ["split", "dialogue_idx", "turn_idx"])
+    return r.select("split", "dialogue_idx", "turn_idx", "rank", F.col("text").alias("encoder"),
+                    F.col("text").alias("decoder"), "part")

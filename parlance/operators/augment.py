@@ -32,20 +32,6 @@ from .vocab import SlotVocabulary
 
 TYPE_CODE = {t: i for i, t in enumerate(TOKEN_TYPES)}  # background_word 0, slot_value 1, pp_start 2
 
-# which placeholders each action fills (others stay literal text)
-FILLS = {
-    "hesitate": ("$token",),
-    "selfcheck": ("$token",),
-    "restart": ("$token", "$utterance_from_beginning"),
-    "pp_restart": ("$token", "$pp"),
-    "correct": ("$incorrect_value", "$correct_value"),
-    "multiturn_correct": ("$incorrect_value", "$correct_value"),
-    "correct_long_distance": ("$incorrect_phrase", "$correct_phrase"),
-}
-# tag layout of the replaced span: restart / pp_restart mark a repair, the rest mark
-# placeholders fluent and template words as edit terms
-TAG_MODE = {"restart": "restart", "pp_restart": "pp"}
-
 _EMPTY_STR_ARR = "array<string>"
 
 

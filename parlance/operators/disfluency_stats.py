@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import PHRASE_LEFT_WORDS, in_set, ngrams, tokenize
 from ..sources.config import ActionConfig
@@ -79,7 +80,10 @@ def count_disfluencies(turns: DataFrame, cfg: ActionConfig, slot_values: list[st
 
 
 def disfluency_report(corpora: DataFrame, cfg: ActionConfig, slot_values: list[str]) -> DataFrame:
-    """E7e: per corpus: #turns, #user turns and the four trigger counts (one pass)."""
+    """E7e: per corpus: #turns, #user turns and the four trigger counts (one pass).
+
+    `corpus` may be a string or an array of corpus labels (a row counted in each): the
+    n-gram work is done once per row, and only the small count rows are exploded."""
     u = corpora.select("corpus", "agent", tokenize(F.trim("text")).alias("toks"))
     cols = []
     for kind in KINDS:
@@ -87,6 +91,8 @@ def disfluency_report(corpora: DataFrame, cfg: ActionConfig, slot_values: list[s
         cols.append(F.when(F.col("agent") == "user", F.size(F.filter(ngrams("toks", n), pred)))
                     .otherwise(0).alias(kind))
     x = u.select("corpus", "agent", *cols)
+    if isinstance(corpora.schema["corpus"].dataType, ArrayType):
+        x = x.select(F.explode("corpus").alias("corpus"), "agent", *KINDS)
     return x.groupBy("corpus").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.count(F.when(F.col("agent") == "user", 1)).alias("n_user_turns"),

@@ -637,13 +637,20 @@ for _name, _kind in [("count_hesitations", "hesitate"), ("count_restarts", "rest
 
 @query("disfluency_report")
 def q_disfluency_report(spark, sf):
-    """E7e: statistics of corpora augmented at several sizes (k copies per dialogue)."""
-    from functools import reduce
+    """E7e: statistics of corpora augmented at several sizes (k copies per dialogue).
+
+    Draws are keyed by copy number, so the k-copy corpus is exactly copies 0..k-1 of the
+    largest one: augment the largest once and label each row with every corpus it belongs to.
+    """
     cfg = ActionConfig.preset("default")
     vocab = _vocab(spark, sf)
-    parts = [_aug(spark, sf, cfg, turns=G.oversample(fx(spark, sf), multiplier=k), vocab=vocab)
-             .select(F.lit(f"{k}x").alias("corpus"), "agent", "text") for k in REPORT_MULTIPLIERS]
-    return DS.disfluency_report(reduce(lambda x, y: x.unionByName(y), parts), cfg, vocab.values)
+    aug = _aug(spark, sf, cfg, turns=G.oversample(fx(spark, sf), multiplier=max(REPORT_MULTIPLIERS)),
+               vocab=vocab)
+    labels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f"{k}x").alias("corpus"))
+                       for k in REPORT_MULTIPLIERS])
+    member = F.filter(labels, lambda m: F.col("copy_no") < m["k"])
+    corpora = aug.select(F.transform(member, lambda m: m["corpus"]).alias("corpus"), "agent", "text")
+    return DS.disfluency_report(corpora, cfg, vocab.values)
 
 
 @query("disfluency_dataset")

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.bpe import op3_bpe_automaton
+from parlance.llm.packing import op7_curve_packing
 from parlance.llm.simhash import op8_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_automaton": op3_bpe_automaton,
+    "op7_curve_packing": op7_curve_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.bpe import op3_bpe_automaton
+from parlance.llm.lines import op1_line_dedup
 from parlance.llm.packing import op7_curve_packing
 from parlance.llm.simhash import op8_simhash_near_dedup
 from parlance.llm.substrings import op5_recompression_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op5_recompression_dedup": op5_recompression_dedup,
     "op7_curve_packing": op7_curve_packing,

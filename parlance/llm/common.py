@@ -221,11 +221,14 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hashes of the spans [starts, ends) of a sequence of 64-bit codes."""
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, cuts=()):
+    """Polynomial hashes of the spans [starts, ends) of a sequence of 64-bit codes; with `cuts` (other
+    ends of the same spans) a list of hashes, one array per end."""
     sums = np.zeros(len(codes) + 1, U64)
     np.cumsum(codes * powers(which, len(codes)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(which, len(codes) + 1, True)[starts])
+    base, back = sums[starts], powers(which, len(codes) + 1, True)[starts]
+    out = [mix((sums[e] - base) * back) for e in (ends, *cuts)]
+    return out if cuts else out[0]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:

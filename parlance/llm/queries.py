@@ -11,6 +11,7 @@ from parlance.llm.lines import op1_line_dedup
 from parlance.llm.packing import op7_curve_packing
 from parlance.llm.simhash import op8_simhash_near_dedup
 from parlance.llm.substrings import op5_recompression_dedup
+from parlance.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_recompression_dedup": op5_recompression_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

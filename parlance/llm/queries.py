@@ -7,19 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.bpe import op3_bpe_automaton
+from parlance.llm.license_scan import op4_license_scan
+from parlance.llm.license_scan import oracle_sql as license_sql
 from parlance.llm.lines import op1_line_dedup
 from parlance.llm.packing import op7_curve_packing
+from parlance.llm.quality import op2_quality_classifier
 from parlance.llm.simhash import op8_simhash_near_dedup
 from parlance.llm.substrings import op5_recompression_dedup
 from parlance.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_license_scan": op4_license_scan,
     "op5_recompression_dedup": op5_recompression_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_license_scan": license_sql()}

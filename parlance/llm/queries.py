@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.bpe import op3_bpe_automaton
+from parlance.llm.embedding_dedup import op6_embedding_dedup
 from parlance.llm.license_scan import op4_license_scan
 from parlance.llm.license_scan import oracle_sql as license_sql
 from parlance.llm.lines import op1_line_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_license_scan": op4_license_scan,
     "op5_recompression_dedup": op5_recompression_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.ann import op9_learned_partitions
 from parlance.llm.bpe import op3_bpe_automaton
 from parlance.llm.embedding_dedup import op6_embedding_dedup
 from parlance.llm.license_scan import op4_license_scan
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_learned_partitions": op9_learned_partitions,
     "op10_toxicity": op10_toxicity,
 }
 

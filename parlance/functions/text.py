@@ -43,8 +43,9 @@ def tokenize(text: Column | str) -> Column:
     return F.filter(F.split(_c(text), r"(?U)\s+"), lambda t: t != F.lit(""))
 
 
-def detokenize(tokens: Column | str) -> Column:
-    return F.array_join(_c(tokens), " ")
+def let(value: Column, fn) -> Column:
+    """Bind `value` once and use it several times in `fn` (it is evaluated once a row)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def clean_text(text: Column | str, replacements: Sequence[tuple[str, str]]) -> Column:
@@ -74,12 +75,11 @@ def in_set(x: Column, words: Iterable[str]) -> Column:
 
 def ngrams(tokens: Column | str, n: int) -> Column:
     """Adjacent n-grams of one token array as an array of arrays (empty when shorter than n)."""
-    t = _c(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(t) - n),
-        lambda i: F.array(*[t[i + k] for k in range(n)]),
-    )
-    return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<array<string>>"))
+    def grams(t: Column) -> Column:
+        g = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array(*[t[i + k] for k in range(n)]))
+        return F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(_c(tokens), grams)
 
 
 def phrase_bounds(tokens: Column | str, idx: Column,
@@ -126,11 +126,6 @@ def closed_class_pos(tokens: Column | str) -> Column:
     )
 
 
-def template_operands_removed(template: Column | str) -> Column:
-    """Template tokens with `$…` placeholders dropped (the marker words of a template)."""
-    return F.filter(tokenize(template), lambda x: ~x.startswith("$"))
-
-
 def render_tagged(tokens: Column | str, tags: Column | str) -> Column:
     """`token|tag` pairs joined by spaces, truncated to the shorter array."""
     t, g = _c(tokens), _c(tags)

@@ -27,17 +27,15 @@ from pyspark.sql import Window
 from ..functions.rng import pick_index, uniform
 from ..functions.text import (PREPOSITIONS, _slice0, clean_text, closed_class_pos, in_set,
                               is_silence, phrase_bounds, tokenize)
+from ..functions.text import let as _let
 from ..sources.config import TOKEN_TYPES, ActionConfig
 from .vocab import SlotVocabulary
 
 TYPE_CODE = {t: i for i, t in enumerate(TOKEN_TYPES)}  # background_word 0, slot_value 1, pp_start 2
 
 _EMPTY_STR_ARR = "array<string>"
-
-
-def _let(value: Column, fn) -> Column:
-    """Bind `value` once and use it several times in `fn` (keeps expression trees small)."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
+VALUE_ACTIONS = ("correct", "multiturn_correct", "correct_long_distance")
+ROW_KEY = ["split", "dialogue_idx", "copy_no", "turn_idx"]
 
 
 def _splice(arr: Column, start: Column, end: Column, ins: Column) -> Column:
@@ -145,7 +143,10 @@ def _render(pieces) -> Column:
 
 def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Column,
             picks: Column, keys: Sequence[Column], with_tags: bool = True) -> Column:
-    """Fold the picks right to left; returns struct(toks, tags, ins) (tags NULL unless asked)."""
+    """Fold the picks right to left; returns struct(toks, tags, ins) (tags NULL unless asked).
+
+    With a joined vocabulary the picks carry `slot` and `wrong` (see `draw_wrong_values`).
+    """
     acts = cfg.actions
     no_tags = F.lit(None).cast(_EMPTY_STR_ARR)
     zero = F.struct(tokens.alias("toks"),
@@ -159,15 +160,14 @@ def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Colum
                         (tags if tags is not None else st["tags"]).alias("tags"),
                         (ins if ins is not None else st["ins"]).alias("ins"))
 
-    def act_state(st, a, i, word):
+    def act_state(st, a, p, i, word):
         templates = cfg.templates.get(a, [])
         if not templates or a == "NULL":
             return st
         toks = st["toks"]
         ut = uniform(*keys, i, "template")
         uv = uniform(*keys, i, "value")
-        conf = vocab.confusables(word)
-        slot_ok = vocab.is_slot(word)
+        slot_ok = vocab.is_slot(word) if vocab.inlined else p["slot"]
 
         def per_template(tmpl: str, wrong: Column | None) -> Column:
             one = F.array(word)
@@ -214,11 +214,9 @@ def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Colum
             return _let(pick_index(ut, len(templates)), lambda j: _case(
                 j, [(k, per_template(t, wrong)) for k, t in enumerate(templates)], st))
 
-        if a in ("correct", "multiturn_correct", "correct_long_distance"):
-            return _let(conf, lambda cf: F.when(
-                slot_ok & (F.size(cf) > 0),
-                _let(F.element_at(cf, pick_index(uv, F.size(cf)) + 1), lambda wv: by_template(wv)))
-                .otherwise(st))
+        if a in VALUE_ACTIONS:
+            wrong = vocab.wrong_value(word, uv) if vocab.inlined else p["wrong"]
+            return _let(wrong, lambda wv: F.when(wv.isNotNull(), by_template(wv)).otherwise(st))
         if a == "selfcheck":
             return F.when(slot_ok, by_template(None)).otherwise(st)
         return by_template(None)
@@ -227,7 +225,7 @@ def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Colum
         i, a = p["i"], p["a"]
         live = [(k, name) for k, name in enumerate(acts) if name != "NULL" and cfg.can_fire(name)]
         return _let(F.element_at(st["toks"], i + 1), lambda word: _case(
-            a, [(k, act_state(st, name, i, word)) for k, name in live], st))
+            a, [(k, act_state(st, name, p, i, word)) for k, name in live], st))
 
     return F.aggregate(F.reverse(picks), zero, step)
 
@@ -274,14 +272,18 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
         chosen = F.col("agent") == "user"
     chosen = chosen & ~is_silence("_toks")
 
-    def type_of(tok):
-        e = F.when(vocab.is_slot(tok), F.lit(TYPE_CODE["slot_value"]))
+    if not vocab.inlined:
+        t = vocab.annotate(t, "_toks")
+
+    def type_of(tok, i):
+        slot = vocab.is_slot(tok) if vocab.inlined else F.col("_slot")[i]
+        e = F.when(slot, F.lit(TYPE_CODE["slot_value"]))
         if token_types == "three":
             e = e.when(in_set(tok, PREPOSITIONS) & (tok != F.lit("like")), F.lit(TYPE_CODE["pp_start"]))
         return e.otherwise(F.lit(TYPE_CODE["background_word"]))
 
     elems = F.transform("_toks", lambda tok, i: F.struct(
-        type_of(tok).alias("t"), uniform(*keys, i, "action").alias("u"), i.alias("i")))
+        type_of(tok, i).alias("t"), uniform(*keys, i, "action").alias("u"), i.alias("i")))
     t = t.withColumn("_sel", chosen)
     pos = closed_class_pos("_toks")
     names = F.array(*[F.lit(a) for a in acts])
@@ -301,7 +303,13 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
     # Each sub-result is bound once (`_let`), and the row is emitted through a one-element
     # `inline_outer`: filters on the outputs cannot be pushed below the generator (where they
     # would inline and re-run the folds), and outer generators infer no extra filter.
-    result = _let(F.when(F.col("_sel"), sample_picks(cfg, elems)).otherwise(empty_picks), outputs)
+    drawn = F.when(F.col("_sel"), sample_picks(cfg, elems)).otherwise(empty_picks)
+    if not vocab.inlined:
+        wants = [k for k, a in enumerate(acts) if a in VALUE_ACTIONS]
+        t = vocab.draw_wrong_values(t.withColumn("_picks", drawn), "_toks", "_picks", ROW_KEY,
+                                    lambda i: uniform(*keys, i, "value"), lambda a: in_set(a, wants))
+        drawn = F.col("_picks")
+    result = _let(drawn, outputs)
     out = t.select(
         *[c for c in turns.columns if c != "text"],
         F.col("turn_idx").alias("orig_turn_idx"),

@@ -1,6 +1,7 @@
 """Disfluency statistics of a corpus (E7a-E7e) and of an augmentation run.
 
-All counts are aggregations over n-gram arrays of user turns: no per-turn Python.
+A trigger is tested at each token index of a user turn, on the bound token array; counts are
+aggregations over the hits.  No n-gram arrays, no per-turn Python.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..functions.text import PHRASE_LEFT_WORDS, in_set, ngrams, tokenize
+from ..functions.text import PHRASE_LEFT_WORDS, in_set, let, tokenize
 from ..sources.config import ActionConfig
+from .vocab import SlotVocabulary
 
 # The restart trigram test (first word, second word) of the statistics.
 RESTART_FIRST = ["uhm", "sorry"]
@@ -35,70 +37,85 @@ def _marker_is(words: list[Column], lists: list[list[str]]) -> Column:
     return F.concat_ws(" ", *words).isin(keys)
 
 
-def trigger_matches(kind: str, cfg: ActionConfig, slot_values: list[str]) -> tuple[int, callable]:
-    """(n, predicate over an n-gram array) for one disfluency kind."""
-    sv = lambda x: in_set(x, slot_values)
+def trigger_matches(kind: str, cfg: ActionConfig) -> tuple[int, callable]:
+    """(n, predicate(t, s, i)) of one disfluency kind: does a trigger of n tokens begin at index i of
+    the tokens t, where s(j) tells whether token j is a slot value?"""
     if kind == "hesitate":
         starts = [t.split()[0] for t in cfg.templates.get("hesitate", []) if t.split()]
-        return 2, lambda g: in_set(g[0], starts) & ~in_set(g[1], HESITATION_EXCLUDED_NEXT)
+        return 2, lambda t, s, i: in_set(t[i], starts) & ~in_set(t[i + 1], HESITATION_EXCLUDED_NEXT)
     if kind == "restart":
-        return 3, lambda g: in_set(g[0], RESTART_FIRST) & in_set(g[1], RESTART_SECOND)
+        return 3, lambda t, s, i: in_set(t[i], RESTART_FIRST) & in_set(t[i + 1], RESTART_SECOND)
+    m = marker_lists(cfg, kind)
     if kind == "correct":
-        m = marker_lists(cfg, "correct")
-        return 3, lambda g: (_marker_is([g[0]], m) & sv(g[1])) | (_marker_is([g[0], g[1]], m) & sv(g[2]))
+        return 3, lambda t, s, i: ((_marker_is([t[i]], m) & s(i + 1))
+                                   | (_marker_is([t[i], t[i + 1]], m) & s(i + 2)))
     if kind == "correct_long_distance":
-        m = marker_lists(cfg, "correct_long_distance")
-        return 3, lambda g: ((_marker_is([g[0]], m) & in_set(g[1], PHRASE_LEFT_WORDS) & sv(g[2]))
-                             | (_marker_is([g[0], g[1]], m) & in_set(g[2], PHRASE_LEFT_WORDS)))
+        return 3, lambda t, s, i: ((_marker_is([t[i]], m) & in_set(t[i + 1], PHRASE_LEFT_WORDS) & s(i + 2))
+                                   | (_marker_is([t[i], t[i + 1]], m) & in_set(t[i + 2], PHRASE_LEFT_WORDS)))
     raise ValueError(kind)
 
 
 KINDS = ["hesitate", "restart", "correct", "correct_long_distance"]
 
 
-def count_disfluencies(turns: DataFrame, cfg: ActionConfig, slot_values: list[str], kind: str,
+def _hits(kind: str, cfg: ActionConfig, vocab: SlotVocabulary, t: Column) -> Column:
+    """Indices at which a trigger of `kind` begins in the bound token array t."""
+    n, pred = trigger_matches(kind, cfg)
+    slot = (lambda j: vocab.is_slot(t[j])) if vocab.inlined else (lambda j: F.col("_slot")[j])
+    found = F.filter(F.sequence(F.lit(0), F.size(t) - n), lambda i: pred(t, slot, i))
+    return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<int>"))
+
+
+def _with_tokens(turns: DataFrame, vocab: SlotVocabulary) -> tuple[DataFrame, Column]:
+    """The turns and their tokens (an expression to bind, or a column beside `_slot`)."""
+    if vocab.inlined:
+        return turns, tokenize(F.trim("text"))
+    return vocab.annotate(turns.withColumn("_toks", tokenize(F.trim("text"))), "_toks"), F.col("_toks")
+
+
+def count_disfluencies(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, kind: str,
                        by: list[str] | None = None) -> DataFrame:
-    """E7a-d: triggers, user turns with at least one, distinct cases, share of user turns.
+    """E7a-d: triggers, user turns with at least one, distinct cases, share of user turns (null
+    without user turns).
 
     One pass: `posexplode_outer` keeps one row per turn without hits, so every count comes
     from a single aggregation (one distinct aggregate: a two-phase plan, no Expand).
     """
     by = by or []
-    n, pred = trigger_matches(kind, cfg, slot_values)
-    u = turns.where(F.col("agent") == "user").select(
-        *by, F.filter(ngrams(tokenize(F.trim("text")), n), pred).alias("hits"))
-    ex = u.select(*by, F.posexplode_outer("hits").alias("k", "h"))
+    n, _ = trigger_matches(kind, cfg)
+    u, toks = _with_tokens(turns.where(F.col("agent") == "user"), vocab)
+    cases = let(toks, lambda t: F.transform(_hits(kind, cfg, vocab, t),
+                                            lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+    ex = u.select(*by, F.posexplode_outer(cases).alias("k", "h"))
     k = F.col("k")
     agg = ex.groupBy(*by).agg(
         F.count("h").alias("n_triggers"),
         F.count(F.when(k == 0, 1)).alias("n_turns"),
-        F.countDistinct(F.array_join("h", " ")).alias("n_cases"),
+        F.countDistinct("h").alias("n_cases"),
         F.count(F.when(k.isNull() | (k == 0), 1)).alias("n_user_turns"),
     )
     return agg.select(*by, "n_triggers", "n_turns", "n_cases", "n_user_turns",
-                      ((F.col("n_turns") * 100).cast("double") / F.col("n_user_turns")).alias("pct_turns"))
+                      F.try_divide((F.col("n_turns") * 100).cast("double"), F.col("n_user_turns")).alias("pct_turns"))
 
 
-def disfluency_report(corpora: DataFrame, cfg: ActionConfig, slot_values: list[str]) -> DataFrame:
+def disfluency_report(corpora: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary) -> DataFrame:
     """E7e: per corpus: #turns, #user turns and the four trigger counts (one pass).
 
-    `corpus` may be a string or an array of corpus labels (a row counted in each): the
-    n-gram work is done once per row, and only the small count rows are exploded."""
-    u = corpora.select("corpus", "agent", tokenize(F.trim("text")).alias("toks"))
-    cols = []
-    for kind in KINDS:
-        n, pred = trigger_matches(kind, cfg, slot_values)
-        cols.append(F.when(F.col("agent") == "user", F.size(F.filter(ngrams("toks", n), pred)))
-                    .otherwise(0).alias(kind))
-    x = u.select("corpus", "agent", *cols)
-    if isinstance(corpora.schema["corpus"].dataType, ArrayType):
-        x = x.select(F.explode("corpus").alias("corpus"), "agent", *KINDS)
-    return x.groupBy("corpus").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.count(F.when(F.col("agent") == "user", 1)).alias("n_user_turns"),
-        *[F.sum(k).cast("bigint").alias(f"n_{k}") for k in KINDS],
-        *[F.count(F.when(F.col(k) > 0, 1)).alias(f"turns_{k}") for k in KINDS],
-    )
+    `corpus` may be a string or an array of corpus labels (a row counted in each): the trigger
+    tests run once per row, the rows are summed per label set, and only the sums are exploded."""
+    u, toks = _with_tokens(corpora, vocab)
+    user = F.col("agent") == "user"
+    counts = F.when(user, let(toks, lambda t: F.struct(*[F.size(_hits(k, cfg, vocab, t)).alias(k) for k in KINDS])))
+    x = u.select("corpus", user.alias("user"), F.inline_outer(F.array(counts)))
+    sums = x.groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count(F.when(F.col("user"), 1)).alias("n_user_turns"),
+        *[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        *[F.count(F.when(F.col(k) > 0, 1)).alias(f"turns_{k}") for k in KINDS])
+    if not isinstance(corpora.schema["corpus"].dataType, ArrayType):
+        return sums
+    names = [c for c in sums.columns if c != "corpus"]
+    return sums.select(F.explode("corpus").alias("corpus"), *names).groupBy("corpus").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in names])
 
 
 def _n_action(action: str) -> Column:

@@ -18,7 +18,7 @@ from ..sources.corpus import split_rank
 
 
 def ordinal_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                   out: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
+                   out: str = "ordinal") -> DataFrame:
     """0-based position of each row within its group by `order_cols` (unique within a group).
 
     Pass 1: range-partition and sort on (group, order); `monotonically_increasing_id` then
@@ -26,11 +26,9 @@ def ordinal_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     checkpointed (to the cluster's checkpoint folder) so both uses below see identical ids.
     Pass 2: per (partition, group) count and first id, prefix sums over partitions, join back.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in group_cols] + order
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
     pid = F.shiftright("_mid", 33)
@@ -80,7 +78,7 @@ def ratio_split(items: DataFrame, key_cols: Sequence[str], seed: int = 273, rati
     """Exact-size shuffle split: train = int(r*n), dev = int((n-train)/2), test = rest."""
     keyed = items.withColumn("_h", hashed_key(seed, *key_cols))
     ranked = ordinal_within(keyed, [], ["_h", *key_cols], "rank").drop("_h")
-    n = items.count()  # one scalar on the driver
+    n = ranked.count()  # of the checkpointed rows: the input is not computed again
     train = int(ratio * n)
     dev = int((n - train) / 2.0)
     part = (F.when(F.col("rank") < train, "train").when(F.col("rank") < train + dev, "dev")
@@ -112,3 +110,11 @@ def oversample_plan(turns: DataFrame, extra_fraction: float) -> DataFrame:
         "copy_no", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
     return d.select("split", "dialogue_idx", "copy_no",
                     (F.col("copy_no") * F.col("len") + F.col("pos")).alias("result_idx"))
+
+
+def merge_parts(parts: DataFrame, group_cols: Sequence[str], start: str, line: str) -> DataFrame:
+    """Partial outputs, keyed by integer start offset, as one ordered output per group: adds
+    `part_no` (rank of the start) and `merged_pos` (position of the line in the merged output)."""
+    starts = ordinal_within(parts.select(*group_cols, start).distinct(), group_cols, [start], "part_no")
+    merged = ordinal_within(parts, group_cols, [start, line], "merged_pos")
+    return merged.join(starts, [*group_cols, start]).drop(line)

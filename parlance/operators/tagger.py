@@ -2,8 +2,12 @@
 
 States FLUENT, INTERREGNUM, REPARANDUM, REPAIR; buffers of tokens; prefix matching against
 the edit-term markers of the action templates and against delexicalised slot phrases.
-The whole machine is one `aggregate` over the (delexicalised) tokens of an utterance, with
-the markers and phrases as literal arrays (phrases are size-checked before inlining).
+The whole machine is one `aggregate` over the (delexicalised) tokens of an utterance.  Buffers are
+space-joined strings (tokens hold no spaces), so "is a prefix of some marker or phrase" is a
+hash-set lookup among all their prefixes.  Each *distinct* delexicalised utterance is tagged once.
+
+Phrases consist of the phrase rule's extension words and `<value>`, so that the distinct
+delexicalised ones are few, whatever the vocabulary's size.
 
 Outputs `<f/>` (fluent), `<e/>` (edit term), `<rm-N/><rpEndSub/>`, `<rm-N/><rpMid/>`, `<rpEnd/>`.
 When the machine loses a token (two slot values in a row after a marker) the tag array is
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, tokenize
+from ..session import scratch_path
 from ..sources.config import ActionConfig
-from .vocab import SlotVocabulary, slot_phrases
+from .vocab import VALUE, SlotVocabulary, delexicalized, slot_phrases
 
 FLUENT, INTERREGNUM, REPARANDUM, REPAIR = 0, 1, 2, 3
-VALUE = "<value>"
 _SA = "array<string>"
-DEFAULT_MAX_PHRASES = 10_000
 
 
 def markers(cfg: ActionConfig) -> list[list[str]]:
@@ -34,36 +38,22 @@ def markers(cfg: ActionConfig) -> list[list[str]]:
     return out
 
 
-def collect_phrases(turns: DataFrame, vocab: SlotVocabulary,
-                    max_phrases: int = DEFAULT_MAX_PHRASES) -> list[list[str]]:
-    """Delexicalised slot phrases (E3), brought to the driver after a size check."""
-    rows = slot_phrases(turns, vocab).limit(max_phrases + 1).collect()
-    if len(rows) > max_phrases:
-        raise RuntimeError(f"more than {max_phrases} slot phrases")
-    vals = set(vocab.values)
-    return sorted({tuple(VALUE if w in vals else w for w in r["phrase"].split()) for r in rows})
+def collect_phrases(turns: DataFrame, vocab: SlotVocabulary) -> list[list[str]]:
+    """Delexicalised distinct slot phrases (E3); reduced on the cluster before they are read."""
+    rows = slot_phrases(turns, vocab, delexicalize=True).collect()
+    return sorted(r["phrase"].split() for r in rows)
 
 
-def _lit_lists(lists) -> Column:
-    if not lists:
-        return F.array().cast("array<array<string>>")
-    return F.array(*[F.array(*[F.lit(w) for w in l]) if l else F.array().cast(_SA) for l in lists])
+def _prefixes(lists) -> list[str]:
+    return sorted({" ".join(l[:k]) for l in lists for k in range(1, len(l) + 1)})
 
 
-def _prefix_of_any(buf: Column, templates: Column) -> Column:
-    n = F.size(buf)
-    return (n > 0) & F.exists(templates, lambda m: (F.size(m) >= n) & (F.slice(m, 1, n) == buf))
+def _among(buf: Column, strings: list[str]) -> Column:
+    return buf.isin(strings) if strings else F.lit(False)
 
 
 def _prefix_of(buf: Column, target: Column) -> Column:
-    n = F.size(buf)
-    return (n > 0) & (F.size(target) >= n) & (F.slice(target, 1, n) == buf)
-
-
-def _starts(t: Column, lists) -> Column:
-    """[t] is a prefix of one of the literal lists: first-word membership (a hash-set lookup)."""
-    firsts = sorted({l[0] for l in lists if l})
-    return t.isin(firsts) if firsts else F.lit(False)
+    return (buf == target) | target.startswith(F.concat(buf, F.lit(" ")))
 
 
 def _rep(tag: str, n: Column) -> Column:
@@ -72,10 +62,17 @@ def _rep(tag: str, n: Column) -> Column:
 
 def tag_tokens(tokens: Column, marker_lists: list[list[str]], phrase_lists) -> Column:
     """Fold the tagger over a token array (already delexicalised); returns the tag array."""
-    M, P = _lit_lists(marker_lists), _lit_lists([list(p) for p in phrase_lists])
-    m_start = lambda t: _starts(t, marker_lists)
-    p_start = lambda t: _starts(t, phrase_lists)
-    empty = F.array().cast(_SA)
+    marker_prefixes, phrase_prefixes = _prefixes(marker_lists), _prefixes(phrase_lists)
+    whole_markers = sorted({" ".join(m) for m in marker_lists if m})
+    m_any = lambda buf: _among(buf, marker_prefixes)
+    p_any = lambda buf: _among(buf, phrase_prefixes)
+    empty = F.lit("")
+
+    def plus(buf, t):
+        return F.when(buf == "", t).otherwise(F.concat_ws(" ", buf, t))
+
+    def size(buf):
+        return F.when(buf == "", 0).otherwise(F.size(F.split(buf, " ")))
 
     def mk(st, s=None, fl=None, rep=None, itg=None, rpr=None, tags=None):
         return F.struct(
@@ -87,55 +84,62 @@ def tag_tokens(tokens: Column, marker_lists: list[list[str]], phrase_lists) -> C
             (tags if tags is not None else st["tags"]).alias("tags"))
 
     def flushed(st):
-        ni, nr = F.size(st["itg"]), F.size(st["rpr"])
-        complete = (ni > 0) & F.exists(M, lambda m: m == st["itg"])
-        itg_tags = F.when(complete, _rep("<e/>", ni)).otherwise(_rep("<f/>", ni))
+        return let(F.struct(size(st["itg"]).alias("ni"), size(st["rpr"]).alias("nr")), lambda n: _flushed(st, n))
+
+    def _flushed(st, n):
+        ni, nr = n["ni"], n["nr"]
+        itg_tags = F.when(_among(st["itg"], whole_markers), _rep("<e/>", ni)).otherwise(_rep("<f/>", ni))
         rpr_tags = (F.when(nr == 1, F.array(F.format_string("<rm-%d/><rpEndSub/>", ni + 1)))
                     .when(nr > 1, F.concat(F.array(F.format_string("<rm-%d/><rpMid/>", ni + 1)),
                                            _rep("<f/>", nr - 2), F.array(F.lit("<rpEnd/>"))))
-                    .otherwise(empty))
+                    .otherwise(F.array().cast(_SA)))
         return F.concat(st["tags"], _rep("<f/>", st["fl"]), itg_tags, rpr_tags)
 
     def step(st, t):
-        one = F.array(t)
-        itg_t, rep_t, rpr_t = F.concat(st["itg"], one), F.concat(st["rep"], one), F.concat(st["rpr"], one)
+        one = t
+        itg_t, rep_t, rpr_t = plus(st["itg"], t), plus(st["rep"], t), plus(st["rpr"], t)
         fl1 = st["fl"] + 1
-        # one-token buffers (the common case) reduce to first-word lookups
-        rep_starts = F.when(F.size(st["rep"]) == 0, p_start(t)).otherwise(_prefix_of_any(rep_t, P))
-        fluent = (F.when(m_start(t), mk(st, s=INTERREGNUM, itg=itg_t))
-                  .when(rep_starts, mk(st, s=REPARANDUM, fl=fl1, rep=rep_t))
+        fluent = (F.when(m_any(t), mk(st, s=INTERREGNUM, itg=itg_t))
+                  .when(p_any(rep_t), mk(st, s=REPARANDUM, fl=fl1, rep=rep_t))
                   .otherwise(mk(st, fl=fl1)))
         reset = dict(fl=F.lit(1), rep=empty, itg=empty, rpr=empty)
-        interregnum = (F.when(_prefix_of_any(itg_t, M), mk(st, itg=itg_t))
+        interregnum = (F.when(m_any(itg_t), mk(st, itg=itg_t))
                        .when(_prefix_of(rpr_t, st["rep"]), mk(st, s=REPAIR, rpr=rpr_t))
                        .when(t == VALUE, mk(st, rpr=one))
                        .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
-        reparandum = (F.when(_prefix_of_any(rep_t, P), mk(st, rep=rep_t, fl=fl1))
-                      .when(_prefix_of_any(itg_t, M), mk(st, s=INTERREGNUM, itg=itg_t))
-                      .when(p_start(t), mk(st, s=REPARANDUM, tags=flushed(st),
+        reparandum = (F.when(p_any(rep_t), mk(st, rep=rep_t, fl=fl1))
+                      .when(m_any(itg_t), mk(st, s=INTERREGNUM, itg=itg_t))
+                      .when(p_any(t), mk(st, s=REPARANDUM, tags=flushed(st),
                                            fl=F.lit(1), rep=one, itg=empty, rpr=empty))
                       .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
         repair = (F.when(_prefix_of(rpr_t, st["rep"]), mk(st, rpr=rpr_t))
-                  .when(m_start(t), mk(st, s=INTERREGNUM, tags=flushed(st), fl=F.lit(0),
+                  .when(m_any(t), mk(st, s=INTERREGNUM, tags=flushed(st), fl=F.lit(0),
                                        rep=empty, itg=one, rpr=empty))
-                  .when(p_start(t), mk(st, s=REPARANDUM, tags=flushed(st), fl=F.lit(1),
+                  .when(p_any(t), mk(st, s=REPARANDUM, tags=flushed(st), fl=F.lit(1),
                                        rep=one, itg=empty, rpr=empty))
                   .otherwise(mk(st, s=FLUENT, tags=flushed(st), **reset)))
         return (F.when(st["s"] == FLUENT, fluent).when(st["s"] == INTERREGNUM, interregnum)
                 .when(st["s"] == REPARANDUM, reparandum).otherwise(repair))
 
     zero = F.struct(F.lit(FLUENT).alias("s"), F.lit(0).alias("fl"), empty.alias("rep"),
-                    empty.alias("itg"), empty.alias("rpr"), empty.alias("tags"))
+                    empty.alias("itg"), empty.alias("rpr"), F.array().cast(_SA).alias("tags"))
     return F.aggregate(tokens, zero, step, lambda st: flushed(st))
 
 
 def tag_utterances(df: DataFrame, text_col: str, cfg: ActionConfig, vocab: SlotVocabulary,
                    phrase_lists) -> DataFrame:
-    """Adds `tags` (NULL on a length mismatch) and `tag_length_mismatch` for `text_col`."""
-    from ..functions.text import tokenize
-    from .augment import _let
-    toks = tokenize(text_col)
-    res = _let(tag_tokens(vocab.delexicalize(toks), markers(cfg), phrase_lists), lambda tg: F.struct(
-        F.when(F.size(tg) == F.size(toks), tg).alias("tags"),
-        (F.size(tg) != F.size(toks)).alias("tag_length_mismatch")))
-    return df.select("*", F.inline_outer(F.array(res)))
+    """Adds `tags` (NULL on a length mismatch) and `tag_length_mismatch` for `text_col`.
+
+    The input is stored once, since both the distinct utterances and the join back read it.
+    """
+    spark = df.sparkSession
+    marked = vocab.annotate(df.withColumn("_toks", tokenize(text_col)), "_toks")
+    path = scratch_path(spark, "to-tag")
+    marked = marked.withColumn("_delex", F.array_join(delexicalized("_toks"), " ")).drop("_toks", "_slot")
+    marked.write.parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    toks = F.filter(F.split("_d", " "), lambda x: x != "")
+    res = let(toks, lambda t: let(tag_tokens(t, markers(cfg), phrase_lists), lambda tg: F.struct(
+        F.when(F.size(tg) == F.size(t), tg).alias("tags"), (F.size(tg) != F.size(t)).alias("tag_length_mismatch"))))
+    tagged = rows.select(F.col("_delex").alias("_d")).distinct().select("_d", F.inline_outer(F.array(res)))
+    return rows.join(tagged, F.col("_delex") == F.col("_d")).drop("_delex", "_d")

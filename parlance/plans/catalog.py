@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import stats as S
 from ..operators import vocab as V
+from ..session import scratch_path
 from ..sources.corpus import conversations, load_corpus
 from . import oracle as O
 
@@ -59,13 +60,13 @@ def q_slot_value_tokens(spark, sf):
         "split", "dialogue_idx", "turn_idx", F.col("token_idx").cast("int"), "token")
 
 
-@query("confusable_values", O.fx_vocab_with() + """
-SELECT a.value, string_agg(DISTINCT CAST(a.slot_pos AS VARCHAR), ',' ORDER BY CAST(a.slot_pos AS VARCHAR)) AS positions,
-       count(DISTINCT b.value) - 1 AS n_confusables
-FROM slot_values a JOIN slot_values b ON a.slot_pos = b.slot_pos
-GROUP BY a.value""")
+@query("confusable_values", O.fx_vocab_with("""sig AS (
+  SELECT value, string_agg(CAST(slot_pos AS VARCHAR), ',' ORDER BY slot_pos) AS positions FROM slot_values GROUP BY value)""",
+    "sizes AS (SELECT positions, count(*) AS n_values FROM sig GROUP BY positions)") + """
+SELECT DISTINCT positions, b.value AS confusable, n_values
+FROM sig JOIN slot_values a ON sig.value = a.value JOIN slot_values b ON a.slot_pos = b.slot_pos JOIN sizes USING (positions)""")
 def q_confusable_values(spark, sf):
-    return V.confusable_counts(V.slot_values(fx(spark, sf)))
+    return V.confusable_values(V.slot_values(fx(spark, sf)))
 
 
 # ---------------------------------------------------------------- filters
@@ -236,7 +237,9 @@ def q_dstc6_to_turns(spark, sf):
     texts = F.transform("t", lambda x: x["text"])
     d = g.select("dialogue_idx", F.slice(texts, 1, F.size(texts) - 1).alias("utterances"),
                  F.struct(F.element_at(texts, -1).alias("utterance")).alias("answer"))
-    return A.dstc6_turns(d)
+    path = scratch_path(spark, "dstc6")
+    d.write.json(path)
+    return A.dstc6_turns(A.read_dstc6(spark, path))
 
 
 @query("render_dialogues", O.fx_with() + """
@@ -311,49 +314,50 @@ def q_explode_tokens(spark, sf):
         F.posexplode(T.tokenize("text")).alias("token_idx", "token"))
 
 
-@query("token_types", O.fx_vocab_with(_VL) + f"""
+_USER_FL = O.flag_ctes("ut", "(SELECT text FROM fx WHERE agent = 'user')", O.tok("text"))
+_ALL_FL = O.flag_ctes("al", "fx", O.tok("text"))
+_USER_TOKS = (f"(SELECT split, dialogue_idx, turn_idx, {O.tok('text')} AS toks FROM fx WHERE agent = 'user') t "
+              "LEFT JOIN ut_fl USING (toks)")
+
+
+def _annotated_user_turns(spark, sf):
+    t = _user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx", T.tokenize("text").alias("toks"))
+    return _vocab(spark, sf).annotate(t, "toks")
+
+
+@query("token_types", O.fx_vocab_with(*_USER_FL) + f"""
 SELECT split, dialogue_idx, turn_idx,
-       array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN list_contains(vl, x) THEN 'slot_value'
+       array_to_string(list_transform(toks, lambda x, ix: CASE WHEN sl[ix] THEN 'slot_value'
          WHEN x IN {_sql_in(T.PREPOSITIONS)} AND x <> 'like' THEN 'pp_start' ELSE 'background_word' END), ' ') AS types
-FROM fx, vl WHERE agent = 'user'""")
+FROM {_USER_TOKS}""")
 def q_token_types(spark, sf):
-    vocab = _vocab(spark, sf)
-    types = F.transform(T.tokenize("text"), lambda x: F.when(vocab.is_slot(x), "slot_value")
-                        .when(T.in_set(x, T.PREPOSITIONS) & (x != "like"), "pp_start")
-                        .otherwise("background_word"))
-    return _user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx",
-                                         F.array_join(types, " ").alias("types"))
+    types = F.zip_with("toks", "_slot", lambda x, s: F.when(s, "slot_value")
+                       .when(T.in_set(x, T.PREPOSITIONS) & (x != "like"), "pp_start")
+                       .otherwise("background_word"))
+    return _annotated_user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx",
+                                                   F.array_join(types, " ").alias("types"))
 
 
-@query("enclosing_phrases", O.fx_vocab_with(_VL) + f"""
+@query("enclosing_phrases", O.fx_vocab_with(*_USER_FL) + f"""
 SELECT split, dialogue_idx, turn_idx, CAST(i - 1 AS INTEGER) AS token_idx, {_sql_phrase('toks', 'i')} AS phrase
-FROM (SELECT split, dialogue_idx, turn_idx, {O.tok('text')} AS toks FROM fx WHERE agent = 'user') t, vl,
-     generate_series(1, len(toks)) AS g(i)
-WHERE list_contains(vl, toks[i])""")
+FROM (SELECT * FROM {_USER_TOKS}) t, generate_series(1, len(toks)) AS g(i)
+WHERE sl[i]""")
 def q_enclosing_phrases(spark, sf):
-    vocab = _vocab(spark, sf)
-    t = _user_turns(spark, sf).select("split", "dialogue_idx", "turn_idx",
-                                      T.tokenize("text").alias("toks"))
-    ex = t.select("*", F.posexplode("toks").alias("token_idx", "tok")).where(vocab.is_slot(F.col("tok")))
+    ex = _annotated_user_turns(spark, sf).select(
+        "*", F.posexplode("_slot").alias("token_idx", "hit")).where("hit")
     return ex.select("split", "dialogue_idx", "turn_idx", "token_idx", F.array_join(
         T.enclosing_phrase("toks", F.col("token_idx")), " ").alias("phrase"))
 
 
-@query("delexicalize", O.fx_vocab_with(_VL) + f"""
-SELECT split, dialogue_idx, turn_idx,
-       array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN list_contains(vl, x) THEN '<value>' ELSE x END), ' ') AS text
-FROM fx, vl WHERE agent = 'user'""")
+@query("delexicalize", O.fx_vocab_with(*_USER_FL) + f"""
+SELECT split, dialogue_idx, turn_idx, array_to_string({O.delex()}, ' ') AS text FROM {_USER_TOKS}""")
 def q_delexicalize(spark, sf):
-    vocab = _vocab(spark, sf)
-    return _user_turns(spark, sf).select(
-        "split", "dialogue_idx", "turn_idx",
-        F.array_join(vocab.delexicalize(T.tokenize("text")), " ").alias("text"))
+    return _annotated_user_turns(spark, sf).select(
+        "split", "dialogue_idx", "turn_idx", F.array_join(V.delexicalized("toks"), " ").alias("text"))
 
 
-@query("slot_phrases", O.fx_vocab_with(_VL) + f"""
-SELECT DISTINCT {_sql_phrase('toks', 'i')} AS phrase
-FROM (SELECT {O.tok('text')} AS toks FROM fx) t, vl, generate_series(1, len(toks)) AS g(i)
-WHERE list_contains(vl, toks[i])""")
+@query("slot_phrases", O.fx_vocab_with(*_ALL_FL) + f"""
+SELECT DISTINCT {_sql_phrase('toks', 'i')} AS phrase FROM al_fl, generate_series(1, len(toks)) AS g(i) WHERE sl[i]""")
 def q_slot_phrases(spark, sf):
     return V.slot_phrases(fx(spark, sf), _vocab(spark, sf))
 
@@ -363,17 +367,31 @@ def q_slot_phrases(spark, sf):
 CONTEXT_SIZE = 4
 
 
-@query("context_windows", O.with_ctes(O.CONV_CTE) + f"""
-SELECT conv_id, turn, encoder, decoder FROM (
-  SELECT dialogue_idx AS conv_id, turn_idx AS turn, agent,
-         string_agg(text, ' ') OVER (PARTITION BY dialogue_idx ORDER BY turn_idx
+def _windows_sql(source: str) -> str:
+    return f"""
+SELECT split, dialogue_idx, turn_idx, encoder, decoder FROM (
+  SELECT split, dialogue_idx, turn_idx, agent,
+         string_agg(text, ' ') OVER (PARTITION BY split, dialogue_idx ORDER BY turn_idx
                                      ROWS BETWEEN {CONTEXT_SIZE - 1} PRECEDING AND CURRENT ROW) AS encoder,
-         lead(text) OVER (PARTITION BY dialogue_idx ORDER BY turn_idx) AS decoder
-  FROM conv) WHERE agent = 'user'""")
-def q_context_windows(spark, sf):
+         first_value(CASE WHEN agent <> 'user' THEN text END IGNORE NULLS) OVER (
+           PARTITION BY split, dialogue_idx ORDER BY turn_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS decoder
+  FROM {source}) WHERE agent = 'user' AND decoder IS NOT NULL"""
+
+
+def _windows(turns: DataFrame) -> DataFrame:
     from ..operators.windows import context_windows
-    return context_windows(conversations(spark, sf), CONTEXT_SIZE).select(
-        F.col("dialogue_idx").alias("conv_id"), F.col("turn_idx").alias("turn"), "encoder", "decoder")
+    return context_windows(turns, CONTEXT_SIZE).select("split", "dialogue_idx", "turn_idx", "encoder", "decoder")
+
+
+@query("context_windows", O.with_ctes(O.CONV_CTE) + _windows_sql("conv"))
+def q_context_windows(spark, sf):
+    return _windows(conversations(spark, sf))
+
+
+@query("corpus_context_windows", O.fx_with() + _windows_sql("fx"))
+def q_corpus_context_windows(spark, sf):
+    """F1/I8 over the whole corpus."""
+    return _windows(fx(spark, sf))
 
 
 @query("token_bigrams", O.fx_with() + f"""
@@ -454,17 +472,18 @@ PART_SIZE = 100
 
 
 @query("merge_parts", O.fx_with() + f"""
-p AS (SELECT split, (row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) - 1) // {PART_SIZE} * {PART_SIZE} AS start
-      FROM (SELECT DISTINCT split, dialogue_idx FROM fx))
-SELECT split, start, dense_rank() OVER (PARTITION BY split ORDER BY start) - 1 AS part_no, count(*) AS n_dialogues
-FROM p GROUP BY split, start""".replace("\np AS", ",\np AS", 1))
+p AS (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) - 1 AS pos
+      FROM (SELECT DISTINCT split, dialogue_idx FROM fx)),
+r AS (SELECT split, dialogue_idx, string_agg(agent || ':' || chr(9) || text, chr(10) ORDER BY turn_idx) AS text
+      FROM fx GROUP BY split, dialogue_idx)
+SELECT split, pos // {PART_SIZE} * {PART_SIZE} AS start, pos // {PART_SIZE} AS part_no, pos AS merged_pos, text
+FROM p JOIN r USING (split, dialogue_idx)""".replace("\np AS", ",\np AS", 1))
 def q_merge_parts(spark, sf):
-    """Parts keyed by their start offset, put back in order (rank of start per dataset)."""
-    d = G.ordinal_within(G.dialogues(fx(spark, sf)), ["split"], ["dialogue_idx"], "pos")
-    parts = d.groupBy("split", (F.floor(F.col("pos") / PART_SIZE) * PART_SIZE).cast("bigint")
-                      .alias("start")).agg(F.count(F.lit(1)).alias("n_dialogues"))
-    return G.ordinal_within(parts, ["split"], ["start"], "part_no").select(
-        "split", "start", "part_no", "n_dialogues")
+    """Partial outputs keyed by their start offset, put back in order with their content."""
+    d = G.ordinal_within(B.render_babble(fx(spark, sf)), ["split"], ["dialogue_idx"], "pos")
+    start = (F.floor(F.col("pos") / PART_SIZE) * PART_SIZE).cast("bigint")
+    parts = d.select("split", start.alias("start"), (F.col("pos") - start).alias("line"), "text")
+    return G.merge_parts(parts, ["split"], "start", "line")
 
 
 @query("calls_not_in_candidates", O.fx_with() + """
@@ -476,7 +495,7 @@ def q_calls_not_in_candidates(spark, sf):
     sys_ = t.where(F.col("agent") == "system")
     cand_lines = sys_.where(F.col("split") == "trn").select(
         F.concat_ws(" ", F.abs(F.xxhash64("text")).cast("string"), "text").alias("value"))
-    cands = A.parse_candidates(cand_lines)
+    cands = A.parse_candidates(cand_lines).distinct()
     calls = sys_.where(T.is_api_call("text")).select("text").distinct()
     return calls.join(cands, "text", "left_anti")
 
@@ -486,12 +505,14 @@ def q_calls_not_in_candidates(spark, sf):
 from ..operators import augment as AU  # noqa: E402
 from ..operators import disfluency_stats as DS  # noqa: E402
 from ..operators import tagger as TG  # noqa: E402
-from ..sources.config import TOKEN_TYPES, ActionConfig  # noqa: E402
+from ..operators import pairs as PR  # noqa: E402
+from ..sources.config import TOKEN_TYPES, ActionConfig, list_presets  # noqa: E402
 
 SEED = 273
 MULTI_CONFIGS = ["g2018_corrections_only", "g2018_hesitations_only", "g2018_pp_restarts_only",
                  "g2018_restarts_only"]
-REPORT_MULTIPLIERS = [1, 2, 5]
+REPORT_MULTIPLIERS = [1, 2, 5, 10]
+TAGGED_CONFIGS = ["default", "g2018_pp_restarts_only"]
 
 
 def single_action_config(action: str) -> ActionConfig:
@@ -540,21 +561,36 @@ def q_augment_utterances(spark, sf):
     return _aug(spark, sf, ActionConfig.preset("default")).where("selected").select(*_KEY, "text")
 
 
+def _weight_rows() -> list[tuple[str, str, str, float]]:
+    """(config_id, token_type, action, first-token weight) of every preset."""
+    rows = []
+    for name in list_presets():
+        cfg = ActionConfig.preset(name)
+        for t in TOKEN_TYPES[:3 if cfg.token_types == "three" else 2]:
+            for a in cfg.actions:
+                can = cfg.limit(a) > 0 and (a == "NULL" or cfg.limit("GLOBAL") > 0)
+                rows.append((name, t, a, cfg.base_weight(t, a) if can else 0.0))
+    return rows
+
+
 @query("action_probabilities")
 def q_action_probabilities(spark, sf):
-    """First-token action probabilities of each token type that occurs in the corpus."""
-    cfg = ActionConfig.preset("default")
-    vocab = _vocab(spark, sf)
-    toks = _user_turns(spark, sf).select(F.explode(T.tokenize("text")).alias("tok"))
-    types = toks.select(F.when(vocab.is_slot(F.col("tok")), "slot_value")
-                        .otherwise("background_word").alias("token_type"))
-    counts = types.groupBy("token_type").agg(F.count(F.lit(1)).alias("n_tokens"))
-    probs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).alias("action"),
-                               F.lit(float(p)).alias("probability"))
-                      for t in TOKEN_TYPES[:2] for a, p in cfg.probabilities(t).items()])
-    return counts.select("token_type", "n_tokens", F.explode(F.filter(
-        probs, lambda s: s["t"] == F.col("token_type"))).alias("p")).select(
-        "token_type", "p.action", "p.probability", "n_tokens")
+    """First-token action probabilities of every preset's token types that occur in the
+    corpus, normalised per (configuration, token type); `total` is their sum."""
+    weights = spark.createDataFrame(_weight_rows(), "config_id string, token_type string, action string, weight double")
+    types = q_token_types(spark, sf).select(F.explode(F.filter(F.split("types", " "), lambda x: x != "")).alias("type")) \
+        .groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    # two-type configurations take prepositional starts for background words
+    of = F.array(*[F.struct(F.lit(n).alias("config_id"), F.when((F.col("type") == "pp_start") & F.lit(
+        ActionConfig.preset(n).token_types == "two"), "background_word").otherwise(F.col("type")).alias("token_type"))
+        for n in list_presets()])
+    counts = types.select(F.explode(of).alias("c"), "n").groupBy("c.config_id", "c.token_type").agg(
+        F.sum("n").cast("bigint").alias("n_tokens"))
+    w = Window.partitionBy("config_id", "token_type")
+    probs = weights.join(counts, ["config_id", "token_type"]).withColumn(
+        "probability", F.col("weight") / F.sum("weight").over(w))
+    return probs.select("config_id", "token_type", "action", "probability", "n_tokens",
+                        F.round(F.sum("probability").over(w), 9).alias("total"))
 
 
 def _act_query(action: str):
@@ -576,11 +612,18 @@ for _name, _action in [("act_hesitate", "hesitate"), ("act_correct", "correct"),
     query(_name)(_act_query(_action))
 
 
+def _tagged_runs(spark, sf) -> DataFrame:
+    """Augmentation with tags under three token types: the default and the pp_restart configuration."""
+    vocab = _vocab(spark, sf)
+    runs = [_aug(spark, sf, ActionConfig.preset(n), vocab=vocab, token_types="three", with_tags=True)
+            .where("selected").select(F.lit(n).alias("config_id"), *_KEY, "text", "tags") for n in TAGGED_CONFIGS]
+    return runs[0].unionByName(runs[1])
+
+
 @query("inline_tags")
 def q_inline_tags(spark, sf):
-    """H9: tags written while generating (three token types, default configuration)."""
-    a = _aug(spark, sf, ActionConfig.preset("default"), token_types="three", with_tags=True)
-    return a.where("selected").select(*_KEY, "text", F.array_join("tags", " ").alias("tags"))
+    """H9: tags written while generating."""
+    return _tagged_runs(spark, sf).withColumn("tags", F.array_join("tags", " "))
 
 
 @query("augmentation_stats")
@@ -596,27 +639,33 @@ def q_limit_audit(spark, sf):
 
 
 def _pairs(aug: DataFrame) -> DataFrame:
-    """I7 on a corpus augmented from the original: the original text travels with the row,
-    so the positional pairing (D1) needs no join here; `zip_join` pairs stored corpora."""
+    """I7 on a corpus augmented in the same plan: the original text travels with the row."""
     return aug.where((F.col("agent") == "user") & (F.lower("orig_text") != "<silence>"))
 
 
+def _stored_pairs(spark, sf) -> DataFrame:
+    """The augmented corpus is stored, then paired with the original by position."""
+    path = scratch_path(spark, "augmented")
+    q_augment_corpus(spark, sf).write.parquet(path)
+    return PR.user_pairs(PR.zip_join(spark.read.parquet(path), fx(spark, sf)))
+
+
 @query("parallel_pairs")
 def q_parallel_pairs(spark, sf):
-    t = fx(spark, sf).withColumn("orig_text", F.col("text"))
-    a = _aug(spark, sf, ActionConfig.preset("default"), turns=t)
-    return _pairs(a).select(*_KEY, F.col("text").alias("babi_plus"), F.col("orig_text").alias("babi"))
+    return _stored_pairs(spark, sf).select(*_KEY, "augmented", "original")
 
 
 @query("multi_config_augment")
 def q_multi_config_augment(spark, sf):
-    """Each configuration applied to the whole corpus, then paired (one union)."""
+    """Each configuration, with its own token types, applied to the whole corpus, then paired."""
     from functools import reduce
     t = fx(spark, sf).withColumn("orig_text", F.col("text"))
     vocab = _vocab(spark, sf)
-    parts = [_pairs(_aug(spark, sf, ActionConfig.preset(c), turns=t, vocab=vocab)).select(
-        F.lit(c).alias("config_id"), *_KEY, F.col("text").alias("babi_plus"),
-        F.col("orig_text").alias("babi")) for c in MULTI_CONFIGS]
+    parts = []
+    for c in MULTI_CONFIGS:
+        cfg = ActionConfig.preset(c)
+        parts.append(_pairs(_aug(spark, sf, cfg, turns=t, vocab=vocab, token_types=cfg.token_types)).select(
+            F.lit(c).alias("config_id"), *_KEY, F.col("text").alias("augmented"), F.col("orig_text").alias("original")))
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
@@ -625,7 +674,7 @@ def _count_query(kind: str):
         cfg = ActionConfig.preset("default")
         vocab = _vocab(spark, sf)
         aug = _aug(spark, sf, cfg, vocab=vocab)
-        return DS.count_disfluencies(aug, cfg, vocab.values, kind)
+        return DS.count_disfluencies(aug, cfg, vocab, kind)
     run.__name__ = f"q_count_{kind}"
     return run
 
@@ -650,7 +699,7 @@ def q_disfluency_report(spark, sf):
                        for k in REPORT_MULTIPLIERS])
     member = F.filter(labels, lambda m: F.col("copy_no") < m["k"])
     corpora = aug.select(F.transform(member, lambda m: m["corpus"]).alias("corpus"), "agent", "text")
-    return DS.disfluency_report(corpora, cfg, vocab.values)
+    return DS.disfluency_report(corpora, cfg, vocab)
 
 
 @query("disfluency_dataset")
@@ -684,16 +733,21 @@ def q_tag_disfluencies(spark, sf):
 
 @query("tag_corpus")
 def q_tag_corpus(spark, sf):
-    """I4: parallel pairs -> tagger -> (utterance, tags) dataset rows."""
-    return _tagged(spark, sf).where(~F.col("tag_length_mismatch")).select(
-        *_KEY, F.col("text").alias("utterance"), F.array_join("tags", " ").alias("tags"))
+    """I4 over files: pairs -> parallel CSV (B4) -> read (A6) -> tagger (F5) -> dataset (B6) -> read.
+    Utterances whose tags got out of step keep null tags."""
+    t, vocab, cfg = fx(spark, sf), _vocab(spark, sf), ActionConfig.preset("default")
+    csv, out = scratch_path(spark, "parallel"), scratch_path(spark, "tagged")
+    B.write_parallel_csv(_stored_pairs(spark, sf), csv)
+    tagged = TG.tag_utterances(A.read_parallel_csv(spark, csv), "augmented", cfg, vocab, TG.collect_phrases(t, vocab))
+    B.write_tagged(tagged.select(F.col("augmented").alias("utterance"), F.array_join("tags", " ").alias("tags"),
+                                 "tag_length_mismatch"), out)
+    return spark.read.parquet(out)
 
 
 @query("render_tagged")
 def q_render_tagged(spark, sf):
     """`token|tag` rendering of the generated tags."""
-    a = _aug(spark, sf, ActionConfig.preset("default"), token_types="three", with_tags=True)
-    return a.where("selected").select(*_KEY, T.render_tagged(T.tokenize("text"), "tags").alias("rendered"))
+    return _tagged_runs(spark, sf).select("config_id", *_KEY, T.render_tagged(T.tokenize("text"), "tags").alias("rendered"))
 
 
 @query("distinct_tagged")
@@ -732,8 +786,17 @@ ORACLE["sample_actions"] = _aug_with(_DEF) + \
     f"SELECT split, dialogue_idx, turn_idx, {_ACTION_LIST_SQL} AS actions FROM ag_out {_SEL}"
 ORACLE["augment_utterances"] = _aug_with(_DEF) + \
     f"SELECT split, dialogue_idx, turn_idx, text FROM ag_out {_SEL}"
-ORACLE["inline_tags"] = _aug_with(_DEF, three=True) + \
-    f"SELECT split, dialogue_idx, turn_idx, text, array_to_string(tags, ' ') AS tags FROM ag_out {_SEL}"
+
+
+def _tagged_with() -> str:
+    ctes = [x for n in TAGGED_CONFIGS for x in OA.augment_ctes(ActionConfig.preset(n), "fx0", "slot_values", f"t_{n}", SEED, three=True)]
+    union = "\nUNION ALL ".join(f"SELECT {O.sql_str(n)} AS config_id, split, dialogue_idx, turn_idx, text, tags FROM t_{n}_out {_SEL}"
+                                for n in TAGGED_CONFIGS)
+    return O.fx_vocab_with(_FX0, *ctes, f"runs AS ({union})")
+
+
+ORACLE["inline_tags"] = _tagged_with() + \
+    "SELECT config_id, split, dialogue_idx, turn_idx, text, array_to_string(tags, ' ') AS tags FROM runs"
 
 _H4_SQL = """
 m AS (SELECT *, lag(ins) OVER w AS prev_ins,
@@ -787,15 +850,16 @@ ORACLE["limit_audit"] = _aug_with(_DEF).rstrip() + \
 
 _PAIRS_WHERE = "WHERE agent = 'user' AND lower(orig_text) <> '<silence>'"
 ORACLE["parallel_pairs"] = _aug_with(_DEF) + \
-    f"SELECT split, dialogue_idx, turn_idx, text AS babi_plus, orig_text AS babi FROM ag_out {_PAIRS_WHERE}"
+    f"SELECT split, dialogue_idx, turn_idx, text AS augmented, orig_text AS original FROM ag_out {_PAIRS_WHERE}"
 
 
 def _multi_sql() -> str:
     ctes = []
     for k, c in enumerate(MULTI_CONFIGS):
-        ctes += OA.augment_ctes(ActionConfig.preset(c), "fx0", "slot_values", f"m{k}", SEED)
+        cfg = ActionConfig.preset(c)
+        ctes += OA.augment_ctes(cfg, "fx0", "slot_values", f"m{k}", SEED, three=cfg.token_types == "three")
     body = "\nUNION ALL ".join(
-        f"SELECT {O.sql_str(c)} AS config_id, split, dialogue_idx, turn_idx, text AS babi_plus, orig_text AS babi "
+        f"SELECT {O.sql_str(c)} AS config_id, split, dialogue_idx, turn_idx, text AS augmented, orig_text AS original "
         f"FROM m{k}_out {_PAIRS_WHERE}" for k, c in enumerate(MULTI_CONFIGS))
     return O.fx_vocab_with(_FX0, *ctes) + body
 
@@ -803,38 +867,37 @@ def _multi_sql() -> str:
 ORACLE["multi_config_augment"] = _multi_sql()
 
 
-def _grams(n: int) -> str:
-    return (f"list_transform(range(greatest(len(tk) - {n - 1}, 0)), "
-            f"lambda k: [{', '.join(f'tk[k + {j + 1}]' for j in range(n))}])")
-
-
 def _trigger_sql(kind: str, cfg: ActionConfig) -> tuple[int, str]:
-    """SQL predicate over an n-gram `g` (1-based list) for one disfluency kind."""
+    """(n, SQL predicate): a trigger of n tokens begins at the 1-based index k of `toks`."""
     def lists(action):
-        return "[" + ", ".join("[" + ", ".join(O.sql_str(w) for w in l) + "]::VARCHAR[]"
-                               for l in DS.marker_lists(cfg, action)) + "]"
+        return "[" + ", ".join(O.sql_str(" ".join(l)) for l in DS.marker_lists(cfg, action)) + "]::VARCHAR[]"
     if kind == "hesitate":
         starts = [t.split()[0] for t in cfg.templates["hesitate"] if t.split()]
-        return 2, f"g[1] IN {_sql_in(starts)} AND g[2] NOT IN {_sql_in(DS.HESITATION_EXCLUDED_NEXT)}"
+        return 2, f"toks[k] IN {_sql_in(starts)} AND toks[k + 1] NOT IN {_sql_in(DS.HESITATION_EXCLUDED_NEXT)}"
     if kind == "restart":
-        return 3, f"g[1] IN {_sql_in(DS.RESTART_FIRST)} AND g[2] IN {_sql_in(DS.RESTART_SECOND)}"
+        return 3, f"toks[k] IN {_sql_in(DS.RESTART_FIRST)} AND toks[k + 1] IN {_sql_in(DS.RESTART_SECOND)}"
+    m = lists(kind)
+    one, two = f"list_contains({m}, toks[k])", f"list_contains({m}, toks[k] || ' ' || toks[k + 1])"
     if kind == "correct":
-        m = lists("correct")
-        return 3, (f"(list_contains({m}, [g[1]]) AND list_contains(vl, g[2])) OR "
-                   f"(list_contains({m}, [g[1], g[2]]) AND list_contains(vl, g[3]))")
-    m = lists("correct_long_distance")
-    return 3, (f"(list_contains({m}, [g[1]]) AND g[2] IN {_L_WORDS} AND list_contains(vl, g[3])) OR "
-               f"(list_contains({m}, [g[1], g[2]]) AND g[3] IN {_L_WORDS})")
+        return 3, f"({one} AND sl[k + 1]) OR ({two} AND sl[k + 2])"
+    return 3, f"({one} AND toks[k + 1] IN {_L_WORDS} AND sl[k + 2]) OR ({two} AND toks[k + 2] IN {_L_WORDS})"
 
 
-def _count_sql(kind: str) -> str:
+def _hits_sql(kind: str) -> str:
     n, pred = _trigger_sql(kind, _DEF)
+    return f"list_filter(range(1, greatest(len(toks) - {n - 2}, 1)), lambda k: {pred})"
+
+
+def _count_sql(kind: str) -> str:
+    n, _ = _trigger_sql(kind, _DEF)
+    user = f"(SELECT {O.tok('trim(text)')} AS toks FROM ag_out WHERE agent = 'user')"
     return _aug_with(_DEF).rstrip() + f""",
-vlc AS (SELECT list(value) AS vl FROM vocab),
-u AS (SELECT list_filter({_grams(n).replace('tk', 'toks2')}, lambda g: {pred}) AS hits
-      FROM (SELECT {O.tok('trim(text)')} AS toks2 FROM ag_out WHERE agent = 'user'), vlc)
+us AS MATERIALIZED (SELECT toks FROM {user}),
+{", ".join(O.flag_ctes("c", "us", "toks"))},
+u AS (SELECT list_transform({_hits_sql(kind)}, lambda k: array_to_string(toks[k:k + {n - 1}], ' ')) AS hits
+      FROM us LEFT JOIN c_fl USING (toks))
 SELECT CAST(sum(len(hits)) AS BIGINT) AS n_triggers, count(*) FILTER (WHERE len(hits) > 0) AS n_turns,
-       (SELECT count(DISTINCT array_to_string(h, ' ')) FROM u, unnest(hits) AS x(h)) AS n_cases,
+       (SELECT count(DISTINCT h) FROM u, unnest(hits) AS x(h)) AS n_cases,
        count(*) AS n_user_turns,
        CAST(count(*) FILTER (WHERE len(hits) > 0) * 100 AS DOUBLE) / count(*) AS pct_turns
 FROM u"""
@@ -846,25 +909,22 @@ for _name, _kind in [("count_hesitations", "hesitate"), ("count_restarts", "rest
 
 
 def _report_sql() -> str:
-    ctes = []
-    for k in REPORT_MULTIPLIERS:
-        ctes.append(f"c{k} AS (SELECT fx.*, CAST(c AS INTEGER) AS copy_no FROM fx, generate_series(0, {k - 1}) AS g(c))")
-        ctes += OA.augment_ctes(_DEF, f"c{k}", "slot_values", f"r{k}", SEED)
-    union = "\nUNION ALL ".join(f"SELECT '{k}x' AS corpus, agent, text FROM r{k}_out" for k in REPORT_MULTIPLIERS)
-    cols = []
-    for kind in DS.KINDS:
-        n, pred = _trigger_sql(kind, _DEF)
-        cols.append(f"CASE WHEN agent = 'user' THEN len(list_filter({_grams(n).replace('tk', 'toks2')}, "
-                    f"lambda g: {pred})) ELSE 0 END AS {kind}")
-    return O.fx_vocab_with(*ctes) + f""",
-vlc AS (SELECT list(value) AS vl FROM vocab),
-allc AS ({union}),
-x AS (SELECT corpus, agent, {', '.join(cols)}
-      FROM (SELECT corpus, agent, {O.tok('trim(text)')} AS toks2 FROM allc), vlc)
-SELECT corpus, count(*) AS n_turns, count(*) FILTER (WHERE agent = 'user') AS n_user_turns,
-       {', '.join(f'CAST(sum({k}) AS BIGINT) AS n_{k}' for k in DS.KINDS)},
-       {', '.join(f'count(*) FILTER (WHERE {k} > 0) AS turns_{k}' for k in DS.KINDS)}
-FROM x GROUP BY corpus"""
+    """Draws are keyed by copy: the k-fold corpus is copies 0 to k - 1 of the largest."""
+    top = max(REPORT_MULTIPLIERS)
+    src = f"cx AS (SELECT fx.*, CAST(c AS INTEGER) AS copy_no FROM fx, generate_series(0, {top - 1}) AS g(c))"
+    cols = ", ".join(f"CASE WHEN agent = 'user' THEN len({_hits_sql(k)}) ELSE 0 END AS {k}" for k in DS.KINDS)
+    return O.fx_vocab_with(src, *OA.augment_ctes(_DEF, "cx", "slot_values", "r", SEED)) + f""",
+rt AS MATERIALIZED (SELECT copy_no, agent, {O.tok('trim(text)')} AS toks FROM r_out),
+{", ".join(O.flag_ctes("c", "rt", "toks"))},
+x AS (SELECT copy_no, agent, {cols} FROM rt LEFT JOIN c_fl USING (toks)),
+y AS (SELECT copy_no, count(*) AS n_turns, count(*) FILTER (WHERE agent = 'user') AS n_user_turns,
+             {', '.join(f'sum({k}) AS n_{k}, count(*) FILTER (WHERE {k} > 0) AS turns_{k}' for k in DS.KINDS)}
+      FROM x GROUP BY copy_no),
+sizes(k) AS (VALUES {', '.join(f'({k})' for k in REPORT_MULTIPLIERS)})
+SELECT k || 'x' AS corpus, CAST(sum(n_turns) AS BIGINT) AS n_turns, CAST(sum(n_user_turns) AS BIGINT) AS n_user_turns,
+       {', '.join(f'CAST(sum(n_{k}) AS BIGINT) AS n_{k}' for k in DS.KINDS)},
+       {', '.join(f'CAST(sum(turns_{k}) AS BIGINT) AS turns_{k}' for k in DS.KINDS)}
+FROM sizes JOIN y ON y.copy_no < sizes.k GROUP BY k"""
 
 
 ORACLE["disfluency_report"] = _report_sql()
@@ -875,47 +935,52 @@ ORACLE["disfluency_dataset"] = _aug_with(_DEF, turns="fx0_trn", sv="sv_trn", thr
 SELECT dialogue_idx, turn_idx, text AS utterance, array_to_string(tags, ' ') AS tags, {_POS_SQL} AS pos
 FROM ag_out WHERE agent = 'user'"""
 
-_RENDER_SQL = (f"(SELECT split, dialogue_idx, turn_idx, array_to_string(list_transform(range(least(len(tk), len(tags))), "
+_RENDER_SQL = (f"(SELECT config_id, split, dialogue_idx, turn_idx, array_to_string(list_transform(range(least(len(tk), len(tags))), "
                f"lambda k: tk[k + 1] || '|' || tags[k + 1]), ' ') AS rendered "
-               f"FROM (SELECT *, {O.tok('text')} AS tk FROM ag_out WHERE selected))")
-ORACLE["render_tagged"] = _aug_with(_DEF, three=True) + f"SELECT * FROM {_RENDER_SQL}"
-ORACLE["distinct_tagged"] = _aug_with(_DEF, three=True) + f"SELECT DISTINCT rendered FROM {_RENDER_SQL}"
+               f"FROM (SELECT *, {O.tok('text')} AS tk FROM runs))")
+ORACLE["render_tagged"] = _tagged_with() + f"SELECT * FROM {_RENDER_SQL}"
+ORACLE["distinct_tagged"] = _tagged_with() + f"SELECT DISTINCT rendered FROM {_RENDER_SQL}"
 
 
-def _prob_sql(cfg: ActionConfig) -> str:
-    rows = ", ".join(f"({O.sql_str(t)}, {O.sql_str(a)}, {OA._d(cfg.base_weight(t, a))})"
-                     for t in TOKEN_TYPES[:2] for a in cfg.actions)
-    return O.fx_vocab_with(_VL, f"w(token_type, action, weight) AS (VALUES {rows})") + f"""
-, cnt AS (SELECT CASE WHEN list_contains(vl, x) THEN 'slot_value' ELSE 'background_word' END AS token_type, count(*) AS n_tokens
-         FROM (SELECT unnest({O.tok('text')}) AS x FROM fx WHERE agent = 'user'), vl GROUP BY 1)
-SELECT w.token_type, w.action, w.weight / sum(w.weight) OVER (PARTITION BY w.token_type) AS probability, cnt.n_tokens
-FROM w JOIN cnt USING (token_type)"""
+def _prob_sql() -> str:
+    rows = ", ".join(f"({O.sql_str(c)}, {O.sql_str(t)}, {O.sql_str(a)}, {OA._d(w)})" for c, t, a, w in _weight_rows())
+    two = _sql_in([n for n in list_presets() if ActionConfig.preset(n).token_types == "two"])
+    return O.fx_vocab_with(*_USER_FL, f"w(config_id, token_type, action, weight) AS (VALUES {rows})") + f"""
+, kinds AS (SELECT CASE WHEN sl[i] THEN 'slot_value' WHEN toks[i] IN {_sql_in(T.PREPOSITIONS)} AND toks[i] <> 'like'
+                   THEN 'pp_start' ELSE 'background_word' END AS kind, count(*) AS n
+            FROM (SELECT * FROM {_USER_TOKS}) t, generate_series(1, len(toks)) AS g(i) GROUP BY 1)
+, cnt AS (SELECT config_id, CASE WHEN kind = 'pp_start' AND config_id IN {two} THEN 'background_word' ELSE kind END AS token_type,
+                 CAST(sum(n) AS BIGINT) AS n_tokens
+          FROM kinds, (SELECT DISTINCT config_id FROM w) GROUP BY 1, 2)
+SELECT config_id, token_type, action, probability, n_tokens,
+       round(sum(probability) OVER (PARTITION BY config_id, token_type), 9) AS total
+FROM (SELECT w.config_id, w.token_type, w.action, cnt.n_tokens,
+             w.weight / sum(w.weight) OVER (PARTITION BY w.config_id, w.token_type) AS probability
+      FROM w JOIN cnt USING (config_id, token_type))"""
 
 
-ORACLE["action_probabilities"] = _prob_sql(_DEF)
+ORACLE["action_probabilities"] = _prob_sql()
 
 
 def _tagger_sql(final: str) -> str:
-    delex = "list_transform(tk, lambda x: CASE WHEN list_contains(vl, x) THEN '<value>' ELSE x END)"
-    phr = f"""phr AS (
-  SELECT list(DISTINCT list_transform(string_split(phrase, ' '), lambda x: CASE WHEN list_contains(vl, x)
-                                      THEN '<value>' ELSE x END)) AS P
-  FROM (SELECT DISTINCT {_sql_phrase('toks', 'i')} AS phrase
-        FROM (SELECT {O.tok('text')} AS toks FROM fx) t, vl, generate_series(1, len(toks)) AS g(i)
-        WHERE list_contains(vl, toks[i])), vl)"""
-    tg = OA.tagger_sql(delex, TG.markers(_DEF), "P")
-    return _aug_with(_DEF, extra=(_VL, phr)).rstrip() + f""",
-pairs AS (SELECT *, {O.tok('text')} AS tk FROM ag_out {_PAIRS_WHERE}),
-tagged AS (SELECT split, dialogue_idx, turn_idx, text, tk, {tg} AS tg FROM pairs, vl, phr)
+    """Each distinct delexicalised utterance is tagged once."""
+    phrase = _sql_phrase("toks", "i")
+    for_words = phrase.replace("array_to_string(toks[", f"array_to_string(({O.delex()})[", 1)
+    phr = f"phr AS MATERIALIZED (SELECT list(DISTINCT string_split({for_words}, ' ')) AS P " \
+          "FROM al_fl, generate_series(1, len(toks)) AS g(i) WHERE sl[i])"
+    tg = OA.tagger_sql("dx", TG.markers(_DEF), "P")
+    return _aug_with(_DEF, extra=(*_ALL_FL, phr)).rstrip() + f""",
+pairs AS MATERIALIZED (SELECT *, {O.tok('text')} AS tk FROM ag_out {_PAIRS_WHERE}),
+{", ".join(O.flag_ctes("p", "pairs", "tk"))},
+delexed AS MATERIALIZED (SELECT split, dialogue_idx, turn_idx, text, tk, {O.delex('tk')} AS dx FROM pairs JOIN p_fl ON tk = p_fl.toks),
+tags_of AS MATERIALIZED (SELECT dx, {tg} AS tg FROM (SELECT DISTINCT dx FROM delexed), phr),
+tagged AS (SELECT * FROM delexed JOIN tags_of USING (dx))
 {final}"""
 
 
-ORACLE["tag_disfluencies"] = _tagger_sql(
-    "SELECT split, dialogue_idx, turn_idx, CASE WHEN len(tg) = len(tk) THEN array_to_string(tg, ' ') END AS tags, "
-    "len(tg) <> len(tk) AS tag_length_mismatch FROM tagged")
-ORACLE["tag_corpus"] = _tagger_sql(
-    "SELECT split, dialogue_idx, turn_idx, text AS utterance, array_to_string(tg, ' ') AS tags "
-    "FROM tagged WHERE len(tg) = len(tk)")
+_TAGS_SQL = "CASE WHEN len(tg) = len(tk) THEN array_to_string(tg, ' ') END AS tags, len(tg) <> len(tk) AS tag_length_mismatch"
+ORACLE["tag_disfluencies"] = _tagger_sql(f"SELECT split, dialogue_idx, turn_idx, {_TAGS_SQL} FROM tagged")
+ORACLE["tag_corpus"] = _tagger_sql(f"SELECT text AS utterance, {_TAGS_SQL} FROM tagged")
 
 
 @query("read_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")

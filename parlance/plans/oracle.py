@@ -80,3 +80,17 @@ def sql_str(s: str) -> str:
 
 def sql_list(items) -> str:
     return "[" + ", ".join(sql_str(x) for x in items) + "]"
+
+
+def flag_ctes(prefix: str, source: str, toks: str, vocab: str = "vocab") -> list[str]:
+    """CTE `{prefix}_fl(toks, sl)`: per distinct non-empty token list of `source` whether each token is
+    in `vocab(value)`.  A join instead of a list that lambdas capture."""
+    return [f"""{prefix}_ex AS (
+  SELECT toks, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM (SELECT DISTINCT {toks} AS toks FROM {source}))""",
+            f"""{prefix}_fl AS MATERIALIZED (
+  SELECT e.toks, list(v.value IS NOT NULL ORDER BY e.i) AS sl
+  FROM {prefix}_ex e LEFT JOIN (SELECT DISTINCT value FROM {vocab}) v ON e.w = v.value GROUP BY e.toks)"""]
+
+
+def delex(toks: str = "toks", sl: str = "sl") -> str:
+    return f"list_transform({toks}, lambda x, ix: CASE WHEN {sl}[ix] THEN '<value>' ELSE x END)"

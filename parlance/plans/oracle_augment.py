@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import DETERMINERS, PHRASE_LEFT_WORDS, PHRASE_RIGHT_WORDS, PREPOSITIONS
 from ..sources.config import TOKEN_TYPES, ActionConfig
-from .oracle import sql_str, tok
+from .oracle import flag_ctes, sql_str, tok
 
 SA = "VARCHAR[]"
 
@@ -46,11 +46,11 @@ def _splice(arr: str, s: str, e: str, ins: str) -> str:
     return f"list_concat({arr}[1:{s}], {ins}, {arr}[({e}) + 1:len({arr})])"
 
 
-def _sample(cfg: ActionConfig, vl: str, three: bool, seed: int) -> str:
+def _sample(cfg: ActionConfig, three: bool, seed: int) -> str:
     acts = cfg.actions
     null_k = acts.index("NULL") if "NULL" in acts else -1
     g_lim = cfg.limit("GLOBAL")
-    tcode = f"CASE WHEN list_contains({vl}, x) THEN 1 " + (
+    tcode = "CASE WHEN sl[ix + 1] THEN 1 " + (
         f"WHEN x IN {_in(PREPOSITIONS)} AND x <> 'like' THEN 2 " if three else "") + "ELSE 0 END"
     elems = (f"list_transform(range(len(toks)), lambda ix: {_let('toks[ix + 1]', 'x', '{' + "'t': " + tcode + ", "
              + "'u': " + _u(seed, cfg.config_id, 'ix', 'action') + ", 'i': CAST(ix AS INTEGER)}")})")
@@ -117,7 +117,7 @@ def _tags(pieces, mode: str) -> str:
     return ("list_concat(" + ", ".join(parts) + ")") if len(parts) > 1 else (parts[0] if parts else f"[]::{SA}")
 
 
-def _rewrite(cfg: ActionConfig, vl: str, cm: str, seed: int) -> str:
+def _rewrite(cfg: ActionConfig, seed: int) -> str:
     acts = cfg.actions
     live = [(k, a) for k, a in enumerate(acts) if a != "NULL" and cfg.can_fire(a)]
     T = "st.toks"
@@ -142,11 +142,11 @@ def _rewrite(cfg: ActionConfig, vl: str, cm: str, seed: int) -> str:
             p = _pieces(tmpl, {"$token": one, "$pp": pp})
             return state(_splice(T, i, end, _render(p)), _splice("st.tags", i, end, _tags(p, "pp")))
         if a == "correct":
-            p = _pieces(tmpl, {"$incorrect_value": "[wv]", "$correct_value": one})
+            p = _pieces(tmpl, {"$incorrect_value": "[p.w]", "$correct_value": one})
             return state(_splice(T, i, f"{i} + 1", _render(p)), _splice("st.tags", i, f"{i} + 1", _tags(p, "plain")))
         if a == "multiturn_correct":
-            p = _pieces(tmpl, {"$incorrect_value": "[wv]", "$correct_value": one})
-            return state(_splice(T, i, f"{i} + 1", "[wv]"), None,
+            p = _pieces(tmpl, {"$incorrect_value": "[p.w]", "$correct_value": one})
+            return state(_splice(T, i, f"{i} + 1", "[p.w]"), None,
                          f"list_concat(st.ins, [array_to_string({_render(p)}, ' ')])")
         if a == "correct_long_distance":
             left = (f"coalesce(list_position(list_transform(list_reverse({T}[1:{i}]), "
@@ -154,7 +154,7 @@ def _rewrite(cfg: ActionConfig, vl: str, cm: str, seed: int) -> str:
             right = (f"coalesce(list_position(list_transform({T}[{i} + 2:len({T})], "
                      f"lambda x: x IN {_in(PHRASE_RIGHT_WORDS)}), false) - 1, len({T}) - {i} - 1)")
             correct_ph = f"{T}[bb.b + 1:bb.e + 1]"
-            wrong_ph = f"list_concat({T}[bb.b + 1:{i}], [wv], {T}[{i} + 2:bb.e + 1])"
+            wrong_ph = f"list_concat({T}[bb.b + 1:{i}], [p.w], {T}[{i} + 2:bb.e + 1])"
             p = _pieces(tmpl, {"$incorrect_phrase": wrong_ph, "$correct_phrase": correct_ph})
             body = state(_splice(T, "bb.b", "bb.e + 1", _render(p)),
                          _splice("st.tags", "bb.b", "bb.e + 1", _tags(p, "plain")))
@@ -173,51 +173,53 @@ def _rewrite(cfg: ActionConfig, vl: str, cm: str, seed: int) -> str:
         if not cfg.templates.get(a):
             return "st"
         if a in ("correct", "multiturn_correct", "correct_long_distance"):
-            conf = f"coalesce({cm}[word], []::{SA})"
-            wv = f"cf[CAST(floor({_u(seed, cfg.config_id, i, 'value')} * len(cf)) AS INTEGER) + 1]"
-            return _let(conf, "cf", f"CASE WHEN list_contains({vl}, word) AND len(cf) > 0 THEN "
-                        + _let(wv, "wv", by_template(a)) + " ELSE st END")
+            return f"CASE WHEN p.w IS NOT NULL THEN {by_template(a)} ELSE st END"
         if a == "selfcheck":
-            return f"CASE WHEN list_contains({vl}, word) THEN {by_template(a)} ELSE st END"
+            return f"CASE WHEN p.s THEN {by_template(a)} ELSE st END"
         return by_template(a)
 
     cases = " ".join(f"WHEN {k} THEN {act(a)}" for k, a in live)
     body = f"CASE p.a {cases} ELSE st END" if live else "st"
     step = _let(f"{T}[{i} + 1]", "word", body)
     zero = "{'toks': toks, 'tags': list_transform(toks, lambda _x: '<f/>'), 'ins': []::VARCHAR[]}"
-    return f"list_reduce(list_reverse(picks), lambda st, p: {step}, {zero})"
+    return f"list_reduce(list_reverse(full_picks), lambda st, p: {step}, {zero})"
 
 
 def augment_ctes(cfg: ActionConfig, turns: str, sv: str, prefix: str, seed: int = 273,
                  three: bool = False, select: str = "parity") -> list[str]:
     """CTEs `{prefix}_out` with columns of `turns` (text replaced) plus selected, n_tokens,
     picks (list of struct(i, a)), actions_str, tags, ins.  `turns` needs copy_no."""
-    vl, cm = f"{prefix}_v.vl", f"{prefix}_v.cm"
     acts = cfg.actions
     sel_expr = ("turn_idx % 2 = 0" if select == "parity" else "agent = 'user'")
     names = "[" + ", ".join(sql_str(a) for a in acts) + "]"
     pos = (f"list_transform(toks, lambda x: CASE WHEN x IN {_in(PREPOSITIONS)} THEN 'IN' "
            f"WHEN x IN {_in(DETERMINERS)} THEN 'DT' ELSE 'X' END)")
+    no_picks = "[]::STRUCT(i INTEGER, a INTEGER, s BOOLEAN, w VARCHAR)[]"
     return [
-        f"""{prefix}_conf AS (
-  SELECT a.value, list_sort(list_distinct(list(b.value) FILTER (WHERE b.value <> a.value))) AS conf
+        f"""{prefix}_conf AS MATERIALIZED (
+  SELECT a.value, coalesce(list_sort(list_distinct(list(b.value) FILTER (WHERE b.value <> a.value))), []::{SA}) AS conf
   FROM {sv} a JOIN {sv} b ON a.slot_pos = b.slot_pos GROUP BY a.value)""",
-        f"""{prefix}_v AS (
-  SELECT (SELECT list(DISTINCT value) FROM {sv}) AS vl,
-         (SELECT map_from_entries(list({{'key': value, 'value': coalesce(conf, []::{SA})}})) FROM {prefix}_conf) AS cm)""",
-        f"""{prefix}_in AS (
-  SELECT t.*, {tok('t.text')} AS toks FROM {turns} t)""",
+        f"""{prefix}_in AS MATERIALIZED (
+  SELECT t.*, {tok('t.text')} AS toks, row_number() OVER () AS rid FROM {turns} t)""",
+        *flag_ctes(prefix, f"{prefix}_in", "toks", sv),
         f"""{prefix}_s AS (
-  SELECT *, ({sel_expr} AND NOT (toks = ['<SILENCE>'])) AS selected FROM {prefix}_in)""",
-        f"""{prefix}_p AS (
-  SELECT s.*, CASE WHEN selected THEN {_sample(cfg, vl, three, seed)}
-                   ELSE []::STRUCT(i INTEGER, a INTEGER)[] END AS picks, {pos} AS pos
-  FROM {prefix}_s s, {prefix}_v)""",
+  SELECT n.*, f.sl, ({sel_expr} AND NOT (n.toks = ['<SILENCE>'])) AS selected
+  FROM {prefix}_in n LEFT JOIN {prefix}_fl f ON n.toks = f.toks)""",
+        f"""{prefix}_p AS MATERIALIZED (
+  SELECT s.*, CASE WHEN selected THEN {_sample(cfg, three, seed)}
+                   ELSE []::STRUCT(i INTEGER, a INTEGER)[] END AS picks
+  FROM {prefix}_s s)""",
+        f"""{prefix}_k AS (
+  SELECT rid, list({{'i': i, 'a': a, 's': value IS NOT NULL,
+                     'w': conf[CAST(floor({_u(seed, cfg.config_id, 'i', 'value')} * len(conf)) AS INTEGER) + 1]}} ORDER BY i) AS full_picks
+  FROM (SELECT *, k.i AS i, k.a AS a FROM (SELECT * EXCLUDE (picks), unnest(picks) AS k FROM {prefix}_p WHERE len(picks) > 0)) x
+       LEFT JOIN {prefix}_conf c ON x.toks[x.i + 1] = c.value GROUP BY rid)""",
         f"""{prefix}_r AS (
-  SELECT p.*, CASE WHEN len(picks) > 0 THEN {_rewrite(cfg, vl, cm, seed)} END AS rw
-  FROM {prefix}_p p, {prefix}_v)""",
+  SELECT p.*, CASE WHEN len(full_picks) > 0 THEN {_rewrite(cfg, seed)} END AS rw
+  FROM (SELECT p.*, coalesce(k.full_picks, {no_picks}) AS full_picks, {pos} AS pos
+        FROM {prefix}_p p LEFT JOIN {prefix}_k k USING (rid)) p)""",
         f"""{prefix}_out AS (
-  SELECT * EXCLUDE (text, toks, rw, pos), turn_idx AS orig_turn_idx,
+  SELECT * EXCLUDE (text, toks, sl, rid, rw, pos, full_picks), turn_idx AS orig_turn_idx,
          array_to_string(coalesce(rw.toks, toks), ' ') AS text,
          coalesce(rw.tags, list_transform(toks, lambda _x: '<f/>')) AS tags,
          coalesce(rw.ins, []::VARCHAR[]) AS ins,

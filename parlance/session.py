@@ -31,7 +31,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a private one only when unset (tests)."""
+    """Return the cluster's checkpoint folder; a private one is made only for an unset local session.
+
+    On a cluster executors could not see a folder of the driver's machine, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
@@ -39,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="parlance-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
         sc.setCheckpointDir(current)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 DIALOGUE_KEY = ["split", "dialogue_idx"]
 
 
@@ -51,8 +53,7 @@ def dialogue_file_lines(turns: DataFrame, block_size: int = 1000) -> DataFrame:
     return ex.select(
         F.col("split").alias("file"),
         F.floor(F.col("dialogue_idx") / block_size).cast("bigint").alias("block"),
-        ((F.col("dialogue_idx") % block_size) * 10000 + F.col("line_no")).cast("bigint").alias("pos"),
-        "value")
+        F.struct("dialogue_idx", "line_no").alias("pos"), "value")
 
 
 def write_dialogue_text(turns: DataFrame, path: str) -> None:
@@ -63,10 +64,33 @@ def write_dialogue_text(turns: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("split").text(path))
 
 
+# Fixed value: the header of the parallel file.
+PARALLEL_HEADER = ("babi_plus", "babi")
+
+
 def write_parallel_csv(pairs: DataFrame, path: str) -> None:
-    """`babi_plus;babi` CSV with header (quoting kept on: `;` inside text stays safe)."""
-    (pairs.select("babi_plus", "babi").write.mode("overwrite").option("sep", ";")
-     .option("header", True).csv(path))
+    """(augmented, original) as a two-column CSV with its header (quoting kept on: `;` inside
+    text stays safe)."""
+    (pairs.select(F.col("augmented").alias(PARALLEL_HEADER[0]), F.col("original").alias(PARALLEL_HEADER[1]))
+     .write.mode("overwrite").option("sep", ";").option("escape", '"').option("header", True).csv(path))
+
+
+def write_pair_files(pairs: DataFrame, path: str, order: list[str]) -> None:
+    """`path/encoder` and `path/decoder`, two folders of text files aligned line by line.
+
+    The rows are sorted once into a stored table, one file per range; both sides are written from
+    its files, so part k of one side matches part k of the other.
+    """
+    spark = pairs.sparkSession
+    tmp = scratch_path(spark, "pairs")
+    one_line = lambda c: F.regexp_replace(c, "[\\r\\n]+", " ")
+    (pairs.select(*order, one_line("encoder").alias("encoder"), one_line("decoder").alias("decoder"))
+     .repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(tmp))
+    rows = spark.read.parquet(tmp)
+    for side in ("encoder", "decoder"):
+        (rows.repartition("part").sortWithinPartitions("part", *order)
+         .select("part", F.col(side).alias("value")).write.mode("overwrite").partitionBy("part").text(f"{path}/{side}"))
 
 
 def write_tagged(df: DataFrame, path: str, fmt: str = "parquet") -> None:

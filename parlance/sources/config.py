@@ -1,8 +1,7 @@
 """Action configurations (A8): limits, weights, per-token-type masks and templates.
 
 A configuration is a few hundred bytes of JSON; it is read on the driver and its values
-become literals of the augmentation expressions (so Catalyst folds them).  `config_tables`
-exposes the same content as DataFrames for inspection and joins.
+become literals of the augmentation expressions (so Catalyst folds them).
 """
 
 from __future__ import annotations
@@ -11,12 +10,8 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 PRESET_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "presets")
 TOKEN_TYPES = ["background_word", "slot_value", "pp_start"]
-PLACEHOLDERS = ["$utterance_from_beginning", "$incorrect_phrase", "$correct_phrase",
-                "$incorrect_value", "$correct_value", "$token", "$pp"]
 
 
 @dataclass(frozen=True)
@@ -51,6 +46,11 @@ class ActionConfig:
     def limit(self, action: str) -> int:
         return int(self.limits.get(action, 1 << 30))
 
+    @property
+    def token_types(self) -> str:
+        """"three" where the masks know prepositional starts, else "two"."""
+        return "three" if "pp_start" in self.masks else "two"
+
     def mask(self, token_type: str) -> dict:
         # a token type the config has no mask for is treated as a background word
         return self.masks.get(token_type, self.masks.get("background_word", {}))
@@ -78,21 +78,3 @@ class ActionConfig:
 
 def list_presets() -> list[str]:
     return sorted(os.path.splitext(f)[0] for f in os.listdir(PRESET_DIR) if f.endswith(".json"))
-
-
-def config_tables(spark: SparkSession, path: str, config_id: str | None = None
-                  ) -> dict[str, DataFrame]:
-    """A8 as tables: limits, weights, masks and templates of one configuration file."""
-    cfg = ActionConfig.load(path, config_id)
-    cid = cfg.config_id
-    limits = spark.createDataFrame([(cid, k, int(v)) for k, v in cfg.limits.items()],
-                                   "config_id string, action string, action_limit int")
-    weights = spark.createDataFrame([(cid, k, float(v)) for k, v in cfg.weights.items()],
-                                    "config_id string, action string, weight double")
-    masks = spark.createDataFrame(
-        [(cid, t, a, float(v)) for t, m in cfg.masks.items() for a, v in m.items()],
-        "config_id string, token_type string, action string, mask double")
-    templates = spark.createDataFrame(
-        [(cid, a, i, s) for a, ts in cfg.templates.items() for i, s in enumerate(ts)],
-        "config_id string, action string, template_idx int, template string")
-    return {"limits": limits, "weights": weights, "masks": masks, "templates": templates}

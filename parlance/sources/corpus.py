@@ -84,22 +84,21 @@ def fixture_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MATERIALIZED: dict[tuple[int, str], str] = {}
+_MATERIALIZED: dict[tuple[str, str], str] = {}
 
 
 def load_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """The fixture corpus as a stored table: partitioned by split, sorted by dialogue and turn."""
     if not materialize:
         return fixture_turns(spark, sf_dir)
-    key = (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, "turns")
         # range partitioning on (split, dialogue) spreads a large split over many tasks
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         (
             fixture_turns(spark, sf_dir)
-            .repartitionByRange(n, "split", "dialogue_idx")
+            .repartitionByRange("split", "dialogue_idx")
             .sortWithinPartitions("split", "dialogue_idx", "turn_idx")
             .write.mode("overwrite")
             .partitionBy("split")
@@ -113,7 +112,7 @@ def load_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
 def corpus_path(spark: SparkSession, sf_dir: str) -> str:
     """Where `load_corpus` stored the turns table of `sf_dir` (materializing it if needed)."""
     load_corpus(spark, sf_dir)
-    return _MATERIALIZED[(id(spark.sparkContext._jsc), sf_dir.rstrip("/"))]
+    return _MATERIALIZED[(spark.sparkContext.applicationId, sf_dir.rstrip("/"))]
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,16 +20,19 @@ from ..operators.ordinals import ordinal_within
 
 
 def read_dialogue_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of dialogue files with (file, block, pos, value).
+    """A10: lines of dialogue files with (file, block, pos, value); lines end at `\\n` only, so a
+    `\\r` before it stays in the text.
 
-    A text scan task reads whole byte-range blocks in order, so `file_block_start` and the
-    row's id inside its task order the lines of a file without any shuffle.
+    A text scan task reads whole byte-range blocks in order, so (part file, `file_block_start`) and
+    the row's id inside its task order the lines of a file without any shuffle.  The part files of
+    a `split=<name>` folder are one logical file, in the order of their names.
     """
-    df = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    folder = F.regexp_extract(path, r"^(.*/split=[^/]+)/[^/]+$", 1)
+    return spark.read.option("lineSep", "\n").text(paths).select(
+        F.when(folder != "", folder).otherwise(path).alias("file"),
+        F.struct(path.alias("part"), start.alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("pos"), "value")
-    return df
 
 
 def parse_dialogue_lines(lines: DataFrame) -> DataFrame:
@@ -81,35 +84,73 @@ def parse_dialogue_lines(lines: DataFrame) -> DataFrame:
 def read_dialogues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A1/A2: read dialogue files into turns; `split` from the file name (`…-<split>.txt`)."""
     t = parse_dialogue_lines(read_dialogue_lines(spark, paths))
-    return t.withColumn("split", F.regexp_extract("file", r"-(trn|dev|tst-OOV|tst)\.txt", 1))
+    folder = F.regexp_extract("file", r"/split=([^/]+)$", 1)
+    return t.withColumn("split", F.when(folder != "", folder).otherwise(
+        F.regexp_extract("file", r"-(trn|dev|tst-OOV|tst)\.txt", 1))).withColumn(
+        "dialogue_id", F.when(folder != "", F.concat_ws(".", "split", F.col("dialogue_no").cast("string")))
+        .otherwise(F.col("dialogue_id")))
+
+
+def read_split_dialogues(spark: SparkSession, root: str, splits: list[str] | None = None) -> DataFrame:
+    """A2: the turns of every split folder `root/split=<name>`; a missing split is an error."""
+    from .corpus import SPLIT_ORDER
+
+    return read_dialogues(spark, [f"{root.rstrip('/')}/split={s}" for s in splits or SPLIT_ORDER])
+
+
+def read_dstc6(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A4: dialogues of JSON files (one object per line, or an array per file with `multi_line`)."""
+    schema = "dialogue_idx bigint, utterances array<string>, answer struct<utterance:string>"
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def dstc6_turns(dialogues: DataFrame) -> DataFrame:
     """A4: DSTC6 dialogues (utterances array, answer.utterance) -> paired `usr<TAB>sys` rows.
 
     Keeps dialogues whose answer starts with `api_call`, appends the answer, pairs items
-    (0,1), (2,3), …; an odd count is rejected (`odd` true, no lines).
+    (0,1), (2,3), …; dialogues with an odd count are in `dstc6_rejects` instead.
     """
-    keep = dialogues.where(F.col("answer.utterance").startswith("api_call"))
-    items = F.concat("utterances", F.array(F.col("answer.utterance")))
-    k = keep.withColumn("_it", items)
+    k = _dstc6_items(dialogues)
     n = F.size("_it")
     pairs = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda j: F.struct(
         (j + 1).alias("line_no"), F.col("_it")[2 * j].alias("user"), F.col("_it")[2 * j + 1].alias("system")))
-    ok = (n % 2 == 0)
-    return k.where(ok).select("dialogue_idx", F.explode(pairs).alias("p")).select(
+    return k.where(n % 2 == 0).select("dialogue_idx", F.explode(pairs).alias("p")).select(
         "dialogue_idx", "p.line_no", "p.user", "p.system",
         F.format_string("%d %s\t%s", F.col("p.line_no"), F.col("p.user"), F.col("p.system")).alias("line"))
 
 
+def dstc6_rejects(dialogues: DataFrame) -> DataFrame:
+    """Dialogues that end in an api call but cannot be paired: (dialogue_idx, n_items)."""
+    k = _dstc6_items(dialogues)
+    return k.where(F.size("_it") % 2 == 1).select("dialogue_idx", F.size("_it").alias("n_items"))
+
+
+def _dstc6_items(dialogues: DataFrame) -> DataFrame:
+    keep = dialogues.where(F.col("answer.utterance").startswith("api_call"))
+    return keep.withColumn("_it", F.concat("utterances", F.array(F.col("answer.utterance"))))
+
+
 def parse_candidates(lines: DataFrame) -> DataFrame:
     """A5: candidate answers: strip, drop the first space-delimited field."""
     return lines.select(F.element_at(F.split(F.trim("value"), " ", 2), 2).alias("text"))
 
 
 def read_parallel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """`babi_plus;babi` CSV with header."""
-    return spark.read.option("sep", ";").option("header", True).csv(path)
+    """The two-column parallel CSV with header, as (augmented, original)."""
+    raw = spark.read.option("sep", ";").option("escape", '"').option("header", True).csv(path)
+    return raw.select(F.col(raw.columns[0]).alias("augmented"), F.col(raw.columns[1]).alias("original"))
+
+
+def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
+    """Reads what B5 wrote: (part, line, encoder, decoder), aligned by part and line."""
+    def side(name: str) -> DataFrame:
+        lines = spark.read.option("lineSep", "\n").text(f"{path}/{name}").select(
+            "part", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
+            F.col("value").alias(name))
+        w = Window.partitionBy("part").orderBy("start", "id")
+        return lines.select("part", F.row_number().over(w).alias("line"), name)
+
+    return side("encoder").join(side("decoder"), ["part", "line"], "full")
 
 
 def parse_permutation(lines: DataFrame, width: int | None = None) -> DataFrame:

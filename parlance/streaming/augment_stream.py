@@ -1,7 +1,7 @@
 """Structured Streaming: augment and tag turns as they arrive.
 
 The per-turn operators are narrow expressions, so they run unchanged on a streaming DataFrame;
-the vocabulary is a static side (built from a batch table and size-checked).  Multi-turn
+the vocabulary is a static side, inlined (`SlotVocabulary.build(…, inline_values=…)` for a large one).  Multi-turn
 corrections need the whole dialogue and are rejected here (they need a per-dialogue window).
 """
 
@@ -28,12 +28,6 @@ def augment_stream(stream: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary,
                    **kw) -> DataFrame:
     if cfg.can_fire("multiturn_correct"):
         raise ValueError("multi-turn corrections need whole dialogues; run them in batch")
+    if not vocab.inlined:
+        raise ValueError("a stream needs an inlined vocabulary; build it with a larger inline_values")
     return augment_turns(stream, cfg, vocab, seed=seed, **kw)
-
-
-def start_augment_query(stream: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, sink_path: str,
-                        checkpoint: str, seed: int = 273):
-    """Append augmented turns to Parquet (`checkpoint` makes the sink exactly-once)."""
-    out = augment_stream(stream, cfg, vocab, seed)
-    return (out.drop("actions", "inserted").writeStream.format("parquet").option("path", sink_path)
-            .option("checkpointLocation", checkpoint).outputMode("append").start())

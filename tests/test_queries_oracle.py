@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from parlance.plans.catalog import QUERIES
 from tools.check_oracle import TABLES, rows_of
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql()) and set(QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parlance.operators.tagger import markers, tag_tokens
-from parlance.operators.vocab import SlotVocabulary
+from parlance.operators.vocab import SlotVocabulary, delexicalized
 from parlance.sources.config import ActionConfig
 
 PHRASES = [("for", "<value>", "people"), ("with", "<value>", "cuisine"), ("in", "<value>"), ("<value>",)]
@@ -24,7 +24,8 @@ def test_tagger_goldens(spark):
     cfg = ActionConfig.preset("default")
     df = spark.createDataFrame([(u,) for u, _ in CASES], "u string")
     toks = F.split("u", " ")
-    tags = tag_tokens(VOCAB.delexicalize(toks), markers(cfg), PHRASES)
+    df = VOCAB.annotate(df.withColumn("t", toks), "t")
+    tags = tag_tokens(delexicalized("t"), markers(cfg), PHRASES)
     out = df.select("u", F.size(toks).alias("n"), tags.alias("tags")).collect()
     got = {r.u: (" ".join(r.tags) if len(r.tags) == r.n else None) for r in out}
     for u, expected in CASES:

@@ -1,37 +1,74 @@
-"""The size-checked inline vocabulary and the join-based plan used beyond the bound agree."""
+"""The inlined and the joined vocabulary plan give the same rows, at any vocabulary size."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions.text import tokenize
-from parlance.operators.vocab import (SlotVocabulary, VocabularyTooLarge, slot_token_flags_by_join,
-                                      slot_values, slot_vocabulary)
+from parlance.operators import augment as AU
+from parlance.operators import tagger as TG
+from parlance.operators import vocab as V
+from parlance.plans import catalog as C
+from parlance.sources.config import ActionConfig
 from parlance.sources.corpus import load_corpus
+from tools.check_oracle import TABLES, rows_of
 
 SF_SMALL = "/root/testdata/sf0.001"
 
 
-def test_inline_and_join_membership_agree(spark):
-    t = load_corpus(spark, SF_SMALL).select("split", "dialogue_idx", "turn_idx",
-                                            tokenize("text").alias("tokens"))
-    key = ["split", "dialogue_idx", "turn_idx"]
-    vocab = SlotVocabulary.build(slot_values(load_corpus(spark, SF_SMALL)))
-    inline = t.select(*key, F.transform("tokens", lambda x: vocab.is_slot(x)).alias("inline"))
-    joined = slot_token_flags_by_join(t.where(F.size("tokens") > 0), key,
-                                      slot_vocabulary(load_corpus(spark, SF_SMALL)))
-    both = inline.join(joined, key)
-    assert both.count() == t.where(F.size("tokens") > 0).count()
-    assert both.where(F.col("inline") != F.col("slot_flags")).count() == 0
+@pytest.mark.parametrize("name", ["token_types", "delexicalize", "slot_phrases", "augment_corpus", "act_correct_long",
+                                  "act_multiturn", "act_selfcheck", "tag_disfluencies", "count_corrections"])
+def test_joined_plan_matches_oracle(spark, monkeypatch, name):
+    """With nothing inlined, queries still give the oracle's rows."""
+    monkeypatch.setattr(V, "INLINE_VALUES", 0)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    df = C.QUERIES[name](spark, SF_SMALL)
+    res = con.execute(C.ORACLE[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in res.description], res.fetchall())
 
 
-def test_vocabulary_size_is_checked(spark):
-    with pytest.raises(VocabularyTooLarge):
-        SlotVocabulary.build(slot_values(load_corpus(spark, SF_SMALL)), max_values=5)
+def test_fifty_thousand_values(spark):
+    """A large vocabulary: nothing is inlined, and all operators give the inlined plan's rows."""
+    turns = spark.range(25_000).select(
+        F.lit("trn").alias("split"), F.col("id").alias("dialogue_idx"), F.lit("d").alias("dialogue_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(1))).alias("turn_idx")).select(
+        "*", F.when(F.col("turn_idx") == 0, "user").otherwise("system").alias("agent"),
+        F.when(F.col("turn_idx") == 0, F.concat_ws(" ", F.lit("a table in"), F.concat(F.lit("city"), "dialogue_idx"),
+                                                   F.lit("with"), F.concat(F.lit("dish"), "dialogue_idx"), F.lit("food")))
+        .otherwise(F.concat_ws(" ", F.lit("api_call"), F.concat(F.lit("city"), "dialogue_idx"),
+                               F.concat(F.lit("dish"), "dialogue_idx"))).alias("text"))
+    values = V.slot_values(turns)
+    vocab = V.SlotVocabulary.build(values)
+    assert not vocab.inlined and vocab.words.count() == 50_000
+    marks = vocab.annotate(turns.select(tokenize("text").alias("t"), "agent"), "t")
+    got = marks.where("agent = 'user'").select(F.array_join(V.delexicalized("t"), " ").alias("d")).distinct().collect()
+    assert [r.d for r in got] == ["a table in <value> with <value> food"]
+    phrases = TG.collect_phrases(turns, vocab)
+    assert sorted(map(tuple, phrases)) == [("<value>",), ("in", "<value>", ), ("with", "<value>", "food")]
+    cfg = C.single_action_config("correct")
+    out = AU.augment_turns(turns, cfg, vocab).where("agent = 'user' and size(actions) > 0")
+    n = 0
+    for r in out.select("dialogue_idx", "text").limit(3000).collect():
+        for w in r.text.split():
+            if w.startswith(("city", "dish")) and w[4:] != str(r.dialogue_idx):
+                n += 1
+                assert 0 <= int(w[4:]) < 25_000
+    assert n > 1000
+    some = turns.where("dialogue_idx < 300")
+    small = V.SlotVocabulary.build(V.slot_values(some), inline_values=10_000)
+    large = V.SlotVocabulary.build(V.slot_values(some), inline_values=0)
+    assert small.inlined and not large.inlined
+    for c in (cfg, ActionConfig.preset("default")):
+        a, b = (AU.augment_turns(some, c, v).select("dialogue_idx", "turn_idx", "text").collect() for v in (small, large))
+        assert sorted(a) == sorted(b)
 
 
 def test_confusables_exclude_the_word(spark):
-    vocab = SlotVocabulary.build(slot_values(load_corpus(spark, SF_SMALL)))
+    vocab = V.SlotVocabulary.build(V.slot_values(load_corpus(spark, SF_SMALL)))
     word = vocab.values[0]
-    got = spark.range(1).select(vocab.confusables(F.lit(word)).alias("c")).first().c
     expected = sorted({v for p in vocab.positions[word] for v in vocab.by_pos[p]} - {word})
-    assert got == expected
+    n = len(expected)
+    got = spark.range(n).select(vocab.wrong_value(F.lit(word), (F.col("id") + 0.5) / n).alias("c")).collect()
+    assert [r.c for r in got] == expected

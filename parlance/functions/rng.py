@@ -26,6 +26,23 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(h, 16, 10).cast("bigint").cast("double") / F.lit(TWO_POW_32)
 
 
+def uniform_blocks(items: Column | str, *parts: Column | str | int, purpose: str) -> Column:
+    """Digests for the draws of an array's items, four draws each: element b is the md5 of the
+    parts, b and the purpose; `block_draw` reads item i's digits from element i div 4."""
+    strs = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    prefix = F.concat_ws("|", *strs)
+    n = F.size(items)
+    return F.element_at(F.transform(F.array(prefix), lambda key: F.when(n > 0, F.transform(
+        F.sequence(F.lit(0), ((n - 1) / 4).cast("int")),
+        lambda b: F.md5(F.concat_ws("|", key, b.cast("string"), F.lit(purpose)))))), 1)
+
+
+def block_draw(digests: Column, i: Column) -> Column:
+    """Uniform [0, 1) draw of item i: eight of the 32 digits of its block's digest."""
+    digits = F.substr(digests[(i / 4).cast("int")], (i % 4) * 8 + 1, F.lit(8))
+    return F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(TWO_POW_32)
+
+
 def pick_index(u: Column, n: Column | int) -> Column:
     """0-based index of a uniform choice among n items (n > 0)."""
     n_col = n if isinstance(n, Column) else F.lit(n)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.rng import pick_index, uniform
+from ..functions.rng import block_draw, pick_index, uniform, uniform_blocks
 from ..functions.text import (PREPOSITIONS, _slice0, clean_text, closed_class_pos, in_set,
                               is_silence, phrase_bounds, tokenize)
 from ..functions.text import let as _let
@@ -54,7 +54,9 @@ def sample_picks(cfg: ActionConfig, elems: Column) -> Column:
     acts = cfg.actions
     null_k = acts.index("NULL") if "NULL" in acts else -1
     g_lim = cfg.limit("GLOBAL")
-    zero = F.struct(*[F.lit(0).alias(f"c{k}") for k in range(len(acts))], F.lit(0).alias("g"),
+    # actions that cannot fire have weight 0 throughout: only the others are counted and compared
+    live = [k for k, a in enumerate(acts) if a == "NULL" or cfg.can_fire(a)]
+    zero = F.struct(*[F.lit(0).alias(f"c{k}") for k in live], F.lit(0).alias("g"),
                     F.array().cast("array<struct<i:int,a:int>>").alias("picks"))
 
     def weight(acc, x, k, a):
@@ -71,23 +73,22 @@ def sample_picks(cfg: ActionConfig, elems: Column) -> Column:
     def choose(ws, u):
         # first action whose cumulative weight exceeds u * total (exact: integral weights);
         # a scalar CASE chain over prefix sums, no per-element allocation
-        n = len(acts)
         cum = [ws[0]]
-        for k in range(1, n):
+        for k in range(1, len(live)):
             cum.append(cum[-1] + ws[k])
-        return _let(cum[-1] * u, lambda thr: _case_first([c > thr for c in cum], F.lit(-1)))
+        return _let(cum[-1] * u, lambda thr: _case_first([(c > thr, k) for c, k in zip(cum, live)], F.lit(-1)))
 
     def new_state(acc, a, i):
         fired = a != F.lit(null_k)
         return F.struct(
             *[(acc[f"c{k}"] + F.when(a == k, 1).otherwise(0)).alias(f"c{k}")
-              for k in range(len(acts))],
+              for k in live],
             (acc["g"] + F.when(fired, 1).otherwise(0)).alias("g"),
             F.when(fired, F.concat(acc["picks"], F.array(F.struct(i.alias("i"), a.alias("a")))))
             .otherwise(acc["picks"]).alias("picks"))
 
     def step(acc, x):
-        ws = F.array(*[weight(acc, x, k, a) for k, a in enumerate(acts)])
+        ws = F.array(*[weight(acc, x, k, acts[k]) for k in live])
         return _let(ws, lambda w: _let(
             choose(w, x["u"]),
             lambda a0: _let(F.when(a0 < 0, F.lit(null_k)).otherwise(a0),
@@ -230,10 +231,10 @@ def rewrite(cfg: ActionConfig, vocab: SlotVocabulary, tokens: Column, pos: Colum
     return F.aggregate(F.reverse(picks), zero, step)
 
 
-def _case_first(conds: list[Column], default: Column) -> Column:
-    """Index of the first true condition (or `default`)."""
+def _case_first(conds: list[tuple[Column, int]], default: Column) -> Column:
+    """Number of the first true condition (or `default`)."""
     expr = None
-    for k, c in enumerate(conds):
+    for c, k in conds:
         expr = F.when(c, F.lit(k)) if expr is None else expr.when(c, F.lit(k))
     return expr.otherwise(default) if expr is not None else default
 
@@ -282,8 +283,8 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
             e = e.when(in_set(tok, PREPOSITIONS) & (tok != F.lit("like")), F.lit(TYPE_CODE["pp_start"]))
         return e.otherwise(F.lit(TYPE_CODE["background_word"]))
 
-    elems = F.transform("_toks", lambda tok, i: F.struct(
-        type_of(tok, i).alias("t"), uniform(*keys, i, "action").alias("u"), i.alias("i")))
+    elems = _let(uniform_blocks("_toks", *keys, purpose="action"), lambda h: F.transform("_toks", lambda tok, i: F.struct(
+        type_of(tok, i).alias("t"), block_draw(h, i).alias("u"), i.alias("i"))))
     t = t.withColumn("_sel", chosen)
     pos = closed_class_pos("_toks")
     names = F.array(*[F.lit(a) for a in acts])

@@ -1011,3 +1011,12 @@ def q_echo_dataset(spark, sf):
     r = G.ratio_split(items, ["split", "dialogue_idx", "turn_idx"])
     return r.select("split", "dialogue_idx", "turn_idx", "rank", F.col("text").alias("encoder"),
                     F.col("text").alias("decoder"), "part")
+
+
+# the cheap queries come first: a comparison that runs out of time has then covered most of them
+for _name in ["action_probabilities", "act_restart", "act_hesitate", "act_selfcheck", "act_correct", "act_pp_restart",
+              "act_correct_long", "act_multiturn", "limit_audit", "augmentation_stats", "augment_split", "augment_corpus",
+              "augment_utterances", "sample_actions", "parallel_pairs", "disfluency_dataset", "count_hesitations",
+              "count_restarts", "count_corrections", "count_ld_corrections", "tag_corpus", "tag_disfluencies",
+              "inline_tags", "render_tagged", "distinct_tagged", "multi_config_augment", "disfluency_report"]:
+    QUERIES[_name] = QUERIES.pop(_name)

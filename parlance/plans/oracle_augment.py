@@ -26,7 +26,18 @@ def _u(seed: int, cfg_id: str, i: str, purpose: str) -> str:
     parts = [sql_str(str(seed)), sql_str(cfg_id), "split", "CAST(dialogue_idx AS VARCHAR)",
              "CAST(copy_no AS VARCHAR)", "CAST(turn_idx AS VARCHAR)", f"CAST({i} AS VARCHAR)",
              sql_str(purpose)]
-    return (f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT AS DOUBLE)"
+    return _digits(parts, "1")
+
+
+def _u_block(seed: int, cfg_id: str, i: str, purpose: str) -> str:
+    """Draw of item i of an array: eight digits of the md5 that four neighbours share."""
+    parts = [sql_str(str(seed)), sql_str(cfg_id), "split", "CAST(dialogue_idx AS VARCHAR)",
+             "CAST(copy_no AS VARCHAR)", "CAST(turn_idx AS VARCHAR)", f"CAST({i} // 4 AS VARCHAR)", sql_str(purpose)]
+    return _digits(parts, f"1 + 8 * ({i} % 4)")
+
+
+def _digits(parts: list[str], start: str) -> str:
+    return (f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), {start}, 8))::BIGINT AS DOUBLE)"
             f" / CAST(4294967296 AS DOUBLE))")
 
 
@@ -53,7 +64,7 @@ def _sample(cfg: ActionConfig, three: bool, seed: int) -> str:
     tcode = "CASE WHEN sl[ix + 1] THEN 1 " + (
         f"WHEN x IN {_in(PREPOSITIONS)} AND x <> 'like' THEN 2 " if three else "") + "ELSE 0 END"
     elems = (f"list_transform(range(len(toks)), lambda ix: {_let('toks[ix + 1]', 'x', '{' + "'t': " + tcode + ", "
-             + "'u': " + _u(seed, cfg.config_id, 'ix', 'action') + ", 'i': CAST(ix AS INTEGER)}")})")
+             + "'u': " + _u_block(seed, cfg.config_id, 'ix', 'action') + ", 'i': CAST(ix AS INTEGER)}")})")
     ws = []
     for k, a in enumerate(acts):
         bases = [cfg.base_weight(t, a) for t in TOKEN_TYPES]

@@ -73,6 +73,41 @@ def test_first_token_probabilities():
     assert spent["NULL"] == 1.0
 
 
+def test_first_token_probabilities_of_the_pp_restart_preset():
+    cfg = ActionConfig.preset("g2018_pp_restarts_only")
+    assert cfg.token_types == "three" and ActionConfig.preset("default").token_types == "two"
+    pp = cfg.probabilities("pp_start")
+    assert abs(pp["pp_restart"] - 10 / 40) < 1e-12 and abs(pp["NULL"] - 30 / 40) < 1e-12
+    assert cfg.probabilities("background_word")["NULL"] == cfg.probabilities("slot_value")["NULL"] == 1.0
+
+
+def test_two_corrections_in_one_utterance(spark):
+    """Picks are applied from right to left, so the left one keeps its place."""
+    cfg = _cfg("correct", "$incorrect_value no $correct_value")
+    k = cfg.actions.index("correct")
+    df = spark.createDataFrame([("a cheap place in madrid please",)], "text string")
+    toks = F.split("text", " ")
+    picks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("a")) for i in (1, 4)])
+    from parlance.functions.text import closed_class_pos
+    rw = AU.rewrite(cfg, VOCAB, toks, closed_class_pos(toks), picks, [F.lit(x) for x in (1, "t", "s", 0, 0, 0)], True)
+    r = df.select(F.array_join(rw["toks"], " ").alias("t"), F.array_join(rw["tags"], " ").alias("g")).first()
+    assert r.t == "a moderate no cheap place in rome no madrid please"
+    assert r.g == "<f/> <f/> <e/> <f/> <f/> <f/> <f/> <e/> <f/> <f/>"
+
+
+def test_correction_turns_shift_the_dialogue(spark):
+    """H4: [U1(2 corrections), S1, U2(1), S2 last] -> S1 C2 S1 C1 S1, then U2, S2 C S2."""
+    rows = [("s", 1, 0, t, "user" if t % 2 == 0 else "system", x, ins) for t, x, ins in [
+        (0, "u1", ["c1", "c2"]), (1, "s1", []), (2, "u2", ["c3"]), (3, "s2", [])]]
+    df = spark.createDataFrame(rows, "split string, dialogue_idx long, copy_no int, orig_turn_idx int, agent string, "
+                                     "text string, inserted array<string>").withColumn("turn_idx", F.col("orig_turn_idx"))
+    got = [(r.turn_idx, r.agent, r.text) for r in AU._insert_correction_turns(df).orderBy("turn_idx").collect()]
+    assert got == [(0, "user", "u1"), (1, "system", "s1"), (2, "usr", "c2"), (3, "system", "s1"), (4, "usr", "c1"),
+                   (5, "system", "s1"), (6, "user", "u2"), (7, "system", "s2"), (8, "usr", "c3"), (9, "system", "s2")]
+    last = df.where("orig_turn_idx < 3")
+    assert AU._insert_correction_turns(last).where("agent = 'usr'").count() == 2     # none after the last turn
+
+
 def test_parse_golden(spark):
     lines = ["1 hi\thello", "2 <SILENCE>\tapi_call a b", "", "", "1 yo\tok", "3 kb row no tab", "", ""]
     df = spark.createDataFrame([("file", 0, i, v) for i, v in enumerate(lines)],

@@ -6,8 +6,9 @@
    neighbours lie in.
 3. Every vector is indexed in its most probable part.  A query is sent to its `probes` most probable
    parts; `probes` is the smallest number that finds `AIM` of the sample's own true neighbours.
-4. Parts are searched in blocks (rows x queries) of bounded size; each block gives a query's best k,
-   with inner products recomputed exactly (correctly rounded sums), and the best k of all blocks remain.
+4. Parts are searched in blocks (rows x queries) of bounded size.  A task goes through a quarter
+   (`LANES`) of the row blocks that a block of queries meets, and keeps each query's best k so far,
+   with inner products recomputed exactly (correctly rounded sums); the best k of all lanes remain.
 
 Recall against brute force on a bounded sample of the queries is measured by `recall_at_k`; while it
 is below `AIM`, `search` adds probes, in the end to all parts, which is exact.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import read_table, stored
@@ -31,7 +32,7 @@ K, EVERY = 20, 20
 SAMPLE, PARTS, ROWS_PER_PART = 6000, 64, 1500
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 30
 AIM = 0.95
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
+BLOCK_ROWS, BLOCK_QUERIES, LANES = 2048, 1024, 4
 AUDIT = 200
 
 
@@ -144,18 +145,27 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     qi, xi = np.nonzero((s >= (kth - slack)[:, None]) & (s > -np.inf))
     exact = np.array([math.fsum(row) for row in (q[qi] * x[xi]).tolist()])
     out = pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[xi], "score": exact})
-    out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return out[out.groupby("query_id").cumcount() < k]
+    return _top(out, k)
+
+
+def _top(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return found[found.groupby("query_id").cumcount() < k]
 
 
 def _search_blocks(k: int):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame] = []
         for pdf in pdfs:
             for r in pdf.itertuples():
                 q_ids, ids = np.asarray(r.q_ids), np.asarray(r.ids)
                 dim = len(r.vecs) // len(ids)
-                yield _best(q_ids, np.asarray(r.q_vecs, np.float64).reshape(-1, dim), ids,
-                            np.asarray(r.vecs, np.float64).reshape(-1, dim), k)
+                best.append(_best(q_ids, np.asarray(r.q_vecs, np.float64).reshape(-1, dim), ids,
+                                  np.asarray(r.vecs, np.float64).reshape(-1, dim), k))
+                if len(best) == 16:
+                    best = [_top(pd.concat(best), k)]
+        if best:
+            yield _top(pd.concat(best), k)
 
     return run
 
@@ -169,12 +179,10 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return base.where(F.size("vec") == (most.d if most else 0))
 
 
-def _blocks(df: DataFrame, most: int, ids: str, vecs: str, block: str) -> DataFrame:
-    """Rows of a part gathered into blocks of about `most` rows: (part, block, ids, flattened vectors)."""
-    sizes = df.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
-    cut = df.join(sizes, "part").withColumn(block, F.pmod(F.xxhash64("vec_id", F.lit(4)), "_n").cast("int"))
-    rows = cut.groupBy("part", block).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))).alias("_r"))
-    return rows.select("part", block, F.col("_r.vec_id").alias(ids), F.flatten("_r.vec").alias(vecs))
+def _blocks(df: DataFrame, block: Column, ids: str, vecs: str, name: str) -> DataFrame:
+    """Rows of a part gathered by block: (part, block, ids, flattened vectors)."""
+    rows = df.groupBy("part", block.alias(name)).agg(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))).alias("_r"))
+    return rows.select("part", name, F.col("_r.vec_id").alias(ids), F.flatten("_r.vec").alias(vecs))
 
 
 def _routed(df: DataFrame, router: Router, probes: int) -> DataFrame:
@@ -218,11 +226,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit_router(stack(sample.vec), rows.count(), k)
-    index = stored(spark, _blocks(_routed(rows, router, 1), BLOCK_ROWS, "ids", "vecs", "split"), "ann-index")
+    placed = _routed(rows, router, 1)
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_n"))
+    salt = F.xxhash64("vec_id", F.lit(4))
+    index = stored(spark, _blocks(placed.join(sizes, "part"), F.pmod(salt, F.col("_n")), "ids", "vecs", "split"), "ann-index")
+    groups = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     m, probes = len(router.p["bb"]), router.probes
     while True:
-        ask = _blocks(_routed(queries, router, probes), BLOCK_QUERIES, "q_ids", "q_vecs", "q_block")
-        pairs = index.join(ask, "part").repartition("part", "split", "q_block")
+        ask = _blocks(_routed(queries, router, probes), F.pmod(salt, F.lit(groups)), "q_ids", "q_vecs", "q_block")
+        lane = F.pmod(F.xxhash64("part", "split"), F.lit(LANES)).alias("lane")
+        pairs = index.join(ask, "part").repartition("q_block", lane)
         best = pairs.select("q_ids", "q_vecs", "ids", "vecs").mapInPandas(_search_blocks(k), schema)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         found = stored(spark, best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

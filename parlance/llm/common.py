@@ -62,6 +62,16 @@ def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFr
     return first.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def rest_of(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one struct, to go through a Python step beside the text."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias(fresh(docs.columns, "_0")))
+
+
+def put_back(done: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of `docs` from (text, row = rest_of(docs))."""
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
+
+
 # --- buckets -----------------------------------------------------------------------------------
 
 def bounded_buckets(spark: SparkSession, rows: DataFrame, key: str, item: str, limit: int) -> DataFrame:
@@ -84,6 +94,13 @@ def bounded_buckets(spark: SparkSession, rows: DataFrame, key: str, item: str, l
             .drop(key, "_n", "_nb", "_b", "_sub"))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows, for steps that make Python objects of whole texts."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def streamed_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 2) -> Iterator[pa.Table]:
     """Groups (equal, adjacent keys) of at least `least` rows from a partition sorted by `key`.
 
@@ -156,6 +173,26 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before = now
 
 
+# --- what a reused worker process holds ---------------------------------------------------------
+
+held: dict[str, object] = {}
+_step = ""
+
+
+def enter(step: str) -> None:
+    """Called in a worker at the start of a step.  Worker processes are reused; large tables that
+    another operator left in this one are let go."""
+    global _step
+    if step != _step:
+        import gc
+
+        _step = step
+        held.clear()
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 # --- words of Arrow strings ---------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import (bounded_buckets, connected_components, fresh, keep_rows, read_table,
+from parlance.llm.common import (bounded_buckets, connected_components, enter, fresh, keep_rows, read_table,
                                  stored, streamed_groups)
 
 SHINGLE_WORDS = 3
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the 64-bit SimHash of every whole text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for b in batches:
             texts = b.column(1)
             fp = np.fromiter((simhash64(texts[i].as_py(), shingle_words) for i in range(len(texts))),

@@ -11,7 +11,8 @@ High-level symbols are chains of consecutive symbols of `CHAIN` words or a littl
 at *anchors*: each window of 50 words has one, the symbol of smallest name that begins in its
 middle (`REACH`), and so copies of a window have the same anchor and the same chain there.  Spark then
 
-1. finds the names that occur in two documents or more (pre-aggregated, no pairs);
+0. takes a whole document for one symbol: of equal texts all but the first lose every word;
+1. finds the names that occur in two different texts or more (pre-aggregated, no pairs);
 2. marks the windows whose high-level symbol is shared - a superset of the repeats;
 3. verifies: groups these windows by a 128-bit hash of their words and takes the smallest id;
 4. removes the words of every window that also starts in a document with a smaller id.
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import (U64, fresh, mix, read_table, span_hashes, stored, text_slices, word_hashes, words)
+from parlance.llm.common import (U64, enter, mix, put_back, read_table, rest_of, small, span_hashes, stored, text_slices,
+                                 word_hashes, words)
 
 WINDOW = 50
 #: (kind, largest symbol in words that the step may join).
@@ -105,9 +107,10 @@ def high_symbols(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, doc_id) of every document's high-level symbols, each once a document."""
+    """(name, doc_id, whole) of every document's high-level symbols, each once a document."""
+    enter("substrings")
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
+        ids, whole = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
         for row, data, off in text_slices(b.column(1)):
             ws, we, first = words(data, off)
             name, start, _, _ = high_symbols(word_hashes(data, ws, we), first)
@@ -119,7 +122,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name[new].view(np.int64)), pa.array(ids[row + doc[new]].astype(np.int64))], ["name", "doc_id"])
+                [pa.array(name[new].view(np.int64)), pa.array(ids[row + doc[new]].astype(np.int64)),
+                 pa.array(whole[row + doc[new]].astype(np.int64))], ["name", "doc_id", "whole"])
 
 
 def _ranges(at: np.ndarray) -> np.ndarray:
@@ -138,13 +142,14 @@ def joined_words(text: str | None) -> tuple[int, bytes]:
 
 
 def _candidates(keep_text: bool):
-    """Rows (doc_id, text, names, row) -> candidate windows; a text without any is finished here."""
+    """Rows (doc_id, text, names, copy, row) -> candidate windows; copies and texts without any are
+    finished here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shared_of, cand = b.column(2), [[] for _ in range(b.num_rows)]
+        for b in small(batches):
+            shared_of, copied, cand = b.column(2), b.column(3), [[] for _ in range(b.num_rows)]
             for row, data, off in text_slices(b.column(1)):
-                known = [shared_of[row + d].as_py() for d in range(len(off) - 1)]
+                known = [None if copied[row + d].as_py() else shared_of[row + d].as_py() for d in range(len(off) - 1)]
                 if not any(known):
                     continue
                 ws, we, first = words(data, off)
@@ -159,17 +164,19 @@ def _candidates(keep_text: bool):
                 for d in range(len(known)):
                     if cut[d] < cut[d + 1]:
                         cand[row + d] = _ranges(window[cut[d]:cut[d + 1]] - first[d]).tolist()
-            texts, n, sha, left = b.column(1).to_pylist(), [], [], []
-            for text, c in zip(texts, cand):
-                size, joined = (None, None) if c or keep_text else joined_words(text)
+            n, gone, sha, left = [], [], [], []
+            for text, c, copy in zip(b.column(1).to_pylist(), cand, b.column(3).to_pylist()):
+                size, joined = (0, b"") if c or keep_text and not copy else joined_words(text)
+                lost = size if copy and size >= WINDOW else 0
                 n.append(size)
-                sha.append(None if joined is None else hashlib.sha256(joined).hexdigest())
-                left.append(text if c or keep_text else None)
-            arrays = [b.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
-                      pa.array(cand, pa.list_(pa.int32()))]
-            names = ["doc_id", "text", "n_words", "kept_sha256", "windows"]
+                gone.append(lost)
+                sha.append(hashlib.sha256(b"" if lost else joined).hexdigest())
+                left.append(cut_words(text, np.ones(size, bool)) if keep_text and lost else text if c or keep_text else None)
+            arrays = [b.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                      pa.array(sha, pa.string()), pa.array(cand, pa.list_(pa.int32()))]
+            names = ["doc_id", "text", "n_words", "n_removed", "kept_sha256", "windows"]
             if keep_text:
-                arrays, names = [*arrays, b.column(3)], [*names, "row"]
+                arrays, names = [*arrays, b.column(4)], [*names, "row"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -216,7 +223,7 @@ def cut_words(text: str, mask: np.ndarray) -> str:
 
 def _finish(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n, gone, out = [], [], []
             for text, starts in zip(b.column(1), b.column(2)):
                 text, starts = text.as_py() or "", starts.as_py()
@@ -242,16 +249,25 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tu
     """(stored rows with their candidate windows, (uid, starts) of the windows to remove)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       *([F.struct(*docs.columns).alias("row")] if keep_text else []))
-    named = base.select("doc_id", "text").where("doc_id is not null").mapInArrow(_names, "name long, doc_id long")
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
+                       *([rest_of(docs, text_col).alias("row")] if keep_text else []))
+    named_docs = base.where("doc_id is not null and text is not null").select(
+        "doc_id", "text", F.xxhash64("text").alias("whole"), F.xxhash64(F.lit(1), "text").alias("whole2"))
+    # the whole text as one symbol: the first of equal texts stands for the others
+    whole = stored(spark, named_docs.select("doc_id", "whole", "whole2"), "whole-texts")
+    tops = whole.groupBy("whole", "whole2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    copies = whole.join(tops, ["whole", "whole2"]).where("lo < doc_id") \
+        .groupBy(F.col("doc_id").alias("cid")).agg(F.collect_set("whole").alias("copied"))
+    named = named_docs.select("doc_id", "text", "whole").mapInArrow(_names, "name long, doc_id long, whole long")
+    shared = named.groupBy("name").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")) \
         .where("lo < hi").select("name")
-    of_doc = named.join(shared, "name").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("name").alias("names"))
-    told = base.join(of_doc, F.col("doc_id") == F.col("id"), "left")
-    schema = "doc_id long, text string, n_words long, kept_sha256 string, windows array<int>"
+    of_doc = named.select("name", "doc_id").join(shared, "name").groupBy(F.col("doc_id").alias("id")) \
+        .agg(F.collect_list("name").alias("names"))
+    told = base.join(of_doc, F.col("doc_id") == F.col("id"), "left").join(copies, F.col("doc_id") == F.col("cid"), "left") \
+        .withColumn("copy", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)))
+    schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, windows array<int>"
     if keep_text:
         schema += ", row " + base.schema["row"].dataType.simpleString()
-    marked = told.select("doc_id", "text", "names", *(["row"] if keep_text else [])) \
+    marked = told.select("doc_id", "text", "names", "copy", *(["row"] if keep_text else [])) \
         .mapInArrow(_candidates(keep_text), schema)
     marked = stored(spark, marked.withColumn("uid", F.monotonically_increasing_id()), "substring-candidates")
     hashed = marked.where(F.size("windows") > 0).select("uid", "doc_id", "text", "windows") \
@@ -268,8 +284,7 @@ def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each other's words.  A row with a null id neither removes nor loses words.
     """
     marked, gone = _repeats(docs, id_col, text_col, keep_text=False)
-    done = marked.where(F.size("windows") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
-                                                       "kept_sha256")
+    done = marked.where(F.size("windows") == 0).select("doc_id", "n_words", "n_removed", "kept_sha256")
     rest = marked.where(F.size("windows") > 0).select("uid", "doc_id", "text").join(gone, "uid", "left") \
         .select("doc_id", "text", "starts") \
         .mapInArrow(_finish(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -286,10 +301,8 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     cut = marked.where(F.size("windows") > 0).select("uid", "doc_id", "text", "row").join(gone, "uid", "left") \
         .select("doc_id", "text", "starts", "row") \
         .mapInArrow(_finish(True), f"doc_id long, n_words long, n_removed long, text string, row {row_type}")
-    new = fresh(docs.columns, "_text")
     both = marked.where(F.size("windows") == 0).select("row", "text").unionByName(cut.select("row", "text"))
-    flat = both.select("row.*", F.col("text").alias(new))
-    return flat.select(*(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return put_back(both, docs, text_col)
 
 
 def op5_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

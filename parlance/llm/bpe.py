@@ -32,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import read_table
+from parlance.llm.common import enter, held, read_table
 
 TOKENIZER = "word_bpe_49k.json"
 END = "</w>"
 #: Entries of each memo table (words, chunks) before its older half is let go.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 #: Entries of the automaton's arc table before it is emptied.
-ARC_ENTRIES = 1 << 20
+ARC_ENTRIES = 1 << 18
+#: Length of the word beginnings whose reading is kept, and their number.
+HEAD, HEAD_ENTRIES = 6, 50_000
+#: Transitions that are noted besides the trie's own.
+LEARNT_ENTRIES = 300_000
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -95,6 +99,8 @@ class Automaton:
                 self.merge_step[left, right] = step
         self._spell(spelling)
         self.arcs: dict[int, bool] = {}
+        self.learnt = 0
+        self.heads: dict[bytes, tuple[list, list, int]] = {}
 
     def is_cut(self, state: int, token: int, steps: int) -> bool:
         """Whether the first `steps` gadgets removed the token's arc from the state."""
@@ -153,15 +159,35 @@ class Automaton:
             while f and symbol not in self.next[f]:
                 f = self.fail[f]
             to = self.next[f].get(symbol, 0)
-            if len(self.next[at]) < 64:
+            if self.learnt < LEARNT_ENTRIES:
+                self.learnt += 1
                 self.next[at][symbol] = to
         return to
 
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of one non-empty pre-split word."""
-        last, came, at, n, end = [-1], [0], 0, 0, len(word) - 1
+        """Token ids of one non-empty pre-split word; common beginnings are read once."""
+        if len(word) <= HEAD:
+            last, came, _ = self.read_on(word, [-1], [0], 0, True)
+        else:
+            head = word[:HEAD]
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= HEAD_ENTRIES:
+                    self.heads.clear()
+                known = self.heads[head] = self.read_on(head, [-1], [0], 0, False)
+            last, came, _ = self.read_on(word[HEAD:], known[0][:], known[1][:], known[2], True)
+        ids, n = [], len(word)
+        while n:
+            ids.append(last[n])
+            n = came[n]
+        return ids[::-1]
+
+    def read_on(self, symbols: bytes, last: list, came: list, at: int, ends_word: bool) -> tuple[list, list, int]:
+        """Continue a prefix: the last token of every prefix's encoding and where that token begins."""
         table, ends, arcs = self.next, self.ends, self.arcs
-        for symbol in word:
+        n = len(last) - 1
+        end = n + len(symbols) - 1 if ends_word else -1
+        for symbol in symbols:
             if n == end:
                 symbol += 256
             to = table[at].get(symbol)
@@ -178,11 +204,7 @@ class Automaton:
                     break
             last.append(token)
             came.append(n - size)
-        ids = []
-        while n:
-            ids.append(last[n])
-            n = came[n]
-        return ids[::-1]
+        return last, came, at
 
     def look_up(self, before: int, token: int) -> bool:
         """Decide an arc of the finished automaton and note it in the table (emptied when large)."""
@@ -207,6 +229,13 @@ class TextCodec:
         # fixed value: the pre-split pattern of the tokenizer file, white space spelt out
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.words = Memo(lambda w: tuple(self.automaton.encode(w.encode("utf-8"))))
+        self.memos: dict[str, Memo] = {}
+
+    def memo(self, name: str, make, most: int = MEMO_ENTRIES) -> Memo:
+        """A memo table that lives as long as the worker process, i.e. across its tasks."""
+        if name not in self.memos:
+            self.memos[name] = Memo(make, most)
+        return self.memos[name]
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a text without white space at its ends (white space inside is allowed)."""
@@ -218,8 +247,14 @@ class TextCodec:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for w in self.pattern.findall(part):
-                ids += self.words[w]
+            if part.isalpha():                    # one run of letters: nothing to split
+                ids += self.words[part]
+            elif part[:-1].isalpha() and part[-1] in ",.":
+                ids += self.words[part[:-1]]
+                ids += self.words[part[-1]]
+            else:
+                for w in self.pattern.findall(part):
+                    ids += self.words[w]
         return ids
 
     def chunks(self, text: str) -> list[str]:
@@ -238,15 +273,12 @@ class TextCodec:
         return " ".join([self.labels[i] for i in ids])
 
 
-_codec: tuple[str, TextCodec] | None = None
-
-
 def codec(spec: str) -> TextCodec:
-    """The worker's codec; built once per process."""
-    global _codec
-    if _codec is None or _codec[0] != spec:
-        _codec = (spec, TextCodec(spec))
-    return _codec[1]
+    """The worker's codec; built once per process and kept until another operator's step begins."""
+    have = held.get("codec")
+    if have is None or have[0] != spec:
+        have = held["codec"] = (spec, TextCodec(spec))
+    return have[1]
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -255,6 +287,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         c = codec(spec.value)
         for b in batches:
             for a in range(0, b.num_rows, 256):
@@ -274,6 +307,7 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENI
 
     @pandas_udf("string")
     def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enter("bpe")
         c = codec(spec.value)
         for ids in batches:
             yield ids.map(lambda x: "" if x is None else c.decode(x))
@@ -290,13 +324,14 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         c = codec(spec.value)
 
         def both(chunk: str) -> tuple[int, str, str]:
             ids = c.chunk_ids(chunk)
             return len(ids), " ".join(map(str, ids)), c.decode(ids)
 
-        memo = Memo(both)
+        memo = c.memo("digests", both)
         for b in batches:
             n, one, two = [], [], []
             for text in b.column(1):

@@ -12,22 +12,24 @@ Tasks hold one open sequence and one Arrow batch.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from parlance.llm import bpe
-from parlance.llm.common import read_table, text_slices, word_hashes, words
+from parlance.llm.common import enter, read_table, text_slices, word_hashes, words
 
 SEQUENCE = 2048
 END_ID = 1
 BUCKETS = 64
 DIMS, BITS = 4, 12
 #: Chunk memo of a packing worker (about 200 bytes an entry).
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 
 _DIRECTIONS = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 
@@ -141,16 +143,17 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spec = docs.sparkSession.sparkContext.broadcast(bpe.tokenizer_json(tokenizer))
 
-    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(curve_keys(b.column(1)))],
-                                             ["doc_id", "text", "curve"])
+    @arrow_udf("long")
+    def curve(texts: pa.Array) -> pa.Array:
+        enter("packing")
+        return pa.array(curve_keys(texts))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enter("packing")
         c = bpe.codec(spec.value)
-        memo = bpe.Memo(lambda chunk: np.array(c.chunk_ids(chunk), np.uint32).tobytes(), MEMO_ENTRIES)
+        memo = c.memo("packing", lambda chunk: array("I", c.chunk_ids(chunk)).tobytes(), MEMO_ENTRIES)
         tail = np.array([END_ID], np.uint32).tobytes()
         p = Packer(TaskContext.get().partitionId() << 40, size)
 
@@ -169,7 +172,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from full(0)
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(with_key, "doc_id long, text string, curve long")
+        .withColumn("curve", curve("text"))
     ranged = keyed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", F.xxhash64("text"))
     return ranged.select("doc_id", "text").mapInArrow(
         pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

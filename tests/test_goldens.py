@@ -120,7 +120,7 @@ def test_parse_golden(spark):
 
 
 def test_read_dialogue_files(spark, tmp_path):
-    p = tmp_path / "dialog-babi-task1-API-calls-dev.txt"
+    p = tmp_path / "dialog-task1-dev.txt"
     p.write_text("1 hi\thello\n2 <SILENCE>\tapi_call a b\n\n\n1 yo\tok\n3 kb row no tab\n\n\n")
     t = A.read_dialogues(spark, str(p))
     rows = sorted((r.split, r.dialogue_no, r.turn_idx, r.text) for r in t.collect())

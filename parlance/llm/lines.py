@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import (BYTE_CODES, SPACE, U64, bounded_buckets, connected_components, forest, fresh, mix,
-                                 read_table, span_hashes, stored, streamed_groups, text_slices)
+from parlance.llm.common import (BYTE_CODES, SPACE, U64, bounded_buckets, connected_components, enter, forest, mix,
+                                 put_back, read_table, rest_of, small, span_hashes, stored, streamed_groups, text_slices)
 
 SHINGLE = 12
 SIMILARITY = 0.8
@@ -99,6 +99,7 @@ def band_hashes(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, doc_id, b0 ..) of every distinct non-blank line of each slice of documents."""
+    enter("lines")
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for row, data, off in text_slices(b.column(1)):
@@ -183,19 +184,65 @@ def similar_forest(texts: pa.Array, similarity: float = SIMILARITY) -> np.ndarra
     return forest(len(size), linked)
 
 
+def similar_pairs(texts: pa.Array, similarity: float = SIMILARITY) -> np.ndarray:
+    """For rows 2i and 2i + 1 of `texts` whether their exact Jaccard similarity is high enough.
+
+    Shingle hashes are cut to 48 bits beside the row (or pair) number, so that two plain sorts
+    give the set sizes and the common shingles of all pairs.
+    """
+    out = np.zeros(len(texts) // 2, bool)
+    for p in range(0, len(out), 8192):
+        rows = texts.slice(2 * p, 2 * min(8192, len(out) - p))
+        keys = []
+        for row, data, off in text_slices(rows):
+            h, line = shingle_hashes(data, off[:-1], off[1:])
+            keys.append((line + row).astype(U64) << U64(48) | h >> U64(16))
+        k = np.sort(np.concatenate(keys))
+        k = k[np.concatenate(([True], k[1:] != k[:-1]))]
+        size = np.bincount((k >> U64(48)).astype(np.int64), minlength=len(rows))
+        both = np.sort((k >> U64(49) << U64(48)) | (k & U64((1 << 48) - 1)))
+        twice = both[1:][both[1:] == both[:-1]]
+        common = np.bincount((twice >> U64(48)).astype(np.int64), minlength=len(rows) // 2)
+        out[p:p + len(rows) // 2] = common >= similarity * (size[::2] + size[1::2] - common)
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    u, v = [], []
+    """Links of the member sets of a partition sorted by set; sets of two are verified together."""
+    u: list[int] = []
+    v: list[int] = []
+    twos: list[pa.Table] = []
+
+    def pairs() -> None:
+        t = pa.concat_tables(twos).combine_chunks()
+        ids = t.column("line").to_numpy()
+        ok = similar_pairs(t.column("line_text").combine_chunks())
+        u.extend(ids[::2][ok].tolist())
+        v.extend(ids[1::2][ok].tolist())
+        twos.clear()
+
+    def links() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        u.clear(), v.clear()
+        return out
+
     for g in streamed_groups(batches, "set"):
-        ids = g.column("line").to_numpy()
-        root = similar_forest(g.column("line_text"))
-        hit = np.flatnonzero(root != np.arange(len(root)))
-        u += ids[root[hit]].tolist()
-        v += ids[hit].tolist()
+        if g.num_rows == 2:
+            twos.append(g)
+            if len(twos) >= 2048:
+                pairs()
+        else:
+            ids = g.column("line").to_numpy()
+            root = similar_forest(g.column("line_text"))
+            hit = np.flatnonzero(root != np.arange(len(root)))
+            u.extend(ids[root[hit]].tolist())
+            v.extend(ids[hit].tolist())
         if len(u) > 1 << 15:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-            u, v = [], []
+            yield links()
+    if twos:
+        pairs()
     if u:
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        yield links()
 
 
 def line_links(spark: SparkSession, docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -217,7 +264,8 @@ def _rebuild(keep_text: bool):
     """Rows (doc_id, text, kept: list of (line, component), ...) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        enter("lines")
+        for b in small(batches):
             n, gone, out = [0] * b.num_rows, [0] * b.num_rows, [None] * b.num_rows
             known = b.column(0).is_valid().to_pylist()
             lines, comps = b.column(2), b.column(3)
@@ -237,8 +285,9 @@ def _rebuild(keep_text: bool):
                         left.append(data[starts[i]:ends[i]].tobytes())
                     n[r], gone[r] = len(span), len(span) - len(left)
                     out[r] = b"\n".join(left)
-            done = [hashlib.sha256(t or b"").hexdigest() if not keep_text else (t or b"").decode("utf-8", "replace")
-                    for t in out]
+            given = b.column(1).is_valid().to_pylist()
+            done = [hashlib.sha256(t or b"").hexdigest() if not keep_text else (t or b"").decode("utf-8", "replace") if g
+                    else None for t, g in zip(out, given)]
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(done, pa.string())]
             names = ["doc_id", "n_lines", "n_removed", "text" if keep_text else "kept_sha256"]
             if keep_text:
@@ -258,7 +307,7 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _deduplicated(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       *([F.struct(*docs.columns).alias("row")] if keep_text else []))
+                       *([rest_of(docs, text_col).alias("row")] if keep_text else []))
     lines, component = line_components(base.select("doc_id", "text"))
     named = lines.select("line", "doc_id").join(component, "line", "left")
     grouped = named.where("component is not null")
@@ -287,10 +336,7 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns as they were, without the lines that another line stands for."""
-    out = _deduplicated(docs, id_col, text_col, keep_text=True)
-    new = fresh(docs.columns, "_text")
-    flat = out.select("row.*", F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("text")).alias(new))
-    return flat.select(*(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return put_back(_deduplicated(docs, id_col, text_col, keep_text=True), docs, text_col)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,16 @@ def test_similar_forest_is_exact():
     lines = ["a" * 20, "abcdefghijklmnopqrstuvwxyz" * 3, "abcdefghijklmnopqrstuvwxyz" * 3 + "!", "b", "b", "zz"]
     assert L.similar_forest(pa.array(lines)).tolist() == [0, 1, 1, 3, 3, 5]
     assert np.array_equal(L.similar_forest(pa.array(["", "x"])), [0, 1])
+
+
+def test_similar_pairs_is_exact():
+    rng = random.Random(6)
+    lines = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 200)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b[rng.randrange(len(b))] = "z"
+        lines += [a, "".join(b)]
+    want = [len(x & y) >= 0.8 * len(x | y) for x, y in zip(map(shingles, lines[::2]), map(shingles, lines[1::2]))]
+    assert L.similar_pairs(pa.array(lines)).tolist() == want and 20 < sum(want) < 290

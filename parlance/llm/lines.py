@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import (BYTE_CODES, SPACE, U64, bounded_buckets, connected_components, enter, forest, mix,
                                  put_back, read_table, rest_of, small, span_hashes, stored, streamed_groups, text_slices)
 
-SHINGLE = 12
+SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS

@@ -47,7 +47,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     low = F.lower("text")
-    hint = reduce(lambda a, b: a | b, (low.contains(t) for t in TRIGGERS))
+    # the words of a trigger may be apart in the raw text (a line end, spaces): its longest word is looked for
+    words = dict.fromkeys(max(t.split(), key=len) for t in TRIGGERS)
+    hint = reduce(lambda a, b: a | b, (low.contains(t) for t in words))
     # texts without any trigger word stop here; the others drop their plain sentences first
     found = base.withColumn("known", F.when(hint, F.filter(sentences(F.col("text")), lambda s: s.rlike(ANY_TRIGGER)))) \
         .select("doc_id", F.when(F.size("known") > 0, F.filter(

@@ -10,7 +10,7 @@ from parlance.llm import lines as L
 
 
 def shingles(line):
-    return {line[i:i + 12] for i in range(max(1, len(line) - 11))}
+    return {line[i:i + L.SHINGLE] for i in range(max(1, len(line) - L.SHINGLE + 1))}
 
 
 def brute(docs):

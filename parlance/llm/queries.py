@@ -13,6 +13,7 @@ from parlance.llm.license_scan import op4_license_scan
 from parlance.llm.license_scan import oracle_sql as license_sql
 from parlance.llm.lines import op1_line_dedup
 from parlance.llm.packing import op7_curve_packing
+from parlance.llm.periodic import op13_periodic_runs
 from parlance.llm.quality import op2_quality_classifier
 from parlance.llm.simhash import op8_simhash_near_dedup
 from parlance.llm.substrings import op5_recompression_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {"op4_license_scan": license_sql()}

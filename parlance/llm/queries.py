@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm.ann import op9_learned_partitions
 from parlance.llm.bpe import op3_bpe_automaton
+from parlance.llm.collocations import op12_collocations
+from parlance.llm.collocations import oracle_sql as collocations_sql
 from parlance.llm.embedding_dedup import op6_embedding_dedup
 from parlance.llm.license_scan import op4_license_scan
 from parlance.llm.license_scan import oracle_sql as license_sql
@@ -30,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_toxicity": op10_toxicity,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE: dict[str, str] = {"op4_license_scan": license_sql()}
+ORACLE: dict[str, str] = {"op4_license_scan": license_sql(), "op12_collocations": collocations_sql()}

@@ -11,6 +11,7 @@ from parlance.llm.bpe import op3_bpe_automaton
 from parlance.llm.collocations import op12_collocations
 from parlance.llm.collocations import oracle_sql as collocations_sql
 from parlance.llm.embedding_dedup import op6_embedding_dedup
+from parlance.llm.html_extract import op11_html_text
 from parlance.llm.license_scan import op4_license_scan
 from parlance.llm.license_scan import oracle_sql as license_sql
 from parlance.llm.lines import op1_line_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_toxicity": op10_toxicity,
+    "op11_html_text": op11_html_text,
     "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }

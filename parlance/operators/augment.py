@@ -35,7 +35,7 @@ TYPE_CODE = {t: i for i, t in enumerate(TOKEN_TYPES)}  # background_word 0, slot
 
 _EMPTY_STR_ARR = "array<string>"
 VALUE_ACTIONS = ("correct", "multiturn_correct", "correct_long_distance")
-ROW_KEY = ["split", "dialogue_idx", "copy_no", "turn_idx"]
+DRAW_KEY = ["split", "dialogue_idx", "copy_no", "turn_idx"]  # what a draw depends on; no key of the rows
 
 
 def _splice(arr: Column, start: Column, end: Column, ins: Column) -> Column:
@@ -307,7 +307,7 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
     drawn = F.when(F.col("_sel"), sample_picks(cfg, elems)).otherwise(empty_picks)
     if not vocab.inlined:
         wants = [k for k, a in enumerate(acts) if a in VALUE_ACTIONS]
-        t = vocab.draw_wrong_values(t.withColumn("_picks", drawn), "_toks", "_picks", ROW_KEY,
+        t = vocab.draw_wrong_values(t.withColumn("_picks", drawn), "_toks", "_picks", DRAW_KEY,
                                     lambda i: uniform(*keys, i, "value"), lambda a: in_set(a, wants))
         drawn = F.col("_picks")
     result = _let(drawn, outputs)

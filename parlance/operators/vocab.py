@@ -132,6 +132,7 @@ class SlotVocabulary:
             return df.withColumn(out, F.transform(tokens, self.is_slot))
         marks = self.joined(df, tokens).select(
             F.col("_key"), F.transform("_words", lambda w: w["sig"].isNotNull()).alias(out))
+        # a null or empty list has no key to meet
         return df.join(marks, F.col(tokens) == F.col("_key"), "left").drop("_key").withColumn(
             out, F.coalesce(out, F.array().cast("array<boolean>")))
 
@@ -140,26 +141,29 @@ class SlotVocabulary:
         lists = df.select(F.col(tokens).alias("_key")).where(F.size("_key") > 0).distinct()
         ex = lists.select("_key", F.posexplode("_key").alias("_i", "value"))
         hit = ex.join(self.words, "value", "left")
-        return hit.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "sig", "own_rank", "n"))).alias("_words"))
+        found = hit.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "sig", "own_rank", "n"))).alias("_words"))
+        return _stored(found, "token-lists")
 
-    def draw_wrong_values(self, df: DataFrame, tokens: str, picks: str, keys: list[str], u_of, wants) -> DataFrame:
+    def draw_wrong_values(self, df: DataFrame, tokens: str, picks: str, draw_key: list[str], u_of, wants) -> DataFrame:
         """Joined plan: `picks` (array<struct<i,a>>) becomes array<struct<i,a,slot,wrong>>.
 
-        `u_of(i)` is the draw for token i, `wants(a)` says which actions need a value; `keys`
-        identify a row.  Only rows with such picks take part in the second join.
+        `u_of(i)` is the draw for token i, from the columns `draw_key`; `wants(a)` says which actions need a value.  The rows get
+        an id of their own when they are stored, so that equal rows and null keys stay apart.  Only
+        rows with picks take part in the joins.
         """
-        df = _stored(df, "picks")
+        df = _stored(df.withColumn("_row", F.monotonically_increasing_id()), "picks")
         words = self.joined(df.where(F.size(picks) > 0), tokens)
         ask = df.where(F.size(picks) > 0).join(words, F.col(tokens) == F.col("_key")).select(
-            *keys, F.explode(picks).alias("_p"), "_words").select(
-            *keys, "_p", F.element_at("_words", F.col("_p.i") + 1).alias("_w"))
-        ask = ask.withColumn("rank", F.when(wants(F.col("_p.a")) & (F.col("_w.n") > 1),
-                                            other_rank(u_of(F.col("_p.i")), F.col("_w.n"), F.col("_w.own_rank"))))
-        told = ask.withColumn("sig", F.col("_w.sig")).join(self.ranked, ["sig", "rank"], "left").groupBy(*keys).agg(
+            "_row", *draw_key, F.explode(picks).alias("_p"), "_words").select(
+            "_row", *draw_key, "_p", F.element_at("_words", F.col("_p.i") + 1).alias("_w"))
+        ask = ask.select("_row", "_p", F.col("_w.sig").alias("sig"), F.when(
+            wants(F.col("_p.a")) & (F.col("_w.n") > 1),
+            other_rank(u_of(F.col("_p.i")), F.col("_w.n"), F.col("_w.own_rank"))).alias("rank"))
+        told = ask.join(self.ranked, ["sig", "rank"], "left").groupBy("_row").agg(
             F.array_sort(F.collect_list(F.struct(F.col("_p.i").alias("i"), F.col("_p.a").alias("a"),
                                                  F.col("sig").isNotNull().alias("slot"), "wrong"))).alias("_told"))
         kind = "array<struct<i:int,a:int,slot:boolean,wrong:string>>"
-        return df.join(told, keys, "left").withColumn(picks, F.coalesce("_told", F.array().cast(kind))).drop("_told")
+        return df.join(told, "_row", "left").withColumn(picks, F.coalesce("_told", F.array().cast(kind))).drop("_told", "_row")
 
 
 def other_rank(u: Column, n: Column, own: Column) -> Column:

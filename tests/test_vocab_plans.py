@@ -72,3 +72,49 @@ def test_confusables_exclude_the_word(spark):
     n = len(expected)
     got = spark.range(n).select(vocab.wrong_value(F.lit(word), (F.col("id") + 0.5) / n).alias("c")).collect()
     assert [r.c for r in got] == expected
+
+
+def odd_turns(spark):
+    """Repeated rows, null keys, null and empty texts beside ordinary turns."""
+    said = ["a cheap table in rome with italian food", "in paris please", "oh cheap cheap cheap", "hi", "", None, "<SILENCE>"]
+    calls = [("trn", 9, "d", 7, "system", "api_call italian rome two cheap"), ("trn", 9, "d", 9, "system", "api_call french paris six moderate")]
+    rows = [(s, d, "d", t, "user", x) for s in ("trn", None) for d in (1, None) for t in (0, 2, None) for x in said for _ in range(25)]
+    return spark.createDataFrame(calls + rows, "split string, dialogue_idx long, dialogue_id string, turn_idx int, agent string, text string")
+
+
+@pytest.mark.parametrize("action", ["correct", "correct_long_distance", "selfcheck", "multiturn_correct", "hesitate"])
+def test_repeated_rows_and_null_keys(spark, action):
+    turns = odd_turns(spark)
+    values = V.slot_values(turns.where("text is not null"))
+    cfg = C.single_action_config(action)
+    if action == "multiturn_correct":  # its shifts need whole dialogues; the rewriting itself is compared
+        turns = turns.where("split = 'trn' and dialogue_idx = 1 and turn_idx = 0").withColumn("turn_idx", F.lit(0)).limit(1).unionByName(
+            turns.where("agent = 'system'"))
+    rows = []
+    for most in (10_000, 0):
+        vocab = V.SlotVocabulary.build(values, inline_values=most)
+        assert vocab.inlined == (most > 0)
+        out = AU.augment_turns(turns, cfg, vocab, with_tags=True, select="agent")
+        rows.append(sorted(str(tuple(r)) for r in out.collect()))
+    assert rows[0] == rows[1]
+    assert len(rows[0]) >= turns.count() and any("action='" + action in r for r in rows[0])
+
+
+def test_hot_token_list_is_split(spark):
+    """Most turns are one greeting: the join with the stored token lists is split by AQE."""
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                                                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    turns = spark.range(300_000).select(F.when(F.col("id") % 10 > 0, "hello there my friend").otherwise(
+        F.concat_ws(" ", F.lit("city"), F.col("id").cast("string"))).alias("text"), F.sha2(F.col("id").cast("string"), 256).alias("pay"))
+    vocab = V.SlotVocabulary.build(spark.createDataFrame([(0, "friend"), (0, "7")], "slot_pos int, value string"), inline_values=0)
+    try:
+        for k, v in zip(keep, ("-1", "-1", "256k", "64k")):
+            spark.conf.set(k, v)
+        out = vocab.annotate(turns.withColumn("t", tokenize("text")), "t")
+        out.write.format("noop").mode("overwrite").save()
+        seen = out.agg(F.count("*").alias("n"), F.sum(F.size("_slot")).alias("s"), F.max("pay"))
+        assert seen.collect()[0].n == 300_000
+        assert "skew=true" in seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

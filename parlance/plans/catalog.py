@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import stats as S
 from ..operators import vocab as V
 from ..session import scratch_path
-from ..sources.corpus import conversations, load_corpus
+from ..sources.corpus import SPLIT_ORDER, conversations, load_corpus
 from . import oracle as O
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -200,9 +200,29 @@ SELECT split, dialogue_no, turn_idx, agent, text
 FROM (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) AS dialogue_no
       FROM (SELECT DISTINCT split, dialogue_idx FROM fx)) d JOIN fx USING (split, dialogue_idx)""")
 def q_parse_dialogues(spark, sf):
-    """Round trip: render the corpus as dialogue-file lines (B1), parse them back (A1)."""
-    turns = A.parse_dialogue_lines(B.dialogue_file_lines(fx(spark, sf)))
-    return turns.select(F.col("file").alias("split"), "dialogue_no", "turn_idx", "agent", "text")
+    """Round trip: the corpus written as dialogue files (B1), one folder per split, and read back (A1, A2)."""
+    turns = A.read_split_dialogues(spark, _written_corpus(spark, sf))
+    return turns.select("split", "dialogue_no", "turn_idx", "agent", "text")
+
+
+def _written_corpus(spark, sf) -> str:
+    path = scratch_path(spark, "dialogue-files")
+    B.write_dialogue_text(fx(spark, sf), path)
+    return path
+
+
+@query("dialogue_records", O.fx_with() + """
+SELECT split, dialogue_no, turn_idx // 2 AS line_no,
+       printf('%d %s', turn_idx // 2 + 1, max(CASE WHEN turn_idx % 2 = 0 THEN text END)) || chr(9)
+         || max(CASE WHEN turn_idx % 2 = 1 THEN text END) AS line
+FROM (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) AS dialogue_no
+      FROM (SELECT DISTINCT split, dialogue_idx FROM fx)) d JOIN fx USING (split, dialogue_idx)
+GROUP BY split, dialogue_no, turn_idx // 2""")
+def q_dialogue_records(spark, sf):
+    """A10: the raw lines of each dialogue of the written files."""
+    records = A.read_dialogue_records(spark, [f"{_written_corpus(spark, sf)}/split={s}" for s in SPLIT_ORDER])
+    return records.select(F.regexp_extract("file", r"/split=([^/]+)$", 1).alias("split"), "dialogue_no",
+                          F.posexplode("lines").alias("line_no", "line"))
 
 
 @query("corpus_by_split", O.fx_with() + f"""
@@ -985,9 +1005,10 @@ ORACLE["tag_corpus"] = _tagger_sql(f"SELECT text AS utterance, {_TAGS_SQL} FROM
 
 @query("read_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
 def q_read_permutation(spark, sf):
-    """A9 round trip: the corpus permutation written as `;`-separated lines, read back."""
-    lines = A.render_permutation(G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf))), 1000)
-    return A.parse_permutation(lines, 1000)
+    """A9 round trip: the corpus permutation written as one `;`-separated line, read back by byte ranges."""
+    path = scratch_path(spark, "permutation")
+    B.write_permutation(G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf))), path)
+    return A.read_permutation(spark, path)
 
 
 _ECHO_KEY = "split, CAST(dialogue_idx AS VARCHAR), CAST(turn_idx AS VARCHAR)"

@@ -40,28 +40,22 @@ def render_babble(turns: DataFrame, key: list[str] = DIALOGUE_KEY) -> DataFrame:
         "turns", lambda t: F.format_string("%s:\t%s", t["agent"], t["text"])), "\n").alias("text"))
 
 
-def dialogue_file_lines(turns: DataFrame, block_size: int = 1000) -> DataFrame:
-    """B1 at line grain, as the parser reads files: (file, block, pos, value).
+def write_dialogue_text(turns: DataFrame, path: str) -> None:
+    """B1 to files: one folder per split, dialogues in order, two blank lines after each.
 
-    Each dialogue gives its pair lines followed by two empty lines (`print(tsv + '\\n\\n')`).
-    `block` groups consecutive dialogues like byte-range splits of a file; `pos` orders the
-    lines inside a block.  Rows stay distributed: nothing is gathered per file.
+    Turns are dealt by ranges of (split, dialogue); a range holds whole dialogues, so grouping, sorting
+    and writing need no other shuffle.
     """
-    r = render_dialogues(turns).where(F.col("text").isNotNull())
-    lines = F.concat(F.split("text", "\n"), F.array(F.lit(""), F.lit("")))
-    ex = r.select("split", "dialogue_idx", F.posexplode(lines).alias("line_no", "value"))
-    return ex.select(
-        F.col("split").alias("file"),
-        F.floor(F.col("dialogue_idx") / block_size).cast("bigint").alias("block"),
-        F.struct("dialogue_idx", "line_no").alias("pos"), "value")
+    r = render_dialogues(turns.repartitionByRange(*DIALOGUE_KEY)).where(F.col("text").isNotNull())
+    (r.sortWithinPartitions(*DIALOGUE_KEY).select("split", F.concat("text", F.lit("\n\n")).alias("value"))
+     .write.mode("overwrite").partitionBy("split").text(path))
 
 
-def write_dialogue_text(turns: DataFrame, path: str) -> None:
-    """B1 to files: one folder per split, dialogues in order, two blank lines after each."""
-    r = render_dialogues(turns).where(F.col("text").isNotNull())
-    (r.repartitionByRange("split", "dialogue_idx").sortWithinPartitions("split", "dialogue_idx")
-     .select("split", F.concat("text", F.lit("\n\n")).alias("value"))
-     .write.mode("overwrite").partitionBy("split").text(path))
+def write_permutation(permutation: DataFrame, path: str, separator: str = ";") -> None:
+    """A permutation (rank, dialogue_ord) as one line of integers; the part files in the order of their names are
+    consecutive pieces of the line, each number followed by the separator."""
+    (permutation.repartitionByRange("rank").sortWithinPartitions("rank").select(F.col("dialogue_ord").cast("string").alias("value"))
+     .write.mode("overwrite").option("lineSep", separator).text(path))
 
 
 # Fixed value: the header of the parallel file.

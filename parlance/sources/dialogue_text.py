@@ -3,87 +3,152 @@
 The dialogue file format: `k user<TAB>system` lines, an empty line between dialogues;
 one-field lines are system-only turns (knowledge-base rows).
 
-`parse_dialogue_lines` works on lines that carry their place in the file as
-(file, block, pos): `block` is a byte-range split of the file (or any ordered chunk) and
-`pos` orders lines inside it.  Segmentation into dialogues is done per block (bounded),
-block offsets come from prefix sums over the small per-block summary, and dialogue numbers
-from a distributed ordinal — no step gathers a whole file into one task.
+Files are scanned by byte ranges, line by line.  While it goes through a range, a task cuts it at the
+empty lines, so one row is one dialogue from then on: no line is shuffled, sorted or joined.  Only the
+two pieces at a range's ends (a dialogue may run on into the next range) are put together, two rows
+per range.  Dialogues get their number in the file from prefix sums of the dialogues per range.
+
+(The scan's own record separator cannot do this: with `\\n\\n` as separator a range that starts inside
+three or more line ends pairs them differently from the range before, and a record comes twice.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators.ordinals import ordinal_within
+from ..functions.text import let
+from ..session import scratch_path
 
+#: What a row of a cut range is: a whole dialogue, the piece before the range's first empty line, the piece after its
+#: last one, or a range without empty lines.
+WHOLE, HEAD, TAIL, THROUGH = 0, 1, 2, 3
 
-def read_dialogue_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A10: lines of dialogue files with (file, block, pos, value); lines end at `\\n` only, so a
-    `\\r` before it stays in the text.
 
-    A text scan task reads whole byte-range blocks in order, so (part file, `file_block_start`) and
-    the row's id inside its task order the lines of a file without any shuffle.  The part files of
-    a `split=<name>` folder are one logical file, in the order of their names.
-    """
-    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+def _range_scan(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
+    """(file, part, start, value): records in file order within each byte range (part, start).  The part files of a
+    `split=<name>` folder are one logical file, in the order of their names."""
+    path = F.col("_metadata.file_path")
     folder = F.regexp_extract(path, r"^(.*/split=[^/]+)/[^/]+$", 1)
-    return spark.read.option("lineSep", "\n").text(paths).select(
-        F.when(folder != "", folder).otherwise(path).alias("file"),
-        F.struct(path.alias("part"), start.alias("start")).alias("block"),
-        F.monotonically_increasing_id().alias("pos"), "value")
-
+    return spark.read.option("lineSep", separator).text(paths).select(
+        F.when(folder != "", folder).otherwise(path).alias("file"), path.alias("part"),
+        F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+def _cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of ranges, in order -> (file, part, start, kind, lines)."""
+    names = ["file", "part", "start", "kind", "lines"]
+    key, open_, seen_blank = None, [], False
+
+    def rows(kinds: list[int], lists: pa.Array) -> pa.RecordBatch:
+        same = [pa.array([k] * len(lists), t) for k, t in zip(key, (pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*same, pa.array(kinds, pa.int32()), lists], names)
+
+    def piece(kind: int) -> pa.RecordBatch:
+        values = pa.concat_arrays(open_) if open_ else pa.array([], pa.string())
+        return rows([kind], pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, part, start, value = b.columns
+        code, at = part.dictionary_encode().indices.to_numpy(), start.to_numpy()
+        edges = np.flatnonzero((code[1:] != code[:-1]) | (at[1:] != at[:-1])) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
+            here = (file[i].as_py(), part[i].as_py(), int(at[i]))
+            if here != key:
+                if key is not None:
+                    yield piece(TAIL if seen_blank else THROUGH)
+                key, open_, seen_blank = here, [], False
+            lines = value.slice(i, j - i)
+            blank = np.flatnonzero(pc.equal(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False))
+            if not len(blank):
+                open_.append(lines)
+                continue
+            open_.append(lines.slice(0, int(blank[0])))
+            yield piece(WHOLE if seen_blank else HEAD)
+            seen_blank = True
+            sizes = np.diff(blank) - 1
+            inner = np.ones(len(lines), bool)
+            inner[blank] = inner[:blank[0]] = inner[blank[-1]:] = False
+            sizes = sizes[sizes > 0]
+            if len(sizes):
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                yield rows([WHOLE] * len(sizes), pa.ListArray.from_arrays(pa.array(offsets), lines.filter(pa.array(inner))))
+            open_ = [lines.slice(int(blank[-1]) + 1)]
+    if key is not None:
+        yield piece(TAIL if seen_blank else THROUGH)
+
+
+def _blank(line: Column) -> Column:
+    return line.rlike(r"(?U)^\s*$")
+
+
+def read_dialogue_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A10: (file, dialogue_no, lines): the lines of each dialogue of dialogue files, white-space-only lines left
+    out, dialogues without content dropped, numbered from 1.  Lines end at `\\n` only, so a `\\r` before it
+    stays in the text (and a line of `\\r` alone does not end a dialogue).
+
+    The cut ranges are stored once: their counts and their rows are both read from that table.
+    """
+    cut = _range_scan(spark, paths, "\n").mapInArrow(_cut_ranges, "file string, part string, start long, kind int, lines array<string>") \
+        .withColumn("lines", F.filter("lines", lambda x: ~_blank(x)))
+    path = scratch_path(spark, "dialogue-ranges")
+    cut.where((F.col("kind") != WHOLE) | (F.size("lines") > 0)).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    place = ["file", "part", "start"]
+    whole = rows.where(F.col("kind") == WHOLE)
+    # a dialogue over a range's end: the piece after the last empty line, ranges without any, the next head
+    in_order = Window.partitionBy("file").orderBy("part", "start", "kind")
+    pieces = rows.where(F.col("kind") != WHOLE).withColumn("_run", F.sum((F.col("kind") == TAIL).cast("int")).over(in_order))
+    joined = pieces.groupBy("file", "_run").agg(
+        F.min(F.when(F.col("kind") == TAIL, F.struct("part", "start"))).alias("at"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "start", "kind", "lines"))), lambda p: p["lines"])).alias("lines"))
+    joined = joined.where(F.size("lines") > 0).select("file", F.col("at.part").alias("part"), F.col("at.start").alias("start"), "lines")
+    # dialogues that start in a range: the whole ones, then the one after its last empty line; the run before a file's
+    # first empty line starts at no range (null) and comes first
+    counts = whole.groupBy(*place).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_whole"), F.lit(0).alias("_last")).unionByName(
+        joined.select(*place, F.lit(None).cast("long").alias("_first"), F.lit(0).cast("long").alias("_whole"), F.lit(1).alias("_last")))
+    counts = counts.groupBy(*place).agg(F.min("_first").alias("_first"), F.sum("_whole").alias("_whole"), F.max("_last").alias("_last"))
+    before = Window.partitionBy("file").orderBy(F.asc_nulls_first("part"), "start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum(F.col("_whole") + F.col("_last")).over(before), F.lit(0)))
+    inner = whole.join(counts, place).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("dialogue_no"), "lines")
+    same = [joined[c].eqNullSafe(counts[c]) for c in place]
+    ends = joined.join(counts, same[0] & same[1] & same[2]).select(
+        joined["file"], (F.col("_before") + F.col("_whole") + 1).alias("dialogue_no"), "lines")
+    return inner.unionByName(ends)
+
+
+def parse_dialogue_records(records: DataFrame) -> DataFrame:
+    """A1: (file, dialogue_no, lines) -> turns (file, dialogue_no, dialogue_id, turn_idx, agent, text,
+    malformed).
+
+    `^\\d+\\s` is stripped; two tab fields give a user and a system turn, one field a system turn;
+    three or more fields are flagged `malformed` (system turn, NULL text).
+    """
+    def turn(agent: str, text: Column, malformed: Column) -> Column:
+        return F.struct(F.lit(agent).alias("agent"), text.alias("text"), malformed.alias("malformed"))
 
-def parse_dialogue_lines(lines: DataFrame) -> DataFrame:
-    """A1: lines (file, block, pos, value) -> turns (file, dialogue_no, dialogue_id, turn_idx,
-    agent, text, malformed).
+    def turns_of(line: Column) -> Column:
+        return let(F.split(F.regexp_replace(line, r"^\d+\s", ""), "\t"), lambda f: F.when(
+            F.size(f) == 2, F.array(turn("user", f[0], F.lit(False)), turn("system", f[1], F.lit(False)))).otherwise(
+            F.array(turn("system", F.when(F.size(f) == 1, f[0]), F.size(f) > 2))))
 
-    A dialogue is a maximal run of lines between exactly-empty lines; whitespace-only lines
-    are dropped; dialogues without content are dropped and numbering is 1-based after that.
-    `^\\d+\\s` is stripped; two tab fields give a user and a system turn, one field a system
-    turn; three or more fields are flagged `malformed` (system turn, NULL text).
-    """
-    brk = (F.col("value") == "").cast("int")
-    blk = Window.partitionBy("file", "block").orderBy("pos")
-    local = lines.withColumn("_brk", brk).withColumn(
-        "_lb", F.sum("_brk").over(blk.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = local.groupBy("file", "block").agg(F.sum("_brk").alias("_nb"))
-    summary = summary.withColumn("_boff", F.sum("_nb").over(
-        Window.partitionBy("file").orderBy("block")) - F.col("_nb"))
-    seg = local.join(summary.select("file", "block", "_boff"), ["file", "block"]).withColumn(
-        "_seg", F.col("_boff") + F.col("_lb"))
-    content = seg.where(F.col("_brk") == 0).where(~F.col("value").rlike(r"(?U)^\s*$"))
-    segs = content.select("file", "_seg").distinct()
-    numbered = ordinal_within(segs, ["file"], ["_seg"], "_dno")
-    c = content.join(numbered, ["file", "_seg"])
-    body = F.regexp_replace("value", r"^\d+\s", "")
-    fields = F.split(body, "\t")
-    nf = F.size(fields)
-    c = c.withColumn("_f", fields).withColumn("_nt", F.when(nf == 2, 2).otherwise(1))
-    dia = Window.partitionBy("file", "_seg").orderBy("block", "pos")
-    c = c.withColumn("_t0", F.coalesce(F.sum("_nt").over(
-        dia.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    turn = F.when(nf == 2, F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("user").alias("agent"), F.col("_f")[0].alias("text"),
-                 F.lit(False).alias("malformed")),
-        F.struct(F.lit(1).alias("k"), F.lit("system").alias("agent"), F.col("_f")[1].alias("text"),
-                 F.lit(False).alias("malformed")))).otherwise(F.array(
-            F.struct(F.lit(0).alias("k"), F.lit("system").alias("agent"),
-                     F.when(nf == 1, F.col("_f")[0]).alias("text"), (nf > 2).alias("malformed"))))
-    ex = c.select("file", "_dno", "_t0", F.explode(turn).alias("_t"))
+    ex = records.select("file", "dialogue_no", F.posexplode(F.flatten(F.transform("lines", turns_of))).alias("turn_idx", "t"))
     base = F.element_at(F.split("file", "/"), -1)
-    return ex.select(
-        "file", (F.col("_dno") + 1).alias("dialogue_no"),
-        F.concat_ws(".", base, (F.col("_dno") + 1).cast("string")).alias("dialogue_id"),
-        (F.col("_t0") + F.col("_t.k")).cast("int").alias("turn_idx"),
-        F.col("_t.agent").alias("agent"), F.col("_t.text").alias("text"),
-        F.col("_t.malformed").alias("malformed"))
+    return ex.select("file", "dialogue_no", F.concat_ws(".", base, F.col("dialogue_no").cast("string")).alias("dialogue_id"),
+                     "turn_idx", "t.agent", "t.text", "t.malformed")
 
 
 def read_dialogues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A1/A2: read dialogue files into turns; `split` from the file name (`…-<split>.txt`)."""
-    t = parse_dialogue_lines(read_dialogue_lines(spark, paths))
+    t = parse_dialogue_records(read_dialogue_records(spark, paths))
     folder = F.regexp_extract("file", r"/split=([^/]+)$", 1)
     return t.withColumn("split", F.when(folder != "", folder).otherwise(
         F.regexp_extract("file", r"-(trn|dev|tst-OOV|tst)\.txt", 1))).withColumn(
@@ -153,22 +218,21 @@ def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
     return side("encoder").join(side("decoder"), ["part", "line"], "full")
 
 
-def parse_permutation(lines: DataFrame, width: int | None = None) -> DataFrame:
-    """Permutation lines of `;`- or space-separated ints -> (rank, dialogue_ord).
+def read_permutation(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
+    """A permutation written as one line of integers -> (rank, dialogue_ord).
 
-    The reference reads one line; with `line_no` and a fixed `width` per line, a long
-    permutation is read as many bounded lines: rank = line_no * width + position.
+    The separator of the numbers (one character) is the scan's record separator, so that tasks read byte ranges of
+    the one long line; a number cut by a range's end belongs to the range it starts in.  The numbers of a
+    range have consecutive ids, and prefix sums over the ranges give the positions.  Part files
+    of a folder are one line, in the order of their names.
     """
-    ints = F.filter(F.split(F.trim("value"), r"[; ]+"), lambda x: x != "")
-    base = (F.col("line_no") * width) if width else F.lit(0)
-    return lines.select(base.alias("_b"), F.posexplode(ints).alias("_p", "v")).select(
-        (F.col("_b") + F.col("_p")).cast("bigint").alias("rank"),
-        F.col("v").cast("bigint").alias("dialogue_ord"))
-
-
-def render_permutation(permutation: DataFrame, width: int = 1000, sep: str = ";") -> DataFrame:
-    """Permutation as text lines of `width` ints (bounded groups), for files and round trips."""
-    g = permutation.groupBy((F.col("rank") / width).cast("bigint").alias("line_no")).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "dialogue_ord"))).alias("_r"))
-    return g.select("line_no", F.array_join(F.transform("_r", lambda x: x["dialogue_ord"].cast("string")),
-                                            sep).alias("value"))
+    number = F.trim(F.regexp_replace("value", "[\r\n]", ""))
+    numbers = _range_scan(spark, path, separator).where(number != "").select(
+        "part", "start", number.cast("bigint").alias("dialogue_ord")).withColumn("_id", F.monotonically_increasing_id())
+    stored = scratch_path(spark, "permutation-numbers")
+    numbers.write.parquet(stored)
+    numbers = spark.read.parquet(stored)
+    ranges = numbers.groupBy("part", "start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return numbers.join(ranges, ["part", "start"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("rank"), "dialogue_ord")

@@ -11,12 +11,13 @@ from parlance.sources import dialogue_text as A
 from parlance.sources.corpus import SPLIT_ORDER, load_corpus
 
 SF_SMALL = "/root/testdata/sf0.001"
-COLS = "file string, block long, pos long, value string"
 
 
-def parsed(spark, lines):
-    df = spark.createDataFrame([("f", 0, i, v) for i, v in enumerate(lines)], COLS)
-    return sorted((r.dialogue_no, r.turn_idx, r.agent, r.text, r.malformed) for r in A.parse_dialogue_lines(df).collect())
+def parsed(spark, tmp_path, lines):
+    p = tmp_path / "lines.txt"
+    p.write_bytes("\n".join(lines).encode())
+    records = A.read_dialogue_records(spark, str(p))
+    return sorted((r.dialogue_no, r.turn_idx, r.agent, r.text, r.malformed) for r in A.parse_dialogue_records(records).collect())
 
 
 def test_corpus_round_trip_through_split_folders(spark, tmp_path):
@@ -37,7 +38,7 @@ def test_corpus_round_trip_through_split_folders(spark, tmp_path):
 
 
 def test_line_edge_cases(spark, tmp_path):
-    assert parsed(spark, ["1 a\tb\tc\td", "", "", "  ", "2 x\ty"]) == [
+    assert parsed(spark, tmp_path, ["1 a\tb\tc\td", "", "", "  ", "2 x\ty"]) == [
         (1, 0, "system", None, True), (2, 0, "user", "x", False), (2, 1, "system", "y", False)]
     p = tmp_path / "dialog-dev.txt"
     p.write_bytes("1 hi\tyo\r\n\r\n2 a b\tapi_callX y\n".encode())
@@ -46,12 +47,13 @@ def test_line_edge_cases(spark, tmp_path):
     assert rows == [(1, 0, "hi"), (1, 1, "yo\r"), (1, 2, "a b"), (1, 3, "api_callX y")]
 
 
-def test_long_dialogues_keep_their_lines_in_order(spark):
+def test_long_dialogues_keep_their_lines_in_order(spark, tmp_path):
     turns = spark.range(2 * 24_000).select(
         F.lit("trn").alias("split"), F.floor(F.col("id") / 24_000).alias("dialogue_idx"),
         (F.col("id") % 24_000).cast("int").alias("turn_idx"),
         F.when(F.col("id") % 2 == 0, "user").otherwise("system").alias("agent"), F.col("id").cast("string").alias("text"))
-    back = A.parse_dialogue_lines(B.dialogue_file_lines(turns))
+    B.write_dialogue_text(turns, str(tmp_path / "long"))
+    back = A.read_dialogues(spark, str(tmp_path / "long" / "split=trn"))
     bad = back.where(F.col("text").cast("long") != (F.col("dialogue_no") - 1) * 24_000 + F.col("turn_idx"))
     assert back.count() == 48_000 and bad.count() == 0
 
@@ -87,3 +89,42 @@ def test_positional_pairs_of_unequal_corpora(spark):
     z = zip_join(a, b)
     assert z.where("unpaired").count() == 2
     assert [(r.augmented, r.original) for r in user_pairs(z).collect()] == [("uhm hi", "hi")]
+
+
+def test_ranges_of_a_file_start_at_records(spark, tmp_path):
+    """Byte ranges far smaller than the file: dialogues and numbers keep their order, none is cut or read twice."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    dialogues = [[f"{k + 1} user {n} {'é' * (n % 17)}\tsystem {k}" for k in range(1 + n % 4)] for n in range(900)]
+    gaps = ["\n\n", "\n\n\n", "\n\n\n\n\n", "\n\n \t\n\n"]
+    text = "\n" + "".join("\n".join(d) + gaps[n % 4] for n, d in enumerate(dialogues))
+    (tmp_path / "dialog-trn.txt").write_bytes(text.encode())
+    numbers = [(i * 7919) % 5003 for i in range(5003)]
+    (tmp_path / "line.txt").write_text(";".join(map(str, numbers)) + "\n")
+    (tmp_path / "spaces.txt").write_text(" ".join(map(str, numbers)))
+    few = [["first"], *dialogues[:40], ["long"] * 200, *dialogues[40:60], ["last"]]
+    (tmp_path / "few.txt").write_text("".join("\n".join(d) + gaps[n % 3] for n, d in enumerate(few)))
+    (tmp_path / "empty.txt").write_text("\n\n\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        records = A.read_dialogue_records(spark, str(tmp_path / "dialog-trn.txt"))
+        assert [(r.dialogue_no, r.lines) for r in records.orderBy("dialogue_no").collect()] == [(n + 1, d) for n, d in enumerate(dialogues)]
+        for name, sep in (("line.txt", ";"), ("spaces.txt", " ")):
+            assert A._range_scan(spark, str(tmp_path / name), sep).rdd.getNumPartitions() > 30
+            got = A.read_permutation(spark, str(tmp_path / name), sep).orderBy("rank").collect()
+            assert [tuple(r) for r in got] == list(enumerate(numbers))
+        assert A.read_dialogues(spark, str(tmp_path / "empty.txt")).collect() == []
+        for size in (50, 97, 333):  # dialogues longer than many ranges; ends of all kinds at the ranges' ends
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = A.read_dialogue_records(spark, str(tmp_path / "few.txt")).orderBy("dialogue_no").collect()
+            assert [(r.dialogue_no, r.lines) for r in got] == [(n + 1, d) for n, d in enumerate(few)]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_permutation_in_parts(spark, tmp_path):
+    perm = spark.range(10_000).select(F.col("id").alias("rank"), ((F.col("id") * 7919) % 10_000).alias("dialogue_ord"))
+    B.write_permutation(perm, str(tmp_path / "p"))
+    back = A.read_permutation(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, perm.collect()))

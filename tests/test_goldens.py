@@ -108,11 +108,11 @@ def test_correction_turns_shift_the_dialogue(spark):
     assert AU._insert_correction_turns(last).where("agent = 'usr'").count() == 2     # none after the last turn
 
 
-def test_parse_golden(spark):
+def test_parse_golden(spark, tmp_path):
     lines = ["1 hi\thello", "2 <SILENCE>\tapi_call a b", "", "", "1 yo\tok", "3 kb row no tab", "", ""]
-    df = spark.createDataFrame([("file", 0, i, v) for i, v in enumerate(lines)],
-                               "file string, block long, pos long, value string")
-    got = sorted((r.dialogue_id, r.turn_idx, r.agent, r.text) for r in A.parse_dialogue_lines(df).collect())
+    (tmp_path / "file").write_text("\n".join(lines))
+    parsed = A.parse_dialogue_records(A.read_dialogue_records(spark, str(tmp_path / "file")))
+    got = sorted((r.dialogue_id, r.turn_idx, r.agent, r.text) for r in parsed.collect())
     assert got == [("file.1", 0, "user", "hi"), ("file.1", 1, "system", "hello"),
                    ("file.1", 2, "user", "<SILENCE>"), ("file.1", 3, "system", "api_call a b"),
                    ("file.2", 0, "user", "yo"), ("file.2", 1, "system", "ok"),

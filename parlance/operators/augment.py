@@ -323,11 +323,12 @@ def augment_turns(turns: DataFrame, cfg: ActionConfig, vocab: SlotVocabulary, se
     return out
 
 
-def _insert_correction_turns(df: DataFrame) -> DataFrame:
+def _insert_correction_turns(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """H4: after a user turn with k correction turns, its next turn becomes
-    [S, C_k, S, …, C_1, S]; later turns shift by 2k.  Needs the dialogue's turns together
+    [S, C_k, S, …, C_1, S]; later turns shift by 2k.  `inserted_rank` is the place in that block: 0 is
+    the turn itself, all others are inserted.  Needs the dialogue's turns together
     (a window per dialogue: bounded groups), so it is planned only when H4 can fire."""
-    d = Window.partitionBy("split", "dialogue_idx", "copy_no").orderBy("orig_turn_idx")
+    d = Window.partitionBy(*by, "split", "dialogue_idx", "copy_no").orderBy("orig_turn_idx")
     k = F.size("inserted")
     df = (df.withColumn("_prev_ins", F.lag("inserted", 1).over(d))
           .withColumn("_shift", F.coalesce(F.sum(2 * k).over(
@@ -345,6 +346,7 @@ def _insert_correction_turns(df: DataFrame) -> DataFrame:
     return ex.select(
         *cols,
         (F.col("orig_turn_idx") + F.col("_shift") + F.col("_b.m")).cast("int").alias("turn_idx"),
+        F.col("_b.m").cast("int").alias("inserted_rank"),
         F.col("_b.agent").alias("agent"), F.col("_b.text").alias("text"))
 
 

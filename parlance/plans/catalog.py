@@ -523,6 +523,7 @@ def q_calls_not_in_candidates(spark, sf):
 # ---------------------------------------------------------------- augmentation
 
 from ..operators import augment as AU  # noqa: E402
+from ..operators import config_table as CT  # noqa: E402
 from ..operators import disfluency_stats as DS  # noqa: E402
 from ..operators import tagger as TG  # noqa: E402
 from ..operators import pairs as PR  # noqa: E402
@@ -677,16 +678,11 @@ def q_parallel_pairs(spark, sf):
 
 @query("multi_config_augment")
 def q_multi_config_augment(spark, sf):
-    """Each configuration, with its own token types, applied to the whole corpus, then paired."""
-    from functools import reduce
+    """Every configuration, with its own token types, applied to the whole corpus in one scan, then paired."""
     t = fx(spark, sf).withColumn("orig_text", F.col("text"))
-    vocab = _vocab(spark, sf)
-    parts = []
-    for c in MULTI_CONFIGS:
-        cfg = ActionConfig.preset(c)
-        parts.append(_pairs(_aug(spark, sf, cfg, turns=t, vocab=vocab, token_types=cfg.token_types)).select(
-            F.lit(c).alias("config_id"), *_KEY, F.col("text").alias("augmented"), F.col("orig_text").alias("original")))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    table = CT.config_table(spark, [ActionConfig.preset(c) for c in MULTI_CONFIGS])
+    aug = CT.augment_by_table(t, table, _vocab(spark, sf), seed=SEED)
+    return _pairs(aug).select("config_id", *_KEY, F.col("text").alias("augmented"), F.col("orig_text").alias("original"))
 
 
 def _count_query(kind: str):

@@ -2,7 +2,7 @@
 
 The layout of external n-gram estimation:
 
-* **Counting.** Tasks turn slices of text into sorted runs of (lang, words, count), orders one to
+* **Counting.** Tasks turn slices of text into sorted runs of (words, language, count), orders one to
   three, and Spark adds the runs up.  Orders go upwards: an n-gram can only reach the least count
   if its two (n-1)-grams do, so the next order leaves out what cannot.  Which (n-1)-grams are
   frequent reaches the tasks as a sieve of a fixed greatest size (`SIEVE_BITS`): it may let
@@ -38,7 +38,7 @@ from parlance.session import ensure_checkpoint_dir
 MIN_COUNT, COVER_PERCENT, TOP = 10, 50, 2000
 #: The sieve takes 16 bits for each frequent n-gram and 2^28 bits (32 MB) at most.
 SIEVE_BITS = 28
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 SHARES = 32
 
 #: What ends a piece; A-Z become a-z; tab and space part words.
@@ -144,22 +144,29 @@ def count_slice(data: np.ndarray, off: np.ndarray, lang: np.ndarray, n_langs: in
 
 
 def count_grams(texts: DataFrame, order: int, sieve: Sieve | None) -> DataFrame:
-    """(lang, w1..w_order, n) over all rows of (lang, text)."""
+    """(gram, n) over all rows of (lang, text).  A gram is one string, so that adding up moves one key column: its
+    words joined by a space, a tab, the language (words hold neither space nor tab)."""
     shared = texts.sparkSession.sparkContext.broadcast(sieve)
-    names = ["lang", *(f"w{k + 1}" for k in range(order)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             coded = b.column(0).dictionary_encode()
             langs, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            lang_hash = _hashes(langs)
+            lang_hash, tails = _hashes(langs), pc.binary_join_element_wise("", langs, "\t")
             for r, data, off in text_slices(b.column(1), SLICE_BYTES):
                 vocab, cols, lang, n = count_slice(data, off, code[r:r + len(off) - 1], len(langs), lang_hash, order, shared.value)
+                phrase = pc.binary_join_element_wise(*(vocab.take(pa.array(c)) for c in cols), " ") if order > 1 else vocab.take(pa.array(cols[0]))
                 yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(lang)), *(vocab.take(pa.array(c)) for c in cols), pa.array(n, pa.int64())], names)
+                    [pc.binary_join_element_wise(phrase, tails.take(pa.array(lang)), ""), pa.array(n, pa.int64())], ["gram", "n"])
 
-    runs = texts.mapInArrow(run, ", ".join(f"{c} string" for c in names[:-1]) + ", n long")
-    return runs.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def columns_of(grams: DataFrame, order: int) -> DataFrame:
+    """(lang, w1..w_order, n) of (gram, n)."""
+    parts = F.split("gram", "\t", 2)
+    found = grams.select(parts[1].alias("lang"), F.split(parts[0], " ").alias("w"), "n")
+    return found.select("lang", *(F.col("w")[k].alias(f"w{k + 1}") for k in range(order)), "n")
 
 
 def _lockstep(rows: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
@@ -210,11 +217,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     enough = F.col("n") >= min_count
-    ones = stored(spark, count_grams(texts, 1, None), "counts-1")
+    ones = stored(spark, columns_of(count_grams(texts, 1, None), 1), "counts-1")
     totals = ones.groupBy("lang").agg(F.sum("n").alias("total"))
     ones = ones.where(enough)
-    twos = stored(spark, count_grams(texts, 2, build_sieve(ones, 1)).where(enough), "counts-2")
-    threes = stored(spark, count_grams(texts, 3, build_sieve(twos, 2)).where(enough), "counts-3")
+    twos = stored(spark, columns_of(count_grams(texts, 2, build_sieve(ones, 1)).where(enough), 2), "counts-2")
+    threes = stored(spark, columns_of(count_grams(texts, 3, build_sieve(twos, 2)).where(enough), 3), "counts-3")
     none = F.lit(None).cast("string")
     rows = ones.select("lang", F.lit(1).alias("size"), "w1", none.alias("w2"), none.alias("w3"), "n").unionByName(
         twos.select("lang", F.lit(2).alias("size"), "w1", "w2", none.alias("w3"), "n")).unionByName(

@@ -734,10 +734,10 @@ def _tagged(spark, sf):
     cfg = ActionConfig.preset("default")
     t = fx(spark, sf)
     vocab = _vocab(spark, sf)
-    phrases = TG.collect_phrases(t, vocab)
+    prefixes = TG.phrase_prefixes(t, vocab)
     aug = _aug(spark, sf, cfg, turns=t.withColumn("orig_text", F.col("text")), vocab=vocab)
     pairs = _pairs(aug)
-    return TG.tag_utterances(pairs, "text", cfg, vocab, phrases)
+    return TG.tag_utterances(pairs, "text", cfg, vocab, prefixes)
 
 
 @query("tag_disfluencies")
@@ -754,7 +754,7 @@ def q_tag_corpus(spark, sf):
     t, vocab, cfg = fx(spark, sf), _vocab(spark, sf), ActionConfig.preset("default")
     csv, out = scratch_path(spark, "parallel"), scratch_path(spark, "tagged")
     B.write_parallel_csv(_stored_pairs(spark, sf), csv)
-    tagged = TG.tag_utterances(A.read_parallel_csv(spark, csv), "augmented", cfg, vocab, TG.collect_phrases(t, vocab))
+    tagged = TG.tag_utterances(A.read_parallel_csv(spark, csv), "augmented", cfg, vocab, TG.phrase_prefixes(t, vocab))
     B.write_tagged(tagged.select(F.col("augmented").alias("utterance"), F.array_join("tags", " ").alias("tags"),
                                  "tag_length_mismatch"), out)
     return spark.read.parquet(out)

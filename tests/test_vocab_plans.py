@@ -45,8 +45,11 @@ def test_fifty_thousand_values(spark):
     marks = vocab.annotate(turns.select(tokenize("text").alias("t"), "agent"), "t")
     got = marks.where("agent = 'user'").select(F.array_join(V.delexicalized("t"), " ").alias("d")).distinct().collect()
     assert [r.d for r in got] == ["a table in <value> with <value> food"]
-    phrases = TG.collect_phrases(turns, vocab)
-    assert sorted(map(tuple, phrases)) == [("<value>",), ("in", "<value>", ), ("with", "<value>", "food")]
+    phrases = V.slot_phrases(turns, vocab, delexicalize=True).collect()
+    assert sorted(r.phrase for r in phrases) == ["<value>", "in <value>", "with <value> food"]
+    prefixes = TG.phrase_prefixes(turns, vocab).collect()
+    assert sorted((r.prefix, r.n_words) for r in prefixes) == [
+        ("<value>", 1), ("in", 1), ("in <value>", 2), ("with", 1), ("with <value>", 2), ("with <value> food", 3)]
     cfg = C.single_action_config("correct")
     out = AU.augment_turns(turns, cfg, vocab).where("agent = 'user' and size(actions) > 0")
     n = 0

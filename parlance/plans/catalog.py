@@ -428,22 +428,41 @@ def q_token_bigrams(spark, sf):
 
 _ORD_SQL = (f"ords AS (SELECT split, dialogue_idx, row_number() OVER (ORDER BY {_SPLIT_RANK_SQL}, dialogue_idx) - 1 "
             "AS ordinal FROM (SELECT DISTINCT split, dialogue_idx FROM fx))")
-_PERM_SQL = ("perm AS (SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '273', CAST(ordinal AS VARCHAR))), "
-             "ordinal) - 1 AS rank, ordinal AS dialogue_ord FROM ords)")
 
 
-@query("corpus_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
+def _perm_sql() -> str:
+    """The keyed permutation as SQL: the same network and walk on a x b."""
+    def digits(j, half):
+        return f"('0x' || substr(md5(concat_ws('|', '273', '{j}', CAST({half} AS VARCHAR))), 1, 8))::BIGINT"
+
+    expr = "r6 * a + l6"
+    for j in range(5, -1, -1):
+        old, new = (f"l{j}", f"r{j}"), (f"l{j + 1}", f"r{j + 1}")
+        value = f"({old[0]} + {digits(j, old[1])}) % a" if j % 2 == 0 else f"({old[1]} + {digits(j, old[0])}) % b"
+        changed, kept = (new[0], new[1]) if j % 2 == 0 else (new[1], new[0])
+        same = old[1] if j % 2 == 0 else old[0]
+        expr = f"list_transform([{value}], lambda {changed}: list_transform([{same}], lambda {kept}: {expr})[1])[1]"
+    net = f"list_transform([x % a], lambda l0: list_transform([x // a], lambda r0: {expr})[1])[1]"
+    return f"""dom AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (
+  SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM (SELECT DISTINCT split, dialogue_idx FROM fx))),
+perm AS (SELECT rank, list_reduce(range(1, least(a * b - n + 1, 64) + 1),
+    lambda x, k: CASE WHEN k = 1 OR x >= n THEN {net} ELSE x END, rank) AS dialogue_ord
+  FROM dom, generate_series(0, n - 1) AS g(rank))"""
+
+
+_PERM_SQL = _perm_sql()
+
+
+@query("corpus_permutation", O.fx_with(_PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
 def q_corpus_permutation(spark, sf):
-    return G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf)))
+    return G.corpus_permutation(fx(spark, sf))
 
 
 @query("fold_sample", O.fx_with(_ORD_SQL, _PERM_SQL) + """
 SELECT p.rank, p.dialogue_ord, o.split, o.dialogue_idx
 FROM perm p JOIN ords o ON p.dialogue_ord = o.ordinal WHERE p.rank >= 400 AND p.rank < 500""")
 def q_fold_sample(spark, sf):
-    ords = G.dialogue_ordinals(fx(spark, sf))
-    return G.fold_sample(G.corpus_permutation(ords), ords).select(
-        "rank", "dialogue_ord", "split", "dialogue_idx")
+    return G.fold_sample(fx(spark, sf)).select("rank", "dialogue_ord", "split", "dialogue_idx")
 
 
 def _ratio_sql(items_sql: str, key_sql: str, first_key: str, out_cols: str) -> str:
@@ -999,11 +1018,11 @@ ORACLE["tag_disfluencies"] = _tagger_sql(f"SELECT split, dialogue_idx, turn_idx,
 ORACLE["tag_corpus"] = _tagger_sql(f"SELECT text AS utterance, {_TAGS_SQL} FROM tagged")
 
 
-@query("read_permutation", O.fx_with(_ORD_SQL, _PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
+@query("read_permutation", O.fx_with(_PERM_SQL) + "SELECT rank, dialogue_ord FROM perm")
 def q_read_permutation(spark, sf):
     """A9 round trip: the corpus permutation written as one `;`-separated line, read back by byte ranges."""
     path = scratch_path(spark, "permutation")
-    B.write_permutation(G.corpus_permutation(G.dialogue_ordinals(fx(spark, sf))), path)
+    B.write_permutation(G.corpus_permutation(fx(spark, sf)), path)
     return A.read_permutation(spark, path)
 
 

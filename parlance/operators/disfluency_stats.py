@@ -6,11 +6,12 @@ aggregations over the hits.  No n-gram arrays, no per-turn Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.text import PHRASE_LEFT_WORDS, in_set, let, tokenize
+from ..sinks.dialogue_text import write_dialogue_text
 from ..sources.config import ActionConfig
 from .vocab import SlotVocabulary
 
@@ -141,6 +142,36 @@ def augmentation_stats(aug: DataFrame, cfg: ActionConfig) -> DataFrame:
     return g.select(stack.alias("s")).select("s.metric", F.coalesce("s.value", F.lit(0)).alias("value"))
 
 
+def write_counted(aug: DataFrame, cfg: ActionConfig, path: str) -> DataFrame:
+    """I1 with B7/E8: writes an augmented corpus as dialogue files and returns (metric, value), counted by the
+    writing job itself.
+
+    The job groups turns into dialogues anyway; there each dialogue carries its sums, and observed metrics
+    add them up while the files are written.  Nothing is computed twice.
+    """
+    acts = [a for a in cfg.actions if a != "NULL"]
+    own = F.col("selected") & (F.col("inserted_rank") == 0 if "inserted_rank" in aug.columns else F.lit(True))
+
+    def total(value: Column, name: str) -> Column:
+        return F.sum(F.when(own, value).otherwise(0)).cast("bigint").alias(name)
+
+    drawn = F.size("actions")
+    extra = [F.count(F.lit(1)).alias("_turns"), total(drawn, "_drawn"), total(F.col("n_tokens") - drawn, "_NULL"),
+             total(((drawn > 0) | (F.col("n_tokens") == 0)).cast("int"), "_modified"), *[total(_n_action(a), f"_{a}") for a in acts]]
+    seen = Observation()
+
+    def watch(dialogues: DataFrame) -> DataFrame:
+        sums = [F.sum(f"`_{c}`").alias(c) for c in ("NULL", *acts)]
+        return dialogues.observe(seen, F.count(F.when(F.col("_drawn") > 0, 1)).alias("dialogues_modified"),
+                                 F.sum("_modified").alias("utterances_modified"), *sums, F.sum("_turns").alias("turns_written"))
+
+    key = ["split", "dialogue_idx"] + (["copy_no"] if "copy_no" in aug.columns else [])
+    write_dialogue_text(aug, path, key, extra, watch)
+    values = seen.get
+    rows = [(m, int(values[m] or 0)) for m in ("dialogues_modified", "utterances_modified", "NULL", *acts, "turns_written")]
+    return aug.sparkSession.createDataFrame(rows, "metric string, value bigint")
+
+
 def limit_audit(aug: DataFrame, cfg: ActionConfig) -> DataFrame:
     """Per action, the largest per-utterance count and the configured limit (expect <=)."""
     sel = aug.where(F.col("selected"))

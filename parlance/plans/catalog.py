@@ -510,6 +510,20 @@ def q_union_splits(spark, sf):
 PART_SIZE = 100
 
 
+@query("file_ordinals", O.with_ctes(O.CONV_CTE) + """
+SELECT split, split || '.txt.' || CAST(dialogue_idx AS VARCHAR) AS name, text AS content,
+       row_number() OVER (ORDER BY list_position(['trn', 'dev', 'tst', 'tst-OOV'], split), dialogue_idx) - 1 AS ordinal
+FROM (SELECT dialogue_idx, ['trn', 'dev', 'tst', 'tst-OOV'][dialogue_idx % 4 + 1] AS split,
+             string_agg(agent || ':' || chr(9) || text, chr(10) ORDER BY turn_idx) AS text FROM conv GROUP BY dialogue_idx)""")
+def q_file_ordinals(spark, sf):
+    """A3 over files: every conversation written as a file of its own, listed, ordered and read back."""
+    split = F.element_at(F.array(*map(F.lit, SPLIT_ORDER)), (F.col("dialogue_idx") % 4 + 1).cast("int"))
+    babble = B.render_babble(conversations(spark, sf))
+    path = scratch_path(spark, "one-file-each")
+    B.write_dialogue_files(babble.select(F.concat(split, F.lit(".txt."), F.col("dialogue_idx").cast("string")).alias("name"), "text"), path)
+    return A.read_dialogue_files(spark, path).select("split", "name", "content", "ordinal")
+
+
 @query("merge_parts", O.fx_with() + f"""
 p AS (SELECT split, dialogue_idx, row_number() OVER (PARTITION BY split ORDER BY dialogue_idx) - 1 AS pos
       FROM (SELECT DISTINCT split, dialogue_idx FROM fx)),
@@ -549,6 +563,7 @@ from ..operators import pairs as PR  # noqa: E402
 from ..sources.config import TOKEN_TYPES, ActionConfig, list_presets  # noqa: E402
 
 SEED = 273
+_DEF0 = ActionConfig.preset("default")
 MULTI_CONFIGS = ["g2018_corrections_only", "g2018_hesitations_only", "g2018_pp_restarts_only",
                  "g2018_restarts_only"]
 REPORT_MULTIPLIERS = [1, 2, 5, 10]
@@ -695,6 +710,29 @@ def q_parallel_pairs(spark, sf):
     return _stored_pairs(spark, sf).select(*_KEY, "augmented", "original")
 
 
+MULTITURN_CONFIG = ActionConfig("default_multiturn", _DEF0.limits, {**_DEF0.weights, "multiturn_correct": 20}, _DEF0.masks, _DEF0.templates)
+
+
+@query("lineage_pairs")
+def q_lineage_pairs(spark, sf):
+    """D1 by lineage: a stored corpus with inserted correction turns beside the original, user turns and insertions."""
+    path = scratch_path(spark, "augmented-multiturn")
+    _aug(spark, sf, MULTITURN_CONFIG).select(
+        "split", "dialogue_idx", "copy_no", "turn_idx", "orig_turn_idx", "inserted_rank", "agent", "text").write.parquet(path)
+    pairs = PR.lineage_join(spark.read.parquet(path), fx(spark, sf))
+    kept = F.col("inserted") | ((F.col("agent") == "user") & (F.lower("original") != "<silence>"))
+    return pairs.where(kept).select(*_KEY, "orig_turn_idx", "agent", "augmented", "original", "inserted")
+
+
+@query("augment_and_count")
+def q_augment_and_count(spark, sf):
+    """I1 with B7/E8: the augmented corpus written as dialogue files, counted by the writing job, and read back."""
+    path = scratch_path(spark, "augmented-files")
+    counted = DS.write_counted(_aug(spark, sf, _DEF0), _DEF0, path)
+    read = A.read_split_dialogues(spark, path).agg(F.lit("turns_read").alias("metric"), F.count(F.lit(1)).alias("value"))
+    return counted.unionByName(read)
+
+
 @query("multi_config_augment")
 def q_multi_config_augment(spark, sf):
     """Every configuration, with its own token types, applied to the whole corpus in one scan, then paired."""
@@ -844,6 +882,12 @@ SELECT split, dialogue_idx, CAST(orig_turn_idx + shift + mm AS INTEGER) AS turn_
             ELSE coalesce(prev_ins, []::VARCHAR[])[len(coalesce(prev_ins, []::VARCHAR[])) - (mm - 1) // 2] END AS text
 FROM m, generate_series(0, 2 * len(coalesce(prev_ins, []::VARCHAR[]))) AS g(mm)"""
 
+ORACLE["lineage_pairs"] = _aug_with(MULTITURN_CONFIG).rstrip() + "," + _H4_SQL.replace(
+    "\nSELECT split", ",\nshifted AS (SELECT mm, orig_text, split").rstrip() + """)
+SELECT split, dialogue_idx, turn_idx, orig_turn_idx, agent, text AS augmented,
+       CASE WHEN mm = 0 THEN orig_text END AS original, mm > 0 AS inserted
+FROM shifted WHERE mm > 0 OR (agent = 'user' AND lower(orig_text) <> '<silence>')"""
+
 for _name, _action in [("act_hesitate", "hesitate"), ("act_correct", "correct"),
                        ("act_correct_long", "correct_long_distance"),
                        ("act_multiturn", "multiturn_correct"), ("act_selfcheck", "selfcheck"),
@@ -883,6 +927,9 @@ ORACLE["augmentation_stats"] = _aug_with(_DEF, extra=()).rstrip() + \
 ORACLE["limit_audit"] = _aug_with(_DEF).rstrip() + \
     ",\nsel AS (SELECT * FROM ag_out WHERE selected)\n" + _audit_rows(_DEF)
 
+ORACLE["augment_and_count"] = ORACLE["augmentation_stats"] + "".join(
+    f"\nUNION ALL SELECT '{m}', CAST(count(*) AS BIGINT) FROM ag_out" for m in ("turns_written", "turns_read"))
+
 _PAIRS_WHERE = "WHERE agent = 'user' AND lower(orig_text) <> '<silence>'"
 ORACLE["parallel_pairs"] = _aug_with(_DEF) + \
     f"SELECT split, dialogue_idx, turn_idx, text AS augmented, orig_text AS original FROM ag_out {_PAIRS_WHERE}"
@@ -1049,6 +1096,35 @@ def q_echo_dataset(spark, sf):
                     F.col("text").alias("decoder"), "part")
 
 
+@query("echo_pair_files", "SELECT part, rank, encoder, decoder FROM (" + ORACLE["echo_dataset"] + ") e")
+def q_echo_pair_files(spark, sf):
+    """I6 to files (B5): the echo dataset as encoder and decoder files of train, dev and test, read back line by line."""
+    path = scratch_path(spark, "echo")
+    numbered = F.concat_ws(" ", F.col("rank").cast("string"), "encoder")
+    r = q_echo_dataset(spark, sf).select("part", "rank", numbered.alias("encoder"), "decoder")
+    sizes = B.write_dataset_files(r, path, "part", ["rank"])
+    back = A.read_dataset_files(spark, path, sizes, "part")
+    return back.select("part", F.substring_index("encoder", " ", 1).cast("bigint").alias("rank"),
+                       F.regexp_replace("encoder", r"^\d+ ", "").alias("encoder"), "decoder")
+
+
+@query("context_pair_files", "SELECT split, encoder, decoder FROM (" + ORACLE["corpus_context_windows"] + ") c")
+def q_context_pair_files(spark, sf):
+    """I8 to files (B5): encoder and decoder files of every split, read back line by line."""
+    path = scratch_path(spark, "seq2seq")
+    names = B.write_dataset_files(q_corpus_context_windows(spark, sf), path, "split", ["dialogue_idx", "turn_idx"])
+    return A.read_dataset_files(spark, path, names, "split").select("split", "encoder", "decoder")
+
+
+@query("overwrite_dialogues", ORACLE["parse_dialogues"].replace("agent, text\n", "agent, replace(text, 'are looking', 'are you looking') AS text\n", 1))
+def q_overwrite_dialogues(spark, sf):
+    """A folder of dialogue files is written twice; only what was written last is read back."""
+    path = _written_corpus(spark, sf)
+    cleaned = fx(spark, sf).withColumn("text", T.clean_text("text", _CLEAN))
+    B.write_dialogue_text(cleaned, path)
+    return A.read_split_dialogues(spark, path).select("split", "dialogue_no", "turn_idx", "agent", "text")
+
+
 # the cheap queries come first: a comparison that runs out of time has then covered most of them
 for _name in ["action_probabilities", "act_restart", "act_hesitate", "act_selfcheck", "act_correct", "act_pp_restart",
               "act_correct_long", "act_multiturn", "limit_audit", "augmentation_stats", "augment_split", "augment_corpus",

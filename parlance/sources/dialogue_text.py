@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import let
+from ..operators.ordinals import ordinal_within
 from ..session import scratch_path
+from .corpus import SPLIT_ORDER, split_rank
 
 #: What a row of a cut range is: a whole dialogue, the piece before the range's first empty line, the piece after its
 #: last one, or a range without empty lines.
@@ -158,8 +160,6 @@ def read_dialogues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_split_dialogues(spark: SparkSession, root: str, splits: list[str] | None = None) -> DataFrame:
     """A2: the turns of every split folder `root/split=<name>`; a missing split is an error."""
-    from .corpus import SPLIT_ORDER
-
     return read_dialogues(spark, [f"{root.rstrip('/')}/split={s}" for s in splits or SPLIT_ORDER])
 
 
@@ -200,9 +200,10 @@ def parse_candidates(lines: DataFrame) -> DataFrame:
     return lines.select(F.element_at(F.split(F.trim("value"), " ", 2), 2).alias("text"))
 
 
-def read_parallel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The two-column parallel CSV with header, as (augmented, original)."""
-    raw = spark.read.option("sep", ";").option("escape", '"').option("header", True).csv(path)
+def read_parallel_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The two-column parallel CSV with header, as (augmented, original).  Texts that hold line ends need
+    `multi_line` (a file is then read by one task)."""
+    raw = spark.read.option("sep", ";").option("escape", '"').option("header", True).option("multiLine", multi_line).csv(path)
     return raw.select(F.col(raw.columns[0]).alias("augmented"), F.col(raw.columns[1]).alias("original"))
 
 
@@ -218,6 +219,15 @@ def read_pair_files(spark: SparkSession, path: str) -> DataFrame:
     return side("encoder").join(side("decoder"), ["part", "line"], "full")
 
 
+def read_dataset_files(spark: SparkSession, path: str, names: list[str], dataset: str) -> DataFrame:
+    """What `write_dataset_files` wrote: (<dataset>, part, line, encoder, decoder)."""
+    from functools import reduce
+
+    read = [read_pair_files(spark, f"{path}/{n}").select(F.lit(n).alias(dataset), F.col("part").alias("file_part"), "line", "encoder", "decoder")
+            for n in names]
+    return reduce(lambda a, b: a.unionByName(b), read)
+
+
 def read_permutation(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
     """A permutation written as one line of integers -> (rank, dialogue_ord).
 
@@ -236,3 +246,27 @@ def read_permutation(spark: SparkSession, path: str, separator: str = ";") -> Da
     before = Window.orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return numbers.join(ranges, ["part", "start"]).select((F.col("_before") + F.col("_id") - F.col("_first")).alias("rank"), "dialogue_ord")
+
+
+def read_dialogue_files(spark: SparkSession, root: str) -> DataFrame:
+    """A3: a folder of files, one per dialogue -> (ordinal, split, name, content).
+
+    Files are named `…<split>.txt.<n>` (or lie in a folder `name=<that>`); they are ordered by the splits' corpus
+    order and the integer after the last dot, and counted from 0.  Names of no split, or without an
+    integer, are left out.  Positions come from the listing alone; small files are packed into tasks.
+    """
+    path = F.col("path")
+    folder = F.regexp_extract(path, r"/name=([^/]+)/[^/]+$", 1)
+    name = F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
+    rank = split_rank(F.lit(None))
+    for s in reversed(SPLIT_ORDER):
+        rank = F.when(F.contains(name, F.lit(f"{s}.txt")), split_rank(F.lit(s))).otherwise(rank)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")  # no content is read
+    names = listed.select("path", name.alias("name"), rank.alias("_rank"))
+    number = F.element_at(F.split("name", r"\."), -1).try_cast("bigint")
+    names = names.select("path", "name", "_rank", number.alias("_number")).where((F.col("_rank") < len(SPLIT_ORDER)) & F.col("_number").isNotNull())
+    places = ordinal_within(names, [], ["_rank", "_number", "name"], "ordinal")
+    split = F.element_at(F.array(*map(F.lit, SPLIT_ORDER)), F.col("_rank") + 1)
+    content = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("content"))
+    return content.join(places, "path").select("ordinal", split.alias("split"), "name", "content")

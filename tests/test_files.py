@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators.pairs import user_pairs, zip_join
+from parlance.operators.pairs import lineage_join, user_pairs, zip_join
 from parlance.sinks import dialogue_text as B
 from parlance.sources import dialogue_text as A
 from parlance.sources.corpus import SPLIT_ORDER, load_corpus
@@ -101,7 +101,7 @@ def test_ranges_of_a_file_start_at_records(spark, tmp_path):
     numbers = [(i * 7919) % 5003 for i in range(5003)]
     (tmp_path / "line.txt").write_text(";".join(map(str, numbers)) + "\n")
     (tmp_path / "spaces.txt").write_text(" ".join(map(str, numbers)))
-    few = [["first"], *dialogues[:40], ["long"] * 200, *dialogues[40:60], ["last"]]
+    few = [["first"], *dialogues[:12], ["long"] * 60, *dialogues[40:50], ["last"]]
     (tmp_path / "few.txt").write_text("".join("\n".join(d) + gaps[n % 3] for n, d in enumerate(few)))
     (tmp_path / "empty.txt").write_text("\n\n\n")
     try:
@@ -114,7 +114,7 @@ def test_ranges_of_a_file_start_at_records(spark, tmp_path):
             got = A.read_permutation(spark, str(tmp_path / name), sep).orderBy("rank").collect()
             assert [tuple(r) for r in got] == list(enumerate(numbers))
         assert A.read_dialogues(spark, str(tmp_path / "empty.txt")).collect() == []
-        for size in (50, 97, 333):  # dialogues longer than many ranges; ends of all kinds at the ranges' ends
+        for size in (61, 333):  # dialogues longer than many ranges; ends of all kinds at the ranges' ends
             spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
             got = A.read_dialogue_records(spark, str(tmp_path / "few.txt")).orderBy("dialogue_no").collect()
             assert [(r.dialogue_no, r.lines) for r in got] == [(n + 1, d) for n, d in enumerate(few)]
@@ -128,3 +128,59 @@ def test_permutation_in_parts(spark, tmp_path):
     B.write_permutation(perm, str(tmp_path / "p"))
     back = A.read_permutation(spark, str(tmp_path / "p"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, perm.collect()))
+
+
+def test_files_of_one_dialogue(spark, tmp_path):
+    root = tmp_path / "babble"
+    root.mkdir()
+    names = ["dialog-trn.txt.10", "dialog-trn.txt.2", "dialog-tst.txt.1", "dialog-tst-OOV.txt.0", "dialog-dev.txt.7", "notes.txt", "x.trn.txt.last"]
+    for n in names:
+        (root / n).write_text(f"usr:\t{n}\nsys:\tline\n")
+    got = A.read_dialogue_files(spark, str(root)).orderBy("ordinal").collect()
+    assert [r.name for r in got] == ["dialog-trn.txt.2", "dialog-trn.txt.10", "dialog-dev.txt.7", "dialog-tst.txt.1", "dialog-tst-OOV.txt.0"]
+    assert [r.ordinal for r in got] == list(range(5)) and [r.split for r in got] == ["trn", "trn", "dev", "tst", "tst-OOV"]
+    assert all(r.content == f"usr:\t{r.name}\nsys:\tline" for r in got)
+
+
+def test_csv_with_line_ends(spark, tmp_path):
+    rows = [("a\nb;c", 'say "x"'), ("plain", "text")]
+    B.write_parallel_csv(spark.createDataFrame(rows, "augmented string, original string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, A.read_parallel_csv(spark, str(tmp_path / "csv"), multi_line=True).collect())) == sorted(rows)
+
+
+def test_lineage_pairs(spark):
+    """H4 inserted four turns: every original turn meets its own rewriting, the others are flagged."""
+    key = "split string, dialogue_idx long, "
+    aug = spark.createDataFrame(
+        [("s", 1, t, o, k, a, x) for t, o, k, a, x in [
+            (0, 0, 0, "user", "uhm u1"), (1, 1, 0, "system", "s1"), (2, 1, 1, "usr", "c2"), (3, 1, 2, "system", "s1"), (4, 1, 3, "usr", "c1"),
+            (5, 1, 4, "system", "s1"), (6, 2, 0, "user", "u2"), (7, 3, 0, "system", "s2"), (8, 9, 0, "user", "lost")]],
+        key + "turn_idx int, orig_turn_idx int, inserted_rank int, agent string, text string")
+    orig = spark.createDataFrame([("s", 1, t, "user" if t % 2 == 0 else "system", x) for t, x in enumerate(["u1", "s1", "u2", "s2", "u3"])],
+                                 key + "turn_idx int, agent string, text string")
+    got = [(r.turn_idx, r.orig_turn_idx, r.agent, r.augmented, r.original, r.inserted, r.unpaired)
+           for r in lineage_join(aug, orig).collect()]
+    assert sorted((g for g in got if not g[6])) == [
+        (0, 0, "user", "uhm u1", "u1", False, False), (1, 1, "system", "s1", "s1", False, False), (2, 1, "usr", "c2", None, True, False),
+        (3, 1, "system", "s1", None, True, False), (4, 1, "usr", "c1", None, True, False), (5, 1, "system", "s1", None, True, False),
+        (6, 2, "user", "u2", "u2", False, False), (7, 3, "system", "s2", "s2", False, False)]
+    assert sorted(str(g) for g in got if g[6]) == ["(8, 9, 'user', 'lost', None, False, True)", "(None, 4, 'user', None, 'u3', False, True)"]
+
+
+def test_counters_of_the_writing_job(spark, tmp_path):
+    from parlance.operators import augment as AU
+    from parlance.operators import disfluency_stats as DS
+    from parlance.operators.vocab import SlotVocabulary, slot_values
+    from parlance.plans import catalog as C
+
+    turns = load_corpus(spark, SF_SMALL)
+    for cfg in (C.MULTITURN_CONFIG, C.ActionConfig.preset("ablation_all")):
+        aug = AU.augment_turns(turns, cfg, SlotVocabulary.build(slot_values(turns)))
+        got = dict(map(tuple, DS.write_counted(aug, cfg, str(tmp_path / cfg.config_id)).collect()))
+        own = aug.where("inserted_rank = 0") if "inserted_rank" in aug.columns else aug
+        want = dict(map(tuple, DS.augmentation_stats(own, cfg).collect()))
+        assert {k: v for k, v in got.items() if k != "turns_written"} == want
+        assert got["turns_written"] == aug.count() == A.read_split_dialogues(spark, str(tmp_path / cfg.config_id)).count()
+    empty = turns.limit(0)
+    aug = AU.augment_turns(empty, cfg, SlotVocabulary.build(slot_values(turns)))
+    assert all(r.value == 0 for r in DS.write_counted(aug, cfg, str(tmp_path / "none")).collect())

@@ -35,7 +35,7 @@ PLACEHOLDERS = {
 }
 #: A piece of a template: a word (0), the first (1) or second (2) filling, or a word with placeholders inside (3).
 WORD, FIRST, SECOND, MIXED = 0, 1, 2, 3
-ROW_TYPE = ("struct<id:string,three:boolean,glimit:int,null_at:int,acts:array<struct<name:string,kind:int,limit:int,"
+ROW_TYPE = ("struct<id:string,fires:array<boolean>,three:boolean,glimit:int,null_at:int,acts:array<struct<name:string,kind:int,limit:int,"
             "w:array<double>,first:string,second:string,templates:array<array<struct<k:int,w:string>>>>>>")
 
 
@@ -58,7 +58,8 @@ def config_row(cfg: ActionConfig) -> dict:
         weights = [cfg.base_weight(t, a) if cfg.limit(a) > 0 else 0.0 for t in TOKEN_TYPES]
         acts.append({"name": a, "kind": KINDS.index(a) if a in KINDS else -1, "limit": min(cfg.limit(a), 1 << 30), "w": weights,
                      "first": first or "", "second": second or "", "templates": [_pieces(a, t) for t in cfg.templates.get(a, [])]})
-    return {"id": cfg.config_id, "three": cfg.token_types == "three", "glimit": min(cfg.limit("GLOBAL"), 1 << 30),
+    fires = [any(x["w"][t] > 0 for x in acts if x["name"] != "NULL") for t in range(len(TOKEN_TYPES))]
+    return {"id": cfg.config_id, "fires": fires, "three": cfg.token_types == "three", "glimit": min(cfg.limit("GLOBAL"), 1 << 30),
             "null_at": names.index("NULL") if "NULL" in names else -1, "acts": acts}
 
 
@@ -68,8 +69,14 @@ def config_table(spark: SparkSession, cfgs: Sequence[ActionConfig]) -> DataFrame
     return spark.range(1).select(F.inline(rows))
 
 
-def _sample(cfg: Column, elems: Column) -> Column:
-    """F3b with the limits and weights of the row `cfg`; array<struct<i:int,a:int>> of the drawn actions."""
+def _sample(cfg: Column, tokens: Column) -> Column:
+    """F3b with the limits and weights of the row `cfg`; array<struct<i:int,a:int>> of the drawn actions.
+
+    Tokens of a type for which no action has a weight are not gone through: they draw NULL, which changes
+    nothing unless NULL itself may run out (a limit below the number of tokens).
+    """
+    spare = F.when(cfg["null_at"] >= 0, cfg["acts"][F.greatest(cfg["null_at"], F.lit(0))]["limit"] >= F.size(tokens)).otherwise(F.lit(False))
+    elems = F.when(spare, F.filter(tokens, lambda x: cfg["fires"][x["t"]])).otherwise(tokens)
     zero = F.struct(F.transform(cfg["acts"], lambda a: F.lit(0)).alias("c"), F.lit(0).alias("g"),
                     F.array().cast("array<struct<i:int,a:int>>").alias("picks"))
 

@@ -89,7 +89,8 @@ def _cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blank(line: Column) -> Column:
-    return line.rlike(r"(?U)^\s*$")
+    """White space only (most lines begin with a digit, which is told without the pattern)."""
+    return ~F.substring(line, 1, 1).between("0", "9") & line.rlike(r"(?U)^\s*$")
 
 
 def read_dialogue_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -142,20 +143,21 @@ def parse_dialogue_records(records: DataFrame) -> DataFrame:
             F.size(f) == 2, F.array(turn("user", f[0], F.lit(False)), turn("system", f[1], F.lit(False)))).otherwise(
             F.array(turn("system", F.when(F.size(f) == 1, f[0]), F.size(f) > 2))))
 
-    ex = records.select("file", "dialogue_no", F.posexplode(F.flatten(F.transform("lines", turns_of))).alias("turn_idx", "t"))
     base = F.element_at(F.split("file", "/"), -1)
-    return ex.select("file", "dialogue_no", F.concat_ws(".", base, F.col("dialogue_no").cast("string")).alias("dialogue_id"),
-                     "turn_idx", "t.agent", "t.text", "t.malformed")
+    named = records if "dialogue_id" in records.columns else records.withColumn(
+        "dialogue_id", F.concat_ws(".", base, F.col("dialogue_no").cast("string")))
+    kept = [c for c in named.columns if c != "lines"]
+    ex = named.select(*kept, F.posexplode(F.flatten(F.transform("lines", turns_of))).alias("turn_idx", "t"))
+    return ex.select(*kept, "turn_idx", "t.agent", "t.text", "t.malformed")
 
 
 def read_dialogues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A1/A2: read dialogue files into turns; `split` from the file name (`…-<split>.txt`)."""
-    t = parse_dialogue_records(read_dialogue_records(spark, paths))
     folder = F.regexp_extract("file", r"/split=([^/]+)$", 1)
-    return t.withColumn("split", F.when(folder != "", folder).otherwise(
-        F.regexp_extract("file", r"-(trn|dev|tst-OOV|tst)\.txt", 1))).withColumn(
-        "dialogue_id", F.when(folder != "", F.concat_ws(".", "split", F.col("dialogue_no").cast("string")))
-        .otherwise(F.col("dialogue_id")))
+    records = read_dialogue_records(spark, paths).withColumn("split", F.when(folder != "", folder).otherwise(
+        F.regexp_extract("file", r"-(trn|dev|tst-OOV|tst)\.txt", 1)))
+    base = F.when(folder != "", F.col("split")).otherwise(F.element_at(F.split("file", "/"), -1))
+    return parse_dialogue_records(records.withColumn("dialogue_id", F.concat_ws(".", base, F.col("dialogue_no").cast("string"))))
 
 
 def read_split_dialogues(spark: SparkSession, root: str, splits: list[str] | None = None) -> DataFrame:

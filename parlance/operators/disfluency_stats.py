@@ -6,13 +6,18 @@ aggregations over the hits.  No n-gram arrays, no per-turn Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..functions.text import PHRASE_LEFT_WORDS, in_set, let, tokenize
+from ..functions.text import PHRASE_LEFT_WORDS, in_set, is_silence, let, tokenize
 from ..sinks.dialogue_text import write_dialogue_text
 from ..sources.config import ActionConfig
+from .augment import augment_turns
 from .vocab import SlotVocabulary
 
 # The restart trigram test (first word, second word) of the statistics.
@@ -119,6 +124,50 @@ def disfluency_report(corpora: DataFrame, cfg: ActionConfig, vocab: SlotVocabula
         *[F.sum(c).cast("bigint").alias(c) for c in names])
 
 
+def sliced_report(turns: DataFrame, multipliers: list[int], cfg: ActionConfig, vocab: SlotVocabulary, folder: str,
+                  slice_copies: int = 10, seed: int = 273) -> DataFrame:
+    """E7e for corpora of many copies (`k` copies of every dialogue for each k of `multipliers`), slice by slice.
+
+    Draws are keyed by copy, so a corpus of k copies is copies 0 to k - 1 of the largest one.  Copies are
+    augmented and counted `slice_copies` at a time; a slice leaves one row of sums per copy in
+    `folder`, so the disk holds no augmented turns, and a run that was stopped goes on where the folder
+    ends (the folder belongs to one corpus, configuration and seed).  Turns that are never rewritten
+    are counted once and multiplied.
+    """
+    if cfg.can_fire("multiturn_correct"):
+        raise ValueError("inserted turns change the other turns of a dialogue: use disfluency_report")
+    spark = turns.sparkSession
+    rewritten = (F.col("turn_idx") % 2 == 0) & ~is_silence(tokenize("text"))
+
+    def kept(name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        """The sums of a slice from the folder, or else from the rows: one file of few rows, there as a whole or not."""
+        path = f"{folder.rstrip('/')}/{name}"
+        try:
+            found = spark.read.schema("corpus string, " + ", ".join(f"{c} long" for c in counters)).parquet(path)
+            if not found.isEmpty():
+                return found
+        except AnalysisException:  # no such folder
+            pass
+        disfluency_report(rows(), cfg, vocab).select("corpus", *counters).coalesce(1).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    counters = ["n_turns", "n_user_turns", *[f"n_{k}" for k in KINDS], *[f"turns_{k}" for k in KINDS]]
+    same = kept("others", lambda: turns.where(~F.coalesce(rewritten, F.lit(False))).select(F.lit("1").alias("corpus"), "agent", "text"))
+    top, slices = max(multipliers), []
+    some = turns.where(rewritten)
+    for lo in range(0, top, slice_copies):
+        hi = min(top, lo + slice_copies)
+        copies = some.withColumn("copy_no", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        slices.append(kept(f"copies-{lo}-{hi}", lambda c=copies: augment_turns(c, cfg, vocab, seed=seed).select(
+            F.col("copy_no").cast("string").alias("corpus"), "agent", "text")))
+    per_copy = reduce(lambda a, b: a.unionByName(b), slices)
+    sizes = F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(multipliers)]), lambda k: F.col("corpus").cast("int") < k))
+    moved = per_copy.withColumn("k", sizes).groupBy("k").agg(*[F.sum(c).alias(c) for c in counters])
+    fixed = same.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(multipliers)]))).select("k", *[(F.col(c) * F.col("k")).alias(c) for c in counters])
+    both = moved.unionByName(fixed).groupBy("k").agg(*[F.sum(c).cast("bigint").alias(c) for c in counters])
+    return both.select(F.concat(F.col("k").cast("string"), F.lit("x")).alias("corpus"), *counters)
+
+
 def _n_action(action: str) -> Column:
     return F.size(F.filter("actions", lambda p: p["action"] == F.lit(action)))
 

@@ -567,6 +567,9 @@ _DEF0 = ActionConfig.preset("default")
 MULTI_CONFIGS = ["g2018_corrections_only", "g2018_hesitations_only", "g2018_pp_restarts_only",
                  "g2018_restarts_only"]
 REPORT_MULTIPLIERS = [1, 2, 5, 10]
+ALL_MULTIPLIERS = [1, 2, 5, 10, 50, 100]
+#: Queries of many minutes at sf0.1, which the bench leaves out unless they are named, and without SQL for the same reason.
+LONG_QUERIES = {"disfluency_report_all"}
 TAGGED_CONFIGS = ["default", "g2018_pp_restarts_only"]
 
 
@@ -775,6 +778,12 @@ def q_disfluency_report(spark, sf):
     return DS.disfluency_report(corpora, cfg, vocab)
 
 
+@query("disfluency_report_all")
+def q_disfluency_report_all(spark, sf):
+    """E7e at all six sizes, 1 to 100 copies, in slices of ten copies."""
+    return DS.sliced_report(fx(spark, sf), ALL_MULTIPLIERS, ActionConfig.preset("default"), _vocab(spark, sf), scratch_path(spark, "report"), seed=SEED)
+
+
 @query("disfluency_dataset")
 def q_disfluency_dataset(spark, sf):
     """One split augmented (vocabulary of that split, three token types) with tags and POS."""
@@ -990,9 +999,9 @@ for _name, _kind in [("count_hesitations", "hesitate"), ("count_restarts", "rest
     ORACLE[_name] = _count_sql(_kind)
 
 
-def _report_sql() -> str:
+def report_sql(multipliers: list[int]) -> str:
     """Draws are keyed by copy: the k-fold corpus is copies 0 to k - 1 of the largest."""
-    top = max(REPORT_MULTIPLIERS)
+    top = max(multipliers)
     src = f"cx AS (SELECT fx.*, CAST(c AS INTEGER) AS copy_no FROM fx, generate_series(0, {top - 1}) AS g(c))"
     cols = ", ".join(f"CASE WHEN agent = 'user' THEN len({_hits_sql(k)}) ELSE 0 END AS {k}" for k in DS.KINDS)
     return O.fx_vocab_with(src, *OA.augment_ctes(_DEF, "cx", "slot_values", "r", SEED)) + f""",
@@ -1002,14 +1011,14 @@ x AS (SELECT copy_no, agent, {cols} FROM rt LEFT JOIN c_fl USING (toks)),
 y AS (SELECT copy_no, count(*) AS n_turns, count(*) FILTER (WHERE agent = 'user') AS n_user_turns,
              {', '.join(f'sum({k}) AS n_{k}, count(*) FILTER (WHERE {k} > 0) AS turns_{k}' for k in DS.KINDS)}
       FROM x GROUP BY copy_no),
-sizes(k) AS (VALUES {', '.join(f'({k})' for k in REPORT_MULTIPLIERS)})
+sizes(k) AS (VALUES {', '.join(f'({k})' for k in multipliers)})
 SELECT k || 'x' AS corpus, CAST(sum(n_turns) AS BIGINT) AS n_turns, CAST(sum(n_user_turns) AS BIGINT) AS n_user_turns,
        {', '.join(f'CAST(sum(n_{k}) AS BIGINT) AS n_{k}' for k in DS.KINDS)},
        {', '.join(f'CAST(sum(turns_{k}) AS BIGINT) AS turns_{k}' for k in DS.KINDS)}
 FROM sizes JOIN y ON y.copy_no < sizes.k GROUP BY k"""
 
 
-ORACLE["disfluency_report"] = _report_sql()
+ORACLE["disfluency_report"] = report_sql(REPORT_MULTIPLIERS)
 
 _POS_SQL = (f"array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN x IN {_sql_in(T.PREPOSITIONS)} "
             f"THEN 'IN' WHEN x IN {_sql_in(T.DETERMINERS)} THEN 'DT' ELSE 'X' END), ' ')")
@@ -1130,5 +1139,5 @@ for _name in ["action_probabilities", "act_restart", "act_hesitate", "act_selfch
               "act_correct_long", "act_multiturn", "limit_audit", "augmentation_stats", "augment_split", "augment_corpus",
               "augment_utterances", "sample_actions", "parallel_pairs", "disfluency_dataset", "count_hesitations",
               "count_restarts", "count_corrections", "count_ld_corrections", "tag_corpus", "tag_disfluencies",
-              "inline_tags", "render_tagged", "distinct_tagged", "multi_config_augment", "disfluency_report"]:
+              "inline_tags", "render_tagged", "distinct_tagged", "multi_config_augment", "disfluency_report", "disfluency_report_all"]:
     QUERIES[_name] = QUERIES.pop(_name)

@@ -850,9 +850,9 @@ _FX0 = "fx0 AS (SELECT *, text AS orig_text, 0 AS copy_no FROM fx)"
 _FX0_TRN = "fx0_trn AS (SELECT *, 0 AS copy_no FROM fx WHERE split = 'trn')"
 
 
-def _aug_with(cfg: ActionConfig, turns="fx0", sv="slot_values", prefix="ag", three=False, extra=()):
+def _aug_with(cfg: ActionConfig, turns="fx0", sv="slot_values", prefix="ag", three=False, extra=(), with_tags=False):
     return O.fx_vocab_with(_FX0, _SV_TRN, _FX0_TRN, *extra,
-                           *OA.augment_ctes(cfg, turns, sv, prefix, SEED, three=three))
+                           *OA.augment_ctes(cfg, turns, sv, prefix, SEED, three=three, with_tags=with_tags))
 
 
 _DEF = ActionConfig.preset("default")
@@ -871,7 +871,7 @@ ORACLE["augment_utterances"] = _aug_with(_DEF) + \
 
 
 def _tagged_with() -> str:
-    ctes = [x for n in TAGGED_CONFIGS for x in OA.augment_ctes(ActionConfig.preset(n), "fx0", "slot_values", f"t_{n}", SEED, three=True)]
+    ctes = [x for n in TAGGED_CONFIGS for x in OA.augment_ctes(ActionConfig.preset(n), "fx0", "slot_values", f"t_{n}", SEED, three=True, with_tags=True)]
     union = "\nUNION ALL ".join(f"SELECT {O.sql_str(n)} AS config_id, split, dialogue_idx, turn_idx, text, tags FROM t_{n}_out {_SEL}"
                                 for n in TAGGED_CONFIGS)
     return O.fx_vocab_with(_FX0, *ctes, f"runs AS ({union})")
@@ -1022,7 +1022,7 @@ ORACLE["disfluency_report"] = report_sql(REPORT_MULTIPLIERS)
 
 _POS_SQL = (f"array_to_string(list_transform({O.tok('text')}, lambda x: CASE WHEN x IN {_sql_in(T.PREPOSITIONS)} "
             f"THEN 'IN' WHEN x IN {_sql_in(T.DETERMINERS)} THEN 'DT' ELSE 'X' END), ' ')")
-ORACLE["disfluency_dataset"] = _aug_with(_DEF, turns="fx0_trn", sv="sv_trn", three=True) + f"""
+ORACLE["disfluency_dataset"] = _aug_with(_DEF, turns="fx0_trn", sv="sv_trn", three=True, with_tags=True) + f"""
 SELECT dialogue_idx, turn_idx, text AS utterance, array_to_string(tags, ' ') AS tags, {_POS_SQL} AS pos
 FROM ag_out WHERE agent = 'user'"""
 

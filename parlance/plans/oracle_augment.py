@@ -128,15 +128,15 @@ def _tags(pieces, mode: str) -> str:
     return ("list_concat(" + ", ".join(parts) + ")") if len(parts) > 1 else (parts[0] if parts else f"[]::{SA}")
 
 
-def _rewrite(cfg: ActionConfig, seed: int) -> str:
+def _rewrite(cfg: ActionConfig, seed: int, with_tags: bool) -> str:
     acts = cfg.actions
     live = [(k, a) for k, a in enumerate(acts) if a != "NULL" and cfg.can_fire(a)]
     T = "st.toks"
     i = "p.i"
 
     def state(toks=None, tags=None, ins=None):
-        return ("{'toks': " + (toks or T) + ", 'tags': " + (tags or "st.tags") + ", 'ins': "
-                + (ins or "st.ins") + "}")
+        tags = ", 'tags': " + (tags or "st.tags") if with_tags else ""
+        return "{'toks': " + (toks or T) + tags + ", 'ins': " + (ins or "st.ins") + "}"
 
     def per_template(a: str, tmpl: str) -> str:
         one = "[word]"
@@ -192,14 +192,15 @@ def _rewrite(cfg: ActionConfig, seed: int) -> str:
     cases = " ".join(f"WHEN {k} THEN {act(a)}" for k, a in live)
     body = f"CASE p.a {cases} ELSE st END" if live else "st"
     step = _let(f"{T}[{i} + 1]", "word", body)
-    zero = "{'toks': toks, 'tags': list_transform(toks, lambda _x: '<f/>'), 'ins': []::VARCHAR[]}"
+    first = ", 'tags': list_transform(toks, lambda _x: '<f/>')" if with_tags else ""
+    zero = "{'toks': toks" + first + ", 'ins': []::VARCHAR[]}"
     return f"list_reduce(list_reverse(full_picks), lambda st, p: {step}, {zero})"
 
 
 def augment_ctes(cfg: ActionConfig, turns: str, sv: str, prefix: str, seed: int = 273,
-                 three: bool = False, select: str = "parity") -> list[str]:
+                 three: bool = False, select: str = "parity", with_tags: bool = False) -> list[str]:
     """CTEs `{prefix}_out` with columns of `turns` (text replaced) plus selected, n_tokens,
-    picks (list of struct(i, a)), actions_str, tags, ins.  `turns` needs copy_no."""
+    picks (list of struct(i, a)), actions, ins and, if asked for, tags.  `turns` needs copy_no."""
     acts = cfg.actions
     sel_expr = ("turn_idx % 2 = 0" if select == "parity" else "agent = 'user'")
     names = "[" + ", ".join(sql_str(a) for a in acts) + "]"
@@ -226,13 +227,13 @@ def augment_ctes(cfg: ActionConfig, turns: str, sv: str, prefix: str, seed: int
   FROM (SELECT *, k.i AS i, k.a AS a FROM (SELECT * EXCLUDE (picks), unnest(picks) AS k FROM {prefix}_p WHERE len(picks) > 0)) x
        LEFT JOIN {prefix}_conf c ON x.toks[x.i + 1] = c.value GROUP BY rid)""",
         f"""{prefix}_r AS (
-  SELECT p.*, CASE WHEN len(full_picks) > 0 THEN {_rewrite(cfg, seed)} END AS rw
+  SELECT p.*, CASE WHEN len(full_picks) > 0 THEN {_rewrite(cfg, seed, with_tags)} END AS rw
   FROM (SELECT p.*, coalesce(k.full_picks, {no_picks}) AS full_picks, {pos} AS pos
         FROM {prefix}_p p LEFT JOIN {prefix}_k k USING (rid)) p)""",
         f"""{prefix}_out AS (
   SELECT * EXCLUDE (text, toks, sl, rid, rw, pos, full_picks), turn_idx AS orig_turn_idx,
          array_to_string(coalesce(rw.toks, toks), ' ') AS text,
-         coalesce(rw.tags, list_transform(toks, lambda _x: '<f/>')) AS tags,
+         {"coalesce(rw.tags, list_transform(toks, lambda _x: '<f/>')) AS tags," if with_tags else ""}
          coalesce(rw.ins, []::VARCHAR[]) AS ins,
          CASE WHEN selected THEN len(toks) ELSE 0 END AS n_tokens,
          list_transform(picks, lambda q: {{'i': q.i, 'action': {names}[q.a + 1]}}) AS actions

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -171,12 +172,11 @@ def _search_blocks(k: int):
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec array<double>): usable vectors of the table's most frequent length, one an id."""
+    """(vec_id, vec array<double>): usable vectors of every length, one an id (of rows that repeat an id the smallest
+    vector; equal rows are one)."""
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")) \
         .where(F.col("vec_id").isNotNull() & usable(F.col("vec"))).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    base = stored(vectors.sparkSession, base, "ann-vectors")
-    most = base.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return base.where(F.size("vec") == (most.d if most else 0))
+    return stored(vectors.sparkSession, base, "ann-vectors")
 
 
 def _blocks(df: DataFrame, block: Column, ids: str, vecs: str, name: str) -> DataFrame:
@@ -219,7 +219,19 @@ def recall_at_k(rows: DataFrame, queries: DataFrame, found: DataFrame, k: int =
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the best k rows for each query; both sides (vec_id, vec)."""
+    """(query_id, rank, vec_id, score) of the best k rows for each query; both sides (vec_id, vec).
+
+    An inner product needs vectors of one length: each length is searched on its own, with its own router.
+    Ties go to the smaller vec_id; a query without a candidate of its length, and empty tables, give no rows.
+    """
+    lengths = sorted(r.d for r in queries.select(F.size("vec").alias("d")).distinct().collect())
+    found = [_search_length(rows.where(F.size("vec") == d), queries.where(F.size("vec") == d), k) for d in lengths]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _search_length(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = rows.sparkSession
     sample = bounded_sample(rows, "vec_id", SAMPLE).toPandas()
     schema = "query_id long, vec_id long, score double"

@@ -3,37 +3,52 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import held_out
 
-#: Rows of each class that a classifier is fitted on, at most, and the longest text among them in
-#: bytes.  They bound the driver's part (about 60 MB at worst); scoring covers whole texts of any size.
+#: Rows of each class that a classifier is fitted on, at most; bytes of text of a class, at most; and the length of the
+#: random span that stands for a longer text.  They bound the driver's part (about 60 MB at worst);
+#: scoring covers whole texts of any size.
 SAMPLE_PER_CLASS = 3000
-SAMPLE_TEXT_BYTES = 10_000
+SAMPLE_BYTES = 24 << 20
+SPAN_CHARS = 200_000
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
-                    per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], np.ndarray]:
+                    per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of a fixed random sample of the labelled rows outside the held-out fold.
 
-    Rows are taken in the order of a hash of their id, up to `per_class` of each class; a document
-    with contradictory labels counts as labelled 1.  Rows with null ids, texts or labels are no examples.
+    Rows are taken in the order of a hash of their id, up to `per_class` rows and `most_bytes` of each
+    class (one row at least), whatever their length: texts are whole, but for a random span of those beyond
+    SPAN_CHARS characters.  A document with contradictory labels counts as labelled 1; of rows that
+    repeat an id one is taken.  Rows with null ids, texts or labels and empty texts are no examples.
     """
     key = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")) \
         .where("_id is not null and _y is not null").where(~held_out(F.col("_id"))) \
         .groupBy("_id").agg(F.max("_y").alias("_y"))
-    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")) \
-        .where(F.length("_text") > 0).where(F.octet_length("_text") <= SAMPLE_TEXT_BYTES)
-    # the ids are drawn first; they are bounded, so that the texts are found without a shuffle
-    pool = key.join(text.select("_id").distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64("_id", F.lit(5)))
-    drawn = [pool.where(F.col("_y") == y).orderBy("_h", "_id").limit(per_class) for y in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1]).select("_id", "_y").toPandas()
+    chars, at = F.length("_text"), F.pmod(F.xxhash64("_id", F.lit(9)), F.greatest(F.length("_text") - SPAN_CHARS + 1, F.lit(1)))
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") > 0) \
+        .withColumn("_text", F.when(chars > SPAN_CHARS, F.substring("_text", (at + 1).cast("int"), F.lit(SPAN_CHARS))).otherwise(F.col("_text")))
+    # the ids are drawn first: a rate by class, so that no task orders more than a bounded number of rows, then the
+    # first in the order of the hash; they are few, so that the texts are found without a shuffle
+    sizes = text.groupBy("_id").agg(F.max(F.octet_length("_text")).alias("_n"))
+    pool = key.join(sizes, "_id").withColumn("_h", F.xxhash64("_id", F.lit(5)))
+    counts = {r["_y"]: r["count"] for r in pool.groupBy("_y").count().collect()}
+    drawn = []
+    for y in (0, 1):
+        rate = min(1.0, 2.0 * per_class / max(counts.get(y, 0), 1))
+        some = pool.where(F.col("_y") == y) if rate == 1.0 else pool.where(
+            (F.col("_y") == y) & (F.pmod("_h", F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))))
+        rows = some.orderBy("_h", "_id").limit(per_class).toPandas()
+        drawn.append(rows[(rows["_n"].cumsum() <= most_bytes) | (np.arange(len(rows)) == 0)][["_id", "_y"]])
+    drawn = pd.concat(drawn)
     if not len(drawn):
         return [], np.zeros(0, int)
     want = docs.sparkSession.createDataFrame(drawn, "_id long, _y int")
-    found = text.join(F.broadcast(want), "_id").toPandas().drop_duplicates("_id").sort_values("_id")
+    found = text.join(F.broadcast(want), "_id").toPandas().sort_values(["_id", "_text"]).drop_duplicates("_id")
     return found["_text"].tolist(), found["_y"].to_numpy()
 
 

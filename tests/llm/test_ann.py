@@ -59,10 +59,24 @@ def test_odd_rows_and_ties(spark):
                                                            (120, [1.0]), (140, []), (None, [1.0, 1.0]), (40, [40.0 % 3, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, v array<float>").selectExpr("*", "1 part", "2 vec", "3 score")
     base = A.valid_vectors(df, "vec_id", "v")
-    assert base.count() == 45
+    assert base.count() == 46  # the only vector of its length has no candidate
     have = grouped(A.search(base, base.where("vec_id % 20 = 0")))
     assert have == brute([(i, v) for i, v in rows[:45]])
     few = A.valid_vectors(df.where("vec_id < 3"), "vec_id", "v")
     assert [len(v) for v in grouped(A.search(few, few.where("vec_id = 0"))).values()] == [2]
     none = A.valid_vectors(df.where("false"), "vec_id", "v")
     assert A.search(none, none).count() == 0
+
+
+def test_two_lengths(spark):
+    """A smaller part of shorter vectors is searched too, on its own."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6 if i % 5 else 3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    base = A.valid_vectors(df, "vec_id", "v")
+    have = grouped(A.search(base, base.where("vec_id % 4 = 0"), 5))
+    for size in (3, 6):
+        part = {i: np.array(v) for i, v in rows if len(v) == size}
+        for q in (i for i in part if i % 4 == 0):
+            want = sorted((-math.fsum((part[q] * w).tolist()), j) for j, w in part.items() if j != q)[:5]
+            assert have[q] == [(j, -s) for s, j in want]

@@ -6,7 +6,7 @@ one gadget: the state behind `a` is replaced by a copy without its `b` arc, and
 state behind `b` is added wherever an `a` arc left at that moment.  So each token has one state of
 its own, a copy of its right part's state, and the arcs of a state are known from the cuts of its
 right spine and from the step at which each token's arc was added (its left spine).  The arcs are
-not written out (49k x 49k); `Automaton.arc` decides one and the table keeps it.
+not written out (49k x 49k); `Automaton.has_arc` decides one and the table keeps it.
 
 Encoding reads the word's symbols once.  A second deterministic table (Aho-Corasick over the
 tokens' spellings) gives the tokens that end at each position, and exactly one of them continues
@@ -38,6 +38,7 @@ TOKENIZER = "word_bpe_49k.json"
 END = "</w>"
 #: Entries of each memo table (words, chunks) before its older half is let go.
 MEMO_ENTRIES = 150_000
+MEMO_CHARS = 64
 #: Entries of the automaton's arc table before it is emptied.
 ARC_ENTRIES = 1 << 18
 #: Length of the word beginnings whose reading is kept, and their number.
@@ -63,7 +64,8 @@ def byte_characters() -> list[str]:
 
 
 class Memo(dict):
-    """`memo[key]` computes a missing value once; two generations bound its size."""
+    """`memo[key]` computes a missing value once; two generations bound the number of entries, and longer keys
+    (MEMO_CHARS) are computed each time, so that the bytes are bounded too."""
 
     def __init__(self, make, most: int = MEMO_ENTRIES):
         super().__init__()
@@ -73,6 +75,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > MEMO_CHARS:
+            return value
         if len(self) >= self.most // 2:
             self.old = dict(self)
             self.clear()
@@ -319,7 +323,8 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) without shipping the ids back to the JVM.
 
-    Every chunk's ids are written as decimals, and decoded from its ids, once per memo entry.
+    A null or empty text has no tokens; a null id stays null; rows that repeat an id are encoded one by one; an
+    empty table gives no rows; other columns are not read.  Every chunk's ids are written as decimals, and decoded from its ids, once per memo entry.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 

@@ -139,7 +139,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; a null text scores as the empty one, whose features are 0."""
+    """(doc_id, score) of every whole text; a null text scores as the empty one, whose features are 0.  A null id stays
+    null, rows that repeat an id are scored one by one, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

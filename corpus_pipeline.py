@@ -5,7 +5,10 @@ Each stage works on all that its predecessor kept and its decisions take effect:
 and near-duplicates go, repeated lines and passages are cut out of the texts (a document whose text
 is used up stays, empty, until the near-dedup stage, where empty documents are one group), and the
 last stage returns the packed pieces.  All stages but the last return the columns of `documents`;
-`n_chars` follows the text.  Rows with null ids or texts pass through as the operators say.
+`n_chars` follows the text.  A null text counts as empty in every stage and stays null until it is
+packed.  Rows with a null id are scored and packed, but never stand for or lose to another row.  Rows that
+repeat an id are one document for line and substring dedup; of those in one near-duplicate group one
+row stays.  An empty table of documents gives no rows; extra columns go along to the last stage.
 """
 
 from __future__ import annotations

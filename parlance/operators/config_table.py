@@ -69,8 +69,9 @@ def config_table(spark: SparkSession, cfgs: Sequence[ActionConfig]) -> DataFrame
     return spark.range(1).select(F.inline(rows))
 
 
-def _sample(cfg: Column, tokens: Column) -> Column:
+def _sample(cfg: Column, tokens: Column, digests: Column) -> Column:
     """F3b with the limits and weights of the row `cfg`; array<struct<i:int,a:int>> of the drawn actions.
+    `tokens` are (type, index) of the utterance's tokens, `digests` their draws.
 
     Tokens of a type for which no action has a weight are not gone through: they draw NULL, which changes
     nothing unless NULL itself may run out (a limit below the number of tokens).
@@ -99,7 +100,7 @@ def _sample(cfg: Column, tokens: Column) -> Column:
                         F.when(fired, F.concat(st["picks"], F.array(F.struct(i.alias("i"), a.alias("a"))))).otherwise(st["picks"]).alias("picks"))
 
     return F.aggregate(elems, zero, lambda st, x: let(weights(st, x), lambda ws: let(
-        choose(ws, x["u"]), lambda a: drawn(st, a, x["i"]))))["picks"]
+        choose(ws, block_draw(digests, x["i"])), lambda a: drawn(st, a, x["i"]))))["picks"]
 
 
 def _filled(act: Column, pieces: Column, one: Column, two: Column) -> Column:
@@ -194,11 +195,11 @@ def augment_by_table(turns: DataFrame, table: DataFrame, vocab: SlotVocabulary,
                 .when(three & in_set(tok, PREPOSITIONS) & (tok != F.lit("like")), F.lit(TYPE_CODE["pp_start"]))
                 .otherwise(F.lit(TYPE_CODE["background_word"])))
 
-    def elems(c):
-        return let(uniform_blocks("_toks", *keys, purpose="action"), lambda h: F.transform("_toks", lambda tok, i: F.struct(
-            type_of(tok, i, c["three"]).alias("t"), block_draw(h, i).alias("u"), i.alias("i"))))
+    def picked(c):
+        types = F.transform("_toks", lambda tok, i: F.struct(type_of(tok, i, c["three"]).alias("t"), i.alias("i")))
+        return let(uniform_blocks("_toks", *keys, purpose="action"), lambda h: _sample(c, types, h))
 
-    drawn = let(cfg, lambda c: F.when(F.col("_sel"), _sample(c, elems(c))).otherwise(F.array().cast("array<struct<i:int,a:int>>")))
+    drawn = let(cfg, lambda c: F.when(F.col("_sel"), picked(c)).otherwise(F.array().cast("array<struct<i:int,a:int>>")))
     if not vocab.inlined:
         kinds = [KINDS.index(a) for a in VALUE_ACTIONS]
         kind_of = lambda a: F.element_at(cfg["acts"], a + 1)["kind"]

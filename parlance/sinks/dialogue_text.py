@@ -57,7 +57,8 @@ def write_dialogue_text(turns: DataFrame, path: str, key: list[str] = DIALOGUE_K
 
 def write_dialogue_files(dialogues: DataFrame, path: str) -> None:
     """One file per dialogue (name, text): `path/name=<name>/…`, as `read_dialogue_files` lists them."""
-    dialogues.select("name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    tasks = dialogues.sparkSession.sparkContext.defaultParallelism  # small files: their number counts, not their bytes
+    dialogues.select("name", F.col("text").alias("value")).repartition(tasks, "name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def write_permutation(permutation: DataFrame, path: str, separator: str = ";") -> None:

@@ -121,6 +121,10 @@ def read_dialogue_records(spark: SparkSession, paths: str | list[str]) -> DataFr
     counts = counts.groupBy(*place).agg(F.min("_first").alias("_first"), F.sum("_whole").alias("_whole"), F.max("_last").alias("_last"))
     before = Window.partitionBy("file").orderBy(F.asc_nulls_first("part"), "start").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum(F.col("_whole") + F.col("_last")).over(before), F.lit(0)))
+    # one small row per range: stored, its size is known when the join is planned, and the dialogues need not move
+    ranges = scratch_path(spark, "dialogue-counts")
+    counts.write.parquet(ranges)
+    counts = spark.read.schema(counts.schema).parquet(ranges)
     inner = whole.join(counts, place).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("dialogue_no"), "lines")
     same = [joined[c].eqNullSafe(counts[c]) for c in place]
     ends = joined.join(counts, same[0] & same[1] & same[2]).select(

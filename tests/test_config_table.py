@@ -31,11 +31,12 @@ def variant(k: int) -> ActionConfig:
 
 @pytest.mark.parametrize("inline", [10_000, 0])
 def test_equals_one_run_for_each(spark, inline):
-    turns = load_corpus(spark, SF).where("dialogue_idx < 200")
+    turns = load_corpus(spark, SF).where("dialogue_idx < 120")
     turns = turns.unionByName(turns.where("dialogue_idx < 8"))  # repeated rows
     vocab = V.SlotVocabulary.build(V.slot_values(turns), inline_values=inline)
     cfgs = [ActionConfig.preset(n) for n in list_presets()] + [variant(k) for k in range(0, 12, 3)]
     cfgs = [c for c in cfgs if not c.can_fire("multiturn_correct")]
+    cfgs = cfgs if inline else [c for c in cfgs if c.config_id in ("default", "g2018_pp_restarts_only", "v0", "v3")]
     got = CT.augment_by_table(turns, CT.config_table(spark, cfgs), vocab).select("config_id", *COLS).cache()
     assert {r.config_id for r in got.select("config_id").distinct().collect()} == {c.config_id for c in cfgs}
     for cfg in cfgs:

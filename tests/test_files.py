@@ -174,6 +174,7 @@ def test_counters_of_the_writing_job(spark, tmp_path):
     from parlance.plans import catalog as C
 
     turns = load_corpus(spark, SF_SMALL)
+    turns = turns.where("dialogue_idx < 400")
     for cfg in (C.MULTITURN_CONFIG, C.ActionConfig.preset("ablation_all")):
         aug = AU.augment_turns(turns, cfg, SlotVocabulary.build(slot_values(turns)))
         got = dict(map(tuple, DS.write_counted(aug, cfg, str(tmp_path / cfg.config_id)).collect()))

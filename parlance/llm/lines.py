@@ -4,9 +4,10 @@
    permutation of its distinct character shingles (`SHINGLE` characters), empty bins filled by
    re-hashed neighbours, folded into `BANDS` band hashes of `ROWS` bins.  Equal lines are one row
    from here on (pre-aggregated by content hash).
-2. Lines with an equal band meet in buckets of bounded size (`bounded_buckets`); the distinct member
-   sets, not pairs, go on.
-3. The texts of these lines are fetched, and each member set is verified by exact Jaccard
+2. Lines with an equal band meet in one shuffle; a task reads its bands in order and passes the distinct
+   member sets on, not pairs.  Large bands are dealt out in buckets of bounded size (`bounded_buckets`).
+3. Overlapping member sets are united to clusters, so that a line's text travels once; the texts are
+   fetched, and each cluster (or, of a large one, each member set) is verified by exact Jaccard
    similarity of the shingle sets (at least `SIMILARITY`).  A line already linked is not compared
    again, and a spanning forest of links leaves the task.
 4. Distributed union-find labels the components.  The line that stays is, of the component's lines
@@ -35,6 +36,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 BLOCK_LINES = 128
+#: Lines of a band beyond which it is dealt out in blocks; how many lines make one sampled line; most bands told beforehand.
+LARGE = 2 * BLOCK_LINES
+SAMPLED, HOT_BANDS = 64, 20_000
 NEWLINE = 10
 
 
@@ -143,24 +147,26 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted lines) -> (line, text of the line)."""
+    """Rows (text, wanted lines, the group of each) -> (group, line, text of the line)."""
     for b in batches:
-        wanted = b.column(1)
+        wanted, groups = b.column(1), b.column(2)
         for row, data, off in text_slices(b.column(0)):
             starts, ends, first = line_spans(data, off)
             h = line_ids(data, starts, ends).view(np.int64)
-            out: dict[int, bytes] = {}
+            sets, lines, texts = [], [], []
             for d in range(len(off) - 1):
-                want = set(wanted[row + d].as_py() or ())
+                want: dict[int, list[int]] = {}
+                for x, g in zip(wanted[row + d].as_py() or (), groups[row + d].as_py() or ()):
+                    want.setdefault(x, []).append(g)
                 for i in range(first[d], first[d + 1]):
                     x = int(h[i])
-                    if x in want:
-                        want.discard(x)
-                        out[x] = data[starts[i]:ends[i]].tobytes()
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(out), pa.int64()), pa.array([t.decode("utf-8", "replace") for t in out.values()])],
-                    ["line", "line_text"])
+                    for g in want.pop(x, ()):
+                        sets.append(g)
+                        lines.append(x)
+                        texts.append(data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace"))
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(lines, pa.int64()), pa.array(texts, pa.string())],
+                                                 ["set", "line", "line_text"])
 
 
 def similar_forest(texts: pa.Array, similarity: float = SIMILARITY) -> np.ndarray:
@@ -245,19 +251,103 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def line_links(spark: SparkSession, docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(u, v) verified links between distinct lines that span their components."""
+def _sets_or_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, members, band) from a partition sorted by band: the lines of each band with two of them or more; the lines
+    of a band with more than LARGE go on in pieces that name the band (no set), so that no task holds it."""
+    sets: list[int | None] = []
+    members: list[np.ndarray] = []
+    bands: list[int | None] = []
+    band, held, n, large = None, [], 0, False
+
+    def close() -> None:
+        ids = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        if large and len(ids):
+            sets.append(None), members.append(ids), bands.append(band)
+        elif len(ids) > 1:
+            sets.append(int(mix(span_hashes(ids.view(U64), np.array([0]), np.array([len(ids)])))[:1].view(np.int64)[0]))
+            members.append(ids), bands.append(None)
+
+    def out() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(bands, pa.int64())],
+                                       ["set", "members", "band"])
+        sets.clear(), members.clear(), bands.clear()
+        return b
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, line = b.column(0).to_numpy(), b.column(1).to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+        size = np.diff(np.append(starts, len(k)))
+        # bands of one line within the batch leave nothing; the first and the last may go on beyond it
+        for i in np.flatnonzero((size > 1) | (starts == 0) | (starts + size == len(k))).tolist():
+            at, m = int(starts[i]), int(size[i])
+            if band is None or k[at] != band:
+                close()
+                band, held, n, large = int(k[at]), [], 0, False
+            held.append(line[at:at + m])
+            n += m
+            if n > LARGE:
+                large = True
+                close()
+                held, n = [], 0
+        if len(sets) >= 4096:
+            yield out()
+    close()
+    if sets:
+        yield out()
+
+
+def line_sets(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(set, members): the sets of lines that share a band, each once.
+
+    All bands are shuffled once.  Bands with a large share of the lines are known beforehand from one
+    line in SAMPLED (at most HOT_BANDS of them, by the threshold), and bands that turn out large
+    are passed on by the task that meets them; only these two are counted and dealt out in blocks
+    (`bounded_buckets`).
+    """
     banded = lines.select("line", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
-    buckets = bounded_buckets(spark, banded, "band", "line", BLOCK_LINES)
-    sets = buckets.select("bucket", "line").repartition("bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(_member_sets, "set long, members array<long>").dropDuplicates(["set"])
+    least = max(16, lines.count() * BANDS // SAMPLED // HOT_BANDS)
+    hot = stored(spark, banded.where(F.pmod(F.xxhash64("line", F.lit(21)), F.lit(SAMPLED)) == 0).groupBy("band").count()
+                 .where(F.col("count") > least).select("band", F.lit(True).alias("hot")), "hot-bands")
+    told = banded.join(F.broadcast(hot), "band", "left")
+    found = stored(spark, told.where("hot is null").select("band", "line").repartition("band").sortWithinPartitions("band")
+                   .mapInArrow(_sets_or_large, "set long, members array<long>, band long"), "band-sets")
+    large = found.where("band is not null").select("band", F.explode("members").alias("line")).unionByName(
+        told.where("hot").select("band", "line"))
+    blocks = bounded_buckets(spark, large, "band", "line", BLOCK_LINES).select("bucket", "line") \
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_member_sets, "set long, members array<long>")
+    return found.where("band is null").select("set", "members").unionByName(blocks).dropDuplicates(["set"])
+
+
+def verify_groups(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(set, line): stored groups of lines to verify.
+
+    Lines that share sets share many of them, and a line's text should travel once: sets are united to clusters
+    by distributed union-find (star links, before anything is verified), and a cluster of at most
+    LARGE lines is one group.  The sets of larger clusters are groups themselves.
+    """
     member = stored(spark, sets.select("set", F.explode("members").alias("line")), "line-sets")
-    wanted = lines.select("line", "doc_id").join(member.select("line").distinct(), "line", "left_semi") \
-        .groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("wanted"))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted") \
-        .mapInArrow(_texts_of_lines, "line long, line_text string").dropDuplicates(["line"])
-    return member.join(texts, "line").repartition("set").sortWithinPartitions("set", "line") \
-        .mapInArrow(_verify, "u long, v long")
+    star = sets.select(F.explode(F.transform("members", lambda x: F.struct(x.alias("u"), F.element_at("members", 1).alias("v")))).alias("e"))
+    cluster = connected_components(spark, star.select("e.u", "e.v"))
+    cluster = stored(spark, cluster.select(F.col("node").alias("line"), "root"), "line-clusters")
+    small_ = cluster.groupBy("root").count().where(F.col("count") <= LARGE).select("root")
+    small_ = stored(spark, cluster.join(small_, "root").select(F.col("root").alias("set"), "line"), "line-groups")
+    return small_.unionByName(member.join(small_.select("line"), "line", "left_anti").select("set", "line"))
+
+
+def line_links(spark: SparkSession, docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(u, v) verified links between distinct lines that span their components.
+
+    The home document of each line is told which groups want it, so that texts are shuffled to their
+    groups at once.  Documents that repeat an id send a line twice; it links with itself then.
+    """
+    member = verify_groups(spark, stored(spark, line_sets(spark, lines), "line-set-lists"))
+    wanted = lines.select("line", "doc_id").join(member, "line") \
+        .groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("wanted"), F.collect_list("set").alias("sets"))
+    return docs.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted", "sets") \
+        .mapInArrow(_texts_of_lines, "set long, line long, line_text string").repartition("set").sortWithinPartitions("set", "line") \
+        .mapInArrow(_verify, "u long, v long").where("u <> v")
 
 
 def _rebuild(keep_text: bool):

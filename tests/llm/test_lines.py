@@ -134,3 +134,41 @@ def test_similar_pairs_is_exact():
         lines += [a, "".join(b)]
     want = [len(x & y) >= 0.8 * len(x | y) for x, y in zip(map(shingles, lines[::2]), map(shingles, lines[1::2]))]
     assert L.similar_pairs(pa.array(lines)).tolist() == want and 20 < sum(want) < 290
+
+
+def bands_of(spark, rows):
+    return spark.createDataFrame(rows, "line long, doc_id long, " + ", ".join(f"b{i} long" for i in range(L.BANDS)))
+
+
+def test_sets_of_small_and_large_bands(spark, monkeypatch):
+    """Every two lines of one band meet in some set, whatever the band's size and however it was told to be large."""
+    rng = random.Random(6)
+    rows = [(i + 1, i, *(rng.choice([7, 8 + i % 40, 1000 + i]) if k % 2 else 10_000 * k + i // 300 for k in range(L.BANDS))) for i in range(900)]
+    lines = bands_of(spark, rows).repartition(5)
+    want = {}
+    for line, _, *bands in rows:
+        for b in bands:
+            want.setdefault(b, set()).add(line)
+    pairs = {(a, b) for g in want.values() for a in g for b in g if a < b}
+    monkeypatch.setattr(L, "BLOCK_LINES", 16)
+    for sampled, large in ((2, 10_000), (1 << 40, 32), (8, 64)):
+        monkeypatch.setattr(L, "SAMPLED", sampled)
+        monkeypatch.setattr(L, "LARGE", large)
+        sets = [r.members for r in L.line_sets(spark, lines).collect()]
+        assert {(a, b) for m in sets for a in m for b in m if a < b} == pairs
+        if large < 10_000:
+            assert max(map(len, sets)) <= 3 * large
+    assert L.line_sets(spark, lines.limit(0)).collect() == []
+
+
+def test_large_clusters_are_verified_by_sets(docs_of, monkeypatch):
+    """A chain of lines, each near-equal to the next: one component, whether its sets are united or not."""
+    words = [f"word{i:03d}" for i in range(90)]
+    docs = [(i, " ".join(words[i:i + 40])) for i in range(50)] + [(100 + i, f"another line of its own, number {i * i * 7919}") for i in range(50)]
+    want = brute(docs)
+    for large in (10_000, 4):
+        monkeypatch.setattr(L, "LARGE", large)
+        monkeypatch.setattr(L, "BLOCK_LINES", max(2, large // 2))
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in L.line_digests(docs_of(docs)).collect()}
+        assert got == want
+    assert sum(v[1] for v in want.values()) >= 49

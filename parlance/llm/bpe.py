@@ -75,7 +75,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) > MEMO_CHARS:
+        if isinstance(key, str) and len(key) > MEMO_CHARS:
             return value
         if len(self) >= self.most // 2:
             self.old = dict(self)

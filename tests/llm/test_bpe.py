@@ -85,3 +85,8 @@ def test_memo_is_bounded():
     m = B.Memo(lambda k: k + 1, 10)
     assert [m[i] for i in range(100)] == [i + 1 for i in range(100)] and m[3] == 4
     assert len(m) + len(m.old) <= 11
+
+
+def test_long_chunks_are_not_kept():
+    memo = B.Memo(len)
+    assert memo["x" * 1000] == 1000 and memo["y" * 64] == 64 and list(memo) == ["y" * 64] and not memo.old

@@ -12,7 +12,6 @@ Tasks hold one open sequence and one Arrow batch.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,6 @@ SEQUENCE = 2048
 END_ID = 1
 BUCKETS = 64
 DIMS, BITS = 4, 12
-#: Chunk memo of a packing worker (about 200 bytes an entry).
-MEMO_ENTRIES = 400_000
 
 _DIRECTIONS = np.random.default_rng(11).standard_normal((BUCKETS, DIMS))
 
@@ -153,8 +150,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         enter("packing")
         c = bpe.codec(spec.value)
-        memo = c.memo("packing", lambda chunk: array("I", c.chunk_ids(chunk)).tobytes(), MEMO_ENTRIES)
-        tail = np.array([END_ID], np.uint32).tobytes()
+        tail = np.array([END_ID], np.uint32)
         p = Packer(TaskContext.get().partitionId() << 40, size)
 
         def full(at_least: int) -> Iterator[pa.RecordBatch]:
@@ -164,10 +160,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 p.rows.clear()
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = b"".join(map(memo.__getitem__, c.chunks(text.as_py() or "")))
-                p.add(doc_id, np.frombuffer(raw + tail, np.uint32))
-                yield from full(2000)
+            doc_ids = iter(b.column(0).to_pylist())
+            for texts in bpe.slices(b.column(1)):
+                ids, edges = c.encode_texts(texts)
+                for a, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    p.add(next(doc_ids), np.concatenate([ids[a:e].view(np.uint32), tail]))
+                    yield from full(2000)
         p.finish()
         yield from full(0)
 

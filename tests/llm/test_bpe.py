@@ -81,12 +81,27 @@ def test_odd_rows_and_general_interface(spark, docs_of):
     assert B.round_trip_digests(docs_of([])).count() == 0
 
 
-def test_memo_is_bounded():
-    m = B.Memo(lambda k: k + 1, 10)
-    assert [m[i] for i in range(100)] == [i + 1 for i in range(100)] and m[3] == 4
-    assert len(m) + len(m.old) <= 11
-
-
-def test_long_chunks_are_not_kept():
-    memo = B.Memo(len)
-    assert memo["x" * 1000] == 1000 and memo["y" * 64] == 64 and list(memo) == ["y" * 64] and not memo.old
+def test_long_words_and_slices(codec):
+    """Words read alone, many words read together and texts encoded in slices give the library's ids."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aeioustrn") for _ in range(n)) for n in (63, 64, 65, 66, 500, 3000)]
+    texts += [" ".join("".join(rng.choice("abeiourstnéß,'") for _ in range(rng.randint(1, 12))) for _ in range(9000)),
+              "", "<|startoftext|>x<|endoftext|><|endoftext|> <|ENDOFTEXT|> ΑΣ", "日本" * 40 + " \x0b\x85a\u2003b"]
+    ids, edges = codec.encode_texts(texts)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [ids_of(t) for t in texts]
+    for most in (1, 100, 10**9):
+        parts = list(B.slices(B.pa.array([*texts, None]), most))
+        assert [t for p in parts for t in p] == [*texts, ""]
+        assert all(sum(map(len, p[:-1])) < most for p in parts)
+
+
+def test_compiled_arcs_equal_the_gadgets(codec):
+    """Arcs decided many at a time from the arrays, and from the table, are those of the gadget rule."""
+    rng, auto = random.Random(4), codec.automaton
+    tokens = list(auto.base) + list(auto.parts)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)] + list(auto.merge_step)[:3000]
+    pairs += [(a, b) for (a, _), (_, b) in zip(list(auto.merge_step)[:2000], list(auto.merge_step)[5:2005])]
+    state, token = (B.np.array(x, B.np.int64) for x in zip(*pairs))
+    want = [auto.has_arc(a, b, 1 << 30) for a, b in pairs]
+    assert auto.arcs(state, token).tolist() == want and auto.arcs(state, token).tolist() == want
+    assert any(want) and not all(want)

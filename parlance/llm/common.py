@@ -147,22 +147,28 @@ def forest(n: int, linked) -> np.ndarray:
 
 # --- distributed union-find ---------------------------------------------------------------------
 
+def with_smallest(spark: SparkSession, edges: DataFrame, end: str, how: str = "inner") -> DataFrame:
+    """`edges(a, b)` with `m`, the smallest neighbour b of the node at the given end."""
+    low = stored(spark, edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")), "cc-low")
+    return edges.join(low, F.col(end) == F.col("x"), how)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges(u, v)`; root is the smallest node it reaches.
 
-    Alternates two contractions, each a pre-aggregated minimum and a join that AQE may split:
+    Alternates two contractions, each a pre-aggregated minimum and a join:
     every edge a -> b (b < a) is redirected to b's smallest neighbour, then the smaller
-    neighbours of each node are hung below the smallest of them.  The edges end as stars.  Each
-    round is a written table, so a lost executor costs one round at most.
+    neighbours of each node are hung below the smallest of them.  The edges end as stars.  The
+    minima are written before they are joined: AQE splits the edges of a hub only where both sides
+    of the join are plain shuffles.  Each half round is a written table, so a lost executor costs
+    one of them at most.
     """
     e = stored(spark, edges.where("u <> v").select(
         F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "cc")
     before = None
     while True:
-        low = e.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m"))
-        jumped = e.join(low, F.col("b") == F.col("x"), "left").select("a", F.coalesce("m", "b").alias("b"))
-        low2 = jumped.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m"))
-        hung = jumped.join(low2, F.col("a") == F.col("x")).select(
+        jumped = stored(spark, with_smallest(spark, e, "b", "left").select("a", F.coalesce("m", "b").alias("b")), "cc")
+        hung = with_smallest(spark, jumped, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = stored(spark, hung.select("e.a", "e.b").where("a <> b").distinct(), "cc")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import is_api_call, tokenize
+from ..session import scratch_path
 
 
 def corpus_stats(turns: DataFrame, by: str = "split") -> DataFrame:
@@ -76,13 +77,16 @@ def infrequent_turns(turns: DataFrame, agent: str = "user", q: float = 0.95,
                      by: str = "split") -> DataFrame:
     """Turns of `agent` whose text frequency is strictly below the group's percentile.
 
-    The frequent side (freq >= threshold) is the top tail of distinct texts; it is
-    anti-joined, and AQE splits a hot text's partition if the join is not broadcast.
+    The frequent side (freq >= threshold) is the top tail of distinct texts.  It is stored: its size is then
+    known when the anti-join is planned, so that it is broadcast where it is small; where it is not, both
+    sides are plain shuffles and AQE splits a hot text's partition, which one task would have to sort else.
     """
     freq = text_frequency(turns, agent, by)
     thr = frequency_percentile(freq, q, by)
-    frequent = (freq.join(thr, by).where(F.col("freq") >= F.col("threshold"))
-                .select(by, "text"))
+    path = scratch_path(turns.sparkSession, "frequent-texts")
+    frequent = freq.join(thr, by).where(F.col("freq") >= F.col("threshold")).select(by, "text")
+    frequent.write.parquet(path)
+    frequent = turns.sparkSession.read.schema(frequent.schema).parquet(path)
     return turns.where(F.col("agent") == agent).join(frequent, [by, "text"], "left_anti")
 
 

@@ -7,8 +7,8 @@ chunk; the chunks' pooled features are averaged over the text, and a logistic la
 means into one probability.  A filter is a table of one weight per tap and symbol, so a response is
 a sum of table look-ups.
 
-The network is fitted on the driver from a bounded sample (`labelled.SAMPLE_PER_CLASS`) and
-broadcast (0.3 MB); texts are scored whole, in slices.
+The network (0.3 MB) is fitted on all labelled rows by `labelled.fit_on_all` and broadcast; texts are scored
+whole, in slices.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import held_out, read_table, text_slices, word_hashes, words
-from parlance.llm.labelled import Adam, sigmoid, training_sample
+from parlance.llm.labelled import Adam, Examples, fit_on_all, sigmoid
 
 SYMBOLS, TAPS, FILTERS, STRIDE, CHUNK = 512, 6, 12, 2, 128
 EPOCHS, MIN_STEPS, BATCH, RATE = 3, 150, 48, 0.01
 THRESHOLD = 0.3
-PER_CLASS = 1500
 
 
 def symbols_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -113,29 +112,35 @@ class Network:
         g["taps"] = flat.reshape(TAPS, SYMBOLS, FILTERS).astype(np.float32) + 1e-5 * self.p["taps"]
         return g
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 4) -> "Network":
+    sparse = ()
+
+    def state(self) -> dict[str, np.ndarray]:
+        """What the shards of a fit average."""
+        return self.p
+
+    def learn(self, texts: pa.Array, y: np.ndarray, share: float, seed: int = 4) -> None:
+        """Descends over the texts in batches, EPOCHS times or more where they are few."""
         rng = np.random.default_rng(seed)
-        prepared = [symbols_of(d, o) for _, d, o in text_slices(pa.array(texts, pa.string()), 1)]
-        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        order, opt = rng.permutation(len(texts)), Adam(self.p, RATE)
+        prepared = [symbols_of(d, o).astype(np.int16) for i in range(len(texts)) for _, d, o in text_slices(texts.slice(i, 1))]
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        order, opt = rng.permutation(len(y)), Adam(self.p, RATE)
         for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(order)))):
             for a in range(0, len(order), BATCH):
                 part = order[a:a + BATCH]
                 off = np.concatenate(([0], np.cumsum([len(prepared[i]) for i in part])))
-                opt.step(self.gradients(np.concatenate([prepared[i] for i in part]), off, y[part], weight[part]))
+                opt.step(self.gradients(np.concatenate([prepared[i] for i in part]).astype(np.int32), off, y[part], weight[part]))
             rng.shuffle(order)
-        return self
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return sigmoid(self.forward(symbols_of(data, off), off).astype(np.float64))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | float:
-    """A fitted network; a constant score where the sample lacks a class (1.0 without any labels)."""
-    texts, y = training_sample(docs, labels, "quality", id_col, text_col, PER_CLASS)
-    if not len(y) or y.min() == y.max():
-        return 1.0 if not len(y) or y.max() == 1 else 0.0
-    return Network().fit(texts, y)
+    """A network fitted on all labelled rows; a constant score where they lack a class (1.0 without any labels)."""
+    examples = Examples.of(docs, labels, "quality", id_col, text_col)
+    if len(examples.counts) < 2:
+        return 0.0 if examples.only_label == 0 else 1.0
+    return fit_on_all(Network(), examples)
 
 
 def score_quality(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

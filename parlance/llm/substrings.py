@@ -272,8 +272,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> tu
     marked = stored(spark, marked.withColumn("uid", F.monotonically_increasing_id()), "substring-candidates")
     hashed = marked.where(F.size("windows") > 0).select("uid", "doc_id", "text", "windows") \
         .mapInArrow(_window_hashes, "h1 long, h2 long, uid long, doc_id long, pos int")
-    first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    again = hashed.join(first.select("h1", "h2", "lo"), ["h1", "h2"]).where("lo < doc_id")
+    # the join alone tells a window that repeats, so that its last document is not shuffled beside the first
+    first = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"))
+    again = hashed.join(first, ["h1", "h2"]).where("lo < doc_id")
     return marked, again.groupBy("uid").agg(F.collect_list("pos").alias("starts"))
 
 

@@ -103,3 +103,11 @@ def test_odd_rows(spark, docs_of):
     assert texts == [(0, passage), (2, "head\n" + passage), (5, ""), (5, "tail"), (9, ""), (10, ""), (11, long),
                      (12, "end  x"), (20, "  keep \n this  ")]
     assert S.substring_digests(docs_of([])).count() == 0
+
+
+def test_windows_are_shuffled_without_their_last_document(docs_of):
+    passage = " ".join(f"w{i}" for i in range(60))
+    got = S.substring_digests(docs_of([(1, passage), (2, "x " + passage + " y"), (3, "z")]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "min(doc_id" in plan and "max(doc_id" not in plan
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 60, 3: 0}

@@ -6,10 +6,11 @@
    from here on (pre-aggregated by content hash).
 2. Lines with an equal band meet in one shuffle; a task reads its bands in order and passes the distinct
    member sets on, not pairs.  Large bands are dealt out in buckets of bounded size (`bounded_buckets`).
-3. Overlapping member sets are united to clusters, so that a line's text travels once; the texts are
-   fetched, and each cluster (or, of a large one, each member set) is verified by exact Jaccard
-   similarity of the shingle sets (at least `SIMILARITY`).  A line already linked is not compared
-   again, and a spanning forest of links leaves the task.
+3. The members of a set are compared by their sketches (`SKETCH_BITS` bits of each bin) first: two lines of
+   which fewer than `LEAST_EQUAL` bins are equal are not near-equal.  What is left is united to clusters,
+   so that a line's text travels once; the texts are fetched, and each cluster (or, of a large one, its
+   part of each member set) is verified by exact Jaccard similarity of the shingle sets (at least
+   `SIMILARITY`).  A line already linked is not compared again, and a spanning forest of links leaves the task.
 4. Distributed union-find labels the components.  The line that stays is, of the component's lines
    in the document with the smallest id, the first one.
 
@@ -22,19 +23,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import (BYTE_CODES, SPACE, U64, bounded_buckets, connected_components, enter, forest, mix,
+from parlance.llm.common import (BYTE_CODES, SPACE, U64, bounded_buckets, connected_components, discard, enter, forest, mix,
                                  put_back, read_table, rest_of, small, span_hashes, stored, streamed_groups, text_slices)
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
+#: A sketch is so many bits of each bin.  Two lines at the threshold that share a band have 39.8 equal bins on average, with a
+#: standard deviation of 2.6: they fall below LEAST_EQUAL about three times in a million (the bands miss two in a thousand).
+SKETCH_BITS, LEAST_EQUAL = 4, 27
+SKETCH = [f"s{i}" for i in range(BINS * SKETCH_BITS // 64)]
 BLOCK_LINES = 128
 #: Lines of a band beyond which it is dealt out in blocks; how many lines make one sampled line; most bands told beforehand.
 LARGE = 2 * BLOCK_LINES
@@ -72,8 +78,8 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return span_hashes(BYTE_CODES[1][data], bound[k], bound[np.minimum(k + SHINGLE, b[line])], 1), line
 
 
-def band_hashes(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """(n_lines x BANDS) band hashes from all lines' shingle hashes."""
+def signatures(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """(n_lines x BINS) smallest values of the bins from all lines' shingle hashes."""
     empty = np.iinfo(np.uint64).max
     sig = np.full(n_lines * BINS, empty, U64)
     cell = line * BINS + ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)
@@ -95,14 +101,40 @@ def band_hashes(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
         if full.any():
             sig[todo[full]] = fill[full]
             todo, have, fill, hole = todo[~full], have[~full], fill[~full], hole[~full]
-    out = np.zeros((n_lines, BANDS), U64)
+    return sig
+
+
+def band_hashes(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """(n_lines x BANDS) band hashes from all lines' shingle hashes."""
+    return bands_of_bins(signatures(h, line, n_lines))
+
+
+def bands_of_bins(sig: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sig), BANDS), U64)
     for r in range(ROWS):
         out = mix(out * U64(31) + sig[:, r::ROWS] + U64(r + 1))
     return mix(out + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(n_lines x len(SKETCH)) words of SKETCH_BITS bits of each bin."""
+    per = 64 // SKETCH_BITS
+    out = np.zeros((len(sig), len(SKETCH)), U64)
+    for k in range(per):
+        out |= (sig[:, k::per] & U64((1 << SKETCH_BITS) - 1)) << U64(SKETCH_BITS * k)
+    return out.view(np.int64)
+
+
+def equal_bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bins of two sketches (rows of U64 words, in step) are equal."""
+    x = a ^ b
+    for s in (1, 2):
+        x |= x >> U64(s)
+    return BINS - np.bitwise_count(x & U64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, doc_id, b0 ..) of every distinct non-blank line of each slice of documents."""
+    """(line, doc_id, b0 .., s0 ..) of every distinct non-blank line of each slice of documents."""
     enter("lines")
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -115,15 +147,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(keep):
                 continue
             sh, line = shingle_hashes(data, starts[keep], ends[keep])
-            bands = band_hashes(sh, line, len(keep))
+            sig = signatures(sh, line, len(keep))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep].view(np.int64)), pa.array(doc[keep]), *(pa.array(x) for x in bands.T.copy())],
-                ["line", "doc_id", *(f"b{i}" for i in range(BANDS))])
+                [pa.array(h[keep].view(np.int64)), pa.array(doc[keep]),
+                 *(pa.array(x) for x in (*bands_of_bins(sig).T.copy(), *sketches(sig).T.copy()))],
+                ["line", "doc_id", *(f"b{i}" for i in range(BANDS)), *SKETCH])
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(line, doc_id, b0 ..): each distinct line of docs(doc_id, text) with its smallest document."""
-    bands = [f"b{i}" for i in range(BANDS)]
+    """(line, doc_id, b0 .., s0 ..): each distinct line of docs(doc_id, text) with its smallest document."""
+    bands = [*(f"b{i}" for i in range(BANDS)), *SKETCH]
     rows = docs.where("doc_id is not null").mapInArrow(
         _sign, "line long, doc_id long, " + ", ".join(f"{b} long" for b in bands))
     return rows.groupBy("line").agg(F.min("doc_id").alias("doc_id"), *(F.min(b).alias(b) for b in bands))
@@ -254,52 +287,94 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_or_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set, members, band) from a partition sorted by band: the lines of each band with two of them or more; the lines
     of a band with more than LARGE go on in pieces that name the band (no set), so that no task holds it."""
-    sets: list[int | None] = []
-    members: list[np.ndarray] = []
-    bands: list[int | None] = []
-    band, held, n, large = None, [], 0, False
-
-    def close() -> None:
-        ids = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        if large and len(ids):
-            sets.append(None), members.append(ids), bands.append(band)
-        elif len(ids) > 1:
-            sets.append(int(mix(span_hashes(ids.view(U64), np.array([0]), np.array([len(ids)])))[:1].view(np.int64)[0]))
-            members.append(ids), bands.append(None)
-
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(bands, pa.int64())],
-                                       ["set", "members", "band"])
-        sets.clear(), members.clear(), bands.clear()
-        return b
+    held, large = (np.zeros(0, np.int64),) * 2, None    # the band left open by the last batch, and the large one it is part of
+
+    def out(k: np.ndarray, line: np.ndarray) -> pa.RecordBatch | None:
+        """Of whole bands (or pieces of large ones), adjacent: those with two lines or more."""
+        first = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
+        size = np.diff(np.append(first, len(k)))
+        piece = (size > LARGE) | (k[first] == large if large is not None else False)
+        some = (size > 1) | piece
+        if not some.any():
+            return None
+        is_large, some = piece[some], np.repeat(some, size)
+        k, line = k[some], line[some]
+        new = np.diff(k, prepend=k[0] - 1) != 0
+        order = np.lexsort((line, np.cumsum(new)))
+        line = line[order]
+        once = new | (np.diff(line, prepend=line[0] - 1) != 0)      # equal lines of a band count once
+        k, line, new = k[once], line[once], new[once]
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(k))
+        ids = mix(span_hashes(line.view(U64), first, ends)).view(np.int64)
+        members = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)).astype(np.int32)), pa.array(line))
+        b = pa.RecordBatch.from_arrays([pa.array(ids, mask=is_large), members, pa.array(k[first], mask=~is_large)], ["set", "members", "band"])
+        return b.filter(pa.array(is_large | (ends - first > 1)))
 
     for b in batches:
         if not b.num_rows:
             continue
-        k, line = b.column(0).to_numpy(), b.column(1).to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
-        size = np.diff(np.append(starts, len(k)))
-        # bands of one line within the batch leave nothing; the first and the last may go on beyond it
-        for i in np.flatnonzero((size > 1) | (starts == 0) | (starts + size == len(k))).tolist():
-            at, m = int(starts[i]), int(size[i])
-            if band is None or k[at] != band:
-                close()
-                band, held, n, large = int(k[at]), [], 0, False
-            held.append(line[at:at + m])
-            n += m
-            if n > LARGE:
-                large = True
-                close()
-                held, n = [], 0
-        if len(sets) >= 4096:
-            yield out()
-    close()
-    if sets:
-        yield out()
+        k, line = (np.concatenate((h, b.column(i).to_numpy())) for i, h in enumerate(held))
+        last = int(np.searchsorted(k, k[-1]))
+        if len(k) - last > LARGE or k[-1] == large:    # a piece of a large band goes on at once
+            last = len(k)
+        if last:
+            found = out(k[:last], line[:last])
+            if found is not None:
+                yield found
+        large = int(k[-1]) if last == len(k) else None
+        held = k[last:], line[last:]
+    if len(held[0]):
+        found = out(*held)
+        if found is not None:
+            yield found
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) links between the lines of each set of a partition sorted by set, (set, line, s0 ..), that are near by their sketches."""
+    u, v = [], []
+
+    def near(lines: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        ok = equal_bins(words[i], words[j]) >= LEAST_EQUAL
+        u.append(lines[i[ok]])
+        v.append(lines[j[ok]])
+
+    held = None
+    for b in chain(batches, (None,)):
+        if b is not None and not b.num_rows:
+            continue
+        t = [np.zeros(0, np.int64)] * b.num_columns if b is not None and held is None else held
+        if b is not None:
+            t = [np.concatenate((h, c.to_numpy())) for h, c in zip(t, b.columns)]
+        if t is None or not len(t[0]):
+            continue
+        k = t[0]
+        end = int(np.searchsorted(k, k[-1])) if b is not None else len(k)
+        held = [c[end:] for c in t]
+        lines, words = t[1][:end], np.stack([c[:end] for c in t[2:]], axis=1).view(U64)
+        first = np.flatnonzero(np.diff(k[:end], prepend=k[0] - 1))
+        size = np.diff(np.append(first, end))
+        for d in range(1, 8):       # small sets pair by pair, all of them at once
+            i = np.flatnonzero(np.repeat(size <= 8, size))
+            i = i[i + d < end]
+            i = i[k[i + d] == k[i]]
+            if len(i):
+                near(lines, words, i, i + d)
+        for a, m in zip(first[size > 8].tolist(), size[size > 8].tolist()):
+            w = words[a:a + m]
+            root = forest(m, lambda i, rest, w=w: equal_bins(w[i], w[rest]) >= LEAST_EQUAL)
+            hit = np.flatnonzero(root != np.arange(m))
+            u.append(lines[a + root[hit]])
+            v.append(lines[a + hit])
+        if sum(map(len, u)) > 1 << 15:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            u, v = [], []
+    if any(map(len, u)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
 def line_sets(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(set, members): the sets of lines that share a band, each once.
+    """Stored (set, members): the sets of lines that share a band, each once.
 
     All bands are shuffled once.  Bands with a large share of the lines are known beforehand from one
     line in SAMPLED (at most HOT_BANDS of them, by the threshold), and bands that turn out large
@@ -317,32 +392,41 @@ def line_sets(spark: SparkSession, lines: DataFrame) -> DataFrame:
         told.where("hot").select("band", "line"))
     blocks = bounded_buckets(spark, large, "band", "line", BLOCK_LINES).select("bucket", "line") \
         .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_member_sets, "set long, members array<long>")
-    return found.where("band is null").select("set", "members").unionByName(blocks).dropDuplicates(["set"])
+    sets = stored(spark, found.where("band is null").select("set", "members").unionByName(blocks).dropDuplicates(["set"]), "line-set-lists")
+    discard(found)
+    return sets
+
+
+def near_links(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links between lines that share a set and are near by their sketches; they span what is near."""
+    member = sets.select("set", F.explode("members").alias("line"))
+    return member.join(lines.select("line", *SKETCH), "line").select("set", "line", *SKETCH) \
+        .repartition("set").sortWithinPartitions("set").mapInArrow(_near_members, "u long, v long")
 
 
-def verify_groups(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """(set, line): stored groups of lines to verify.
+def verify_groups(spark: SparkSession, lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, line): groups of lines to verify.
 
-    Lines that share sets share many of them, and a line's text should travel once: sets are united to clusters
-    by distributed union-find (star links, before anything is verified), and a cluster of at most
-    LARGE lines is one group.  The sets of larger clusters are groups themselves.
+    Lines that share sets share many of them, and a line's text should travel once: lines that are near by their
+    sketches are united to clusters by distributed union-find, and a cluster of at most LARGE lines is
+    one group.  Of larger clusters the lines of each set are groups themselves.
     """
-    member = stored(spark, sets.select("set", F.explode("members").alias("line")), "line-sets")
-    star = sets.select(F.explode(F.transform("members", lambda x: F.struct(x.alias("u"), F.element_at("members", 1).alias("v")))).alias("e"))
-    cluster = connected_components(spark, star.select("e.u", "e.v"))
+    cluster = connected_components(spark, near_links(lines, sets))
     cluster = stored(spark, cluster.select(F.col("node").alias("line"), "root"), "line-clusters")
-    small_ = cluster.groupBy("root").count().where(F.col("count") <= LARGE).select("root")
-    small_ = stored(spark, cluster.join(small_, "root").select(F.col("root").alias("set"), "line"), "line-groups")
-    return small_.unionByName(member.join(small_.select("line"), "line", "left_anti").select("set", "line"))
+    size = cluster.groupBy("root").count()
+    whole = cluster.join(size.where(F.col("count") <= LARGE).select("root"), "root").select(F.col("root").alias("set"), "line")
+    large = cluster.join(size.where(F.col("count") > LARGE).select("root"), "root").select("line", "root")
+    parts = sets.select("set", F.explode("members").alias("line")).join(large, "line") \
+        .select(F.xxhash64("set", "root").alias("set"), "line")
+    return stored(spark, whole.unionByName(parts), "line-groups")
 
 
-def line_links(spark: SparkSession, docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(u, v) verified links between distinct lines that span their components.
+def line_links(spark: SparkSession, docs: DataFrame, lines: DataFrame, member: DataFrame) -> DataFrame:
+    """(u, v) verified links between distinct lines that span their components; `member(set, line)` are the groups to verify.
 
     The home document of each line is told which groups want it, so that texts are shuffled to their
     groups at once.  Documents that repeat an id send a line twice; it links with itself then.
     """
-    member = verify_groups(spark, stored(spark, line_sets(spark, lines), "line-set-lists"))
     wanted = lines.select("line", "doc_id").join(member, "line") \
         .groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("wanted"), F.collect_list("set").alias("sets"))
     return docs.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted", "sets") \
@@ -390,8 +474,12 @@ def _rebuild(keep_text: bool):
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs(doc_id, text): (stored distinct lines, (line, component) of lines with near-equals)."""
     spark = docs.sparkSession
-    lines = stored(spark, signed_lines(docs), "lines")
-    cc = connected_components(spark, line_links(spark, docs, lines))
+    signed = stored(spark, signed_lines(docs), "signed-lines")
+    sets = line_sets(spark, signed)
+    member = verify_groups(spark, signed, sets)
+    lines = stored(spark, signed.select("line", "doc_id"), "lines")
+    discard(signed, sets)
+    cc = connected_components(spark, line_links(spark, docs, lines, member))
     return lines, cc.select(F.col("node").alias("line"), F.col("root").alias("component"))
 
 

@@ -37,3 +37,20 @@ def test_slices_and_resuming(spark, tmp_path, monkeypatch):
     calls = []
     monkeypatch.setattr(DS, "augment_turns", lambda *a, **k: calls.append(1))
     assert run(tmp_path / "b", 2) == want and not calls  # all slices are there
+
+
+def test_texts_without_triggers_are_not_split(spark):
+    """Only texts with the letters of a trigger's first word are split; counts are those of the single kinds."""
+    cfg, vocab = ActionConfig.preset("default"), SlotVocabulary({"rome": [0], "paris": [0]})
+    texts = ["uhm in rome", "well yes", "paris oh no rome please", "in rome", "uhm yeah sorry", "uhm sorry", "", None, "normal northern oh", "rome  no\u00a0paris now"]
+    rows = [(a, x) for x in texts for a in ("user", "system", None)]
+    turns = spark.createDataFrame(rows, "agent string, text string")
+    report = DS.disfluency_report(turns.withColumn("corpus", F.lit("c")), cfg, vocab)
+    row = report.first().asDict()
+    assert row["n_turns"] == 30 and row["n_user_turns"] == 10
+    for k in DS.KINDS:
+        one = DS.count_disfluencies(turns, cfg, vocab, k).first()
+        assert (row[f"n_{k}"], row[f"turns_{k}"]) == (one.n_triggers, one.n_turns)
+    assert row["n_hesitate"] == 2 and row["n_correct"] == 3
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.split("Generate")[1].split("\n", 1)[1] and "_told" in plan

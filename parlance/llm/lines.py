@@ -46,6 +46,8 @@ BLOCK_LINES = 128
 LARGE = 2 * BLOCK_LINES
 SAMPLED, HOT_BANDS = 64, 20_000
 NEWLINE = 10
+#: Shared shingles that are counted in one matrix product.
+COLUMNS = 2048
 
 
 def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,15 +214,18 @@ def similar_forest(texts: pa.Array, similarity: float = SIMILARITY) -> np.ndarra
     all_, owner = np.concatenate(shingles), np.repeat(np.arange(len(size)), size)
     order = np.argsort(all_, kind="stable")
     all_, owner = all_[order], owner[order]
-
-    def linked(i: int, rest: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(all_, shingles[i]), np.searchsorted(all_, shingles[i], "right")
-        n = hi - lo
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        common = np.bincount(owner[at], minlength=len(size))[rest]
-        return common >= similarity * (size[i] + size[rest] - common)
-
-    return forest(len(size), linked)
+    # shingles of one line only are common to none
+    first = np.flatnonzero(np.diff(all_, prepend=all_[0] - U64(1)))
+    n = np.diff(np.append(first, len(all_)))
+    shared, owner = np.repeat(np.arange((n > 1).sum()), n[n > 1]), owner[np.repeat(n > 1, n)]
+    common = np.zeros((len(size), len(size)), np.float32)
+    for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+        lo, hi = np.searchsorted(shared, (c, c + COLUMNS))
+        has = np.zeros((len(size), COLUMNS), np.float32)
+        has[owner[lo:hi], shared[lo:hi] - c] = 1
+        common += has @ has.T
+    similar = common >= similarity * (size[:, None] + size[None].astype(float) - common)
+    return forest(len(size), lambda i, rest: similar[i, rest])
 
 
 def similar_pairs(texts: pa.Array, similarity: float = SIMILARITY) -> np.ndarray:
